@@ -55,7 +55,7 @@ def reduce_rows(df: DataFrame, *extra, is_cal: Column | None = None):
     """
     d = df.withColumn("is_cal", F.lit(False) if is_cal is None else is_cal)
     keys = [*extra, "scheme", "band", "is_cal"]
-    sup = d.groupBy(*keys, "family", "base_model").agg(F.count("*").alias("n"))
+    sup = d.groupBy(*dict.fromkeys([*keys, "family", "base_model"])).agg(F.count("*").alias("n"))
     return stage(histogram(d, *keys)), stage(sup)
 
 

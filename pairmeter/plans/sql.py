@@ -81,3 +81,65 @@ def predict(p, model, rows, rule="widen", keys=""):
 {p}_pred AS (SELECT *, yhat - half_width AS lo, yhat + half_width AS hi,
    coalesce(delta >= yhat - half_width - 1e-9 AND delta <= yhat + half_width + 1e-9, true) AS ok,
    coalesce(delta >= yhat - half_width - 1e-9, true) AS ok_one FROM {p}_p0)"""
+
+
+PAIR_FOLDS = """fams AS (SELECT DISTINCT family AS f FROM obs),
+pf AS (SELECT a.f AS test_family, b.f AS cal_family FROM fams a JOIN fams b ON a.f <> b.f),
+fold_ok AS (SELECT test_family, cal_family FROM pf JOIN obs ON family <> test_family
+   GROUP BY ALL HAVING count(*) FILTER (WHERE family = cal_family) >= 19
+     AND count(*) FILTER (WHERE family <> cal_family) >= {min_train})"""
+
+
+def pair_rows(p, folds="fold_ok", src="obs"):
+    return f"""{p}_f AS (SELECT test_family, cal_family, o.* FROM {folds} JOIN {src} o
+   ON o.family <> test_family AND o.family <> cal_family),
+{p}_k AS (SELECT test_family, cal_family, o.* FROM {folds} JOIN {src} o ON o.family = cal_family),
+{p}_t AS (SELECT test_family, cal_family, o.* FROM {folds} JOIN {src} o ON o.family = test_family)"""
+
+
+def scored_pairs():
+    """CTEs ending in y_pred: the widen-only band of every (test, calibration) family pair."""
+    keys = "test_family, cal_family"
+    return (f"{PAIR_FOLDS.format(min_train=50)}, {pair_rows('p')}, "
+            f"{fit_split('x', 'p_f', 'p_k', 'widen', keys=keys)}, "
+            f"{predict('y', 'x_model', 'p_t', 'widen', keys=keys)}")
+
+
+def mondrian(p, train, cal, test, keys, alpha=0.10, grouped=True, noise=None, eps="1e-9"):
+    """CTEs ending in {p}_pred: treatment-mean centre, per-treatment quantile with back-off."""
+    c_s = "".join(f" AND s.{x} = c.{x}" for x in keys.split(", "))
+    c_g = " AND ".join(f"g.{x} = c.{x}" for x in keys.split(", "))
+    kc = ", ".join(f"c.{x}" for x in keys.split(", "))
+    div = f" / ({noise})" if noise else ""
+    mul = f" * ({noise})" if noise else ""
+    q = "m.q" if not grouped else "coalesce(q.q, m.q)"
+    back = "false" if not grouped else "q.q IS NULL"
+    return f"""{p}_g AS (SELECT {keys}, avg(delta) AS mean FROM {train} GROUP BY ALL),
+{p}_s AS (SELECT {keys}, scheme, avg(delta) AS mean FROM {train} GROUP BY ALL),
+{p}_sc AS (SELECT {kc}, c.scheme, abs(c.delta - coalesce(s.mean, g.mean)){div} AS score FROM {cal} c
+   JOIN {p}_g g ON {c_g} LEFT JOIN {p}_s s ON s.scheme = c.scheme{c_s}),
+{p}_r AS (SELECT *, row_number() OVER (PARTITION BY {keys}, scheme ORDER BY score) AS rs,
+   count(*) OVER (PARTITION BY {keys}, scheme) AS ns, row_number() OVER (PARTITION BY {keys} ORDER BY score) AS ra,
+   count(*) OVER (PARTITION BY {keys}) AS na FROM {p}_sc),
+{p}_q AS (SELECT {keys}, scheme, min(score) FILTER (WHERE rs >= {rank_of('ns', alpha)}) AS q FROM {p}_r GROUP BY ALL),
+{p}_qm AS (SELECT {keys}, min(score) FILTER (WHERE ra >= {rank_of('na', alpha)}) AS q FROM {p}_r GROUP BY ALL),
+{p}_p0 AS (SELECT c.*, coalesce(s.mean, g.mean) AS yhat, {q}{mul} AS half_width, {back} AS backed_off
+   FROM {test} c JOIN {p}_g g ON {c_g} LEFT JOIN {p}_s s ON s.scheme = c.scheme{c_s}
+   JOIN {p}_qm m ON {c_g.replace('g.', 'm.')}
+   LEFT JOIN {p}_q q ON q.scheme = c.scheme{c_s.replace('s.', 'q.')}),
+{p}_pred AS (SELECT *, yhat - half_width AS lo, yhat + half_width AS hi,
+   coalesce(delta >= yhat - half_width - {eps} AND delta <= yhat + half_width + {eps}, true) AS covered FROM {p}_p0)"""
+
+
+def evaluate(src, keys, fold):
+    """SELECT of interval quality per ``keys``; ``fold`` is the fold label expression."""
+    return f"""SELECT * FROM (SELECT {keys}, count(*) AS n_rows, {r6('avg(covered::int)')} AS coverage,
+   {r6('avg(half_width)')} AS mean_half_width, {r6('quantile_cont(half_width, 0.5)')} AS median_half_width,
+   {r6('avg(abs(delta - yhat))')} AS mae, {r6('sqrt(avg((delta - yhat) ** 2))')} AS rmse,
+   {r6('1 - sum((delta - yhat) ** 2) / (var_pop(delta) * count(*))')} AS r2,
+   {r6('avg((coalesce(lo > 0, false) OR coalesce(hi < 0, false))::int)')} AS share_excluding_zero,
+   {r6('avg((half_width IS NULL)::int)')} AS share_infinite, {r6('avg(backed_off::int)')} AS share_backoff
+   FROM {src} GROUP BY ALL)
+JOIN (SELECT {keys}, count(*) AS n_folds, {r6('avg(c)')} AS mean_per_fold_coverage, {r6('min(c)')} AS worst_fold_coverage,
+   arg_min(fold, (c, fold)) AS worst_fold FROM
+   (SELECT {keys}, {fold} AS fold, avg(covered::int) AS c FROM {src} GROUP BY ALL) GROUP BY ALL) USING ({keys})"""
