@@ -8,9 +8,10 @@ from itertools import product
 from math import factorial, prod
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from pairmeter.plans.local import constant_table
+from pairmeter.plans.staging import stage
 
 EXACT_MAX = 8
 SLACK = 1e-12
@@ -128,12 +129,12 @@ def intraclass(clusters: DataFrame, keys, ok="ok", n="n") -> DataFrame:
     t = clusters.groupBy(*keys).agg(F.count("*").alias("k"), F.sum(s).alias("S"), F.sum(m).alias("N"),
                                     F.sum(s * s / m).alias("q"), F.sum(m * m).alias("mm"), F.max(m).alias("max_rows"))
     k, N, S = F.col("k"), F.col("N"), F.col("S")
-    msb = (F.col("q") - S * S / N) / (k - 1)          # sum n(ybar - p)^2
-    msw = (S - F.col("q")) / (N - k)                  # sum over 0/1 rows of (y - ybar)^2
-    m0 = (N - F.col("mm") / N) / (k - 1)
-    icc = (msb - msw) / (msb + (m0 - 1) * msw)
+    msb = F.try_divide(F.col("q") - S * S / N, k - 1)  # sum n(ybar - p)^2
+    msw = F.try_divide(S - F.col("q"), N - k)          # sum over 0/1 rows of (y - ybar)^2
+    m0 = F.try_divide(N - F.col("mm") / N, k - 1)
+    icc = F.try_divide(msb - msw, msb + (m0 - 1) * msw)
     return t.select(*keys, "k", N.alias("n"), icc.alias("icc"),
-                    (1 + (N / k - 1) * F.greatest(icc, F.lit(0.0))).alias("design_effect"), "max_rows")
+                    F.when(icc.isNotNull(), 1 + (N / k - 1) * F.greatest(icc, F.lit(0.0))).alias("design_effect"), "max_rows")
 
 
 # ------------------------------------------------------------------ Clopper-Pearson
@@ -168,7 +169,7 @@ def _beta_quantile(p, a, b):
     return (lo + hi) / 2
 
 
-@F.pandas_udf("lo double, hi double")
+@F.pandas_udf(T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
 def _clopper_pearson(k: pd.Series, n: pd.Series, conf: pd.Series) -> pd.DataFrame:
     out = [(0.0 if x == 0 else _beta_quantile((1 - c) / 2, x, m - x + 1),
             1.0 if x == m else _beta_quantile(1 - (1 - c) / 2, x + 1, m - x)) for x, m, c in zip(k, n, conf)]
@@ -204,5 +205,5 @@ def average_rank(df: DataFrame, value, out) -> DataFrame:
 
 def correlations(df: DataFrame, x, y) -> DataFrame:
     """Pearson and Spearman of two columns."""
-    r = average_rank(average_rank(df.select(x, y).dropna(), x, "_rx"), y, "_ry")
+    r = average_rank(average_rank(stage(df.select(x, y).dropna()), x, "_rx"), y, "_ry")
     return r.agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))

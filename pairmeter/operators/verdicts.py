@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pairmeter.functions.exprs import resolve_alias
+from pairmeter.functions.exprs import EPS, resolve_alias
 from pairmeter.operators import conformal as C
 from pairmeter.operators import folds as E
 from pairmeter.operators import resample as U
@@ -15,6 +15,7 @@ THIN_FAMILIES = 4
 REFUSE_BELOW = 0.85
 MIN_CLUSTERS = 3
 DEFAULT_RISK = 3.0
+Z90 = 1.645
 RISK_GRID = [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0]
 TRUSTED, INSUFFICIENT, REFUSED = "trusted", "insufficient_evidence", "refused"
 
@@ -37,12 +38,23 @@ def degenerate(lo="boot90_lo", hi="boot90_hi") -> Column:
     return F.coalesce(F.col(lo) == F.col(hi), F.lit(False))
 
 
-def evidence(scores: DataFrame, draws=2000, exact_only=False) -> DataFrame:
-    """Coverage record per scheme (band ``*``) and per cell, with bootstrap bounds and state."""
+def evidence(scores: DataFrame, draws=2000, above_exact="bootstrap") -> DataFrame:
+    """Coverage record per scheme (band ``*``) and per cell, with 90% bounds and state.
+
+    Up to eight clusters the bounds are the exact bootstrap's. Above that they are the seeded
+    Monte Carlo's, or with ``above_exact="robust"`` the deterministic cluster-robust ones.
+    """
     t = E.coverage_table(scores).where("level in ('scheme', 'cell')")
     per = (scores.select(F.explode(F.array(F.lit("*"), F.col("band"))).alias("band"), "scheme", "base_model", "ok_one", "pairs")
            .groupBy("scheme", "band", "base_model").agg(F.sum("ok_one").alias("ok"), F.sum("pairs").alias("n")))
-    b = U.exact_bounds(per, ["scheme", "band"]).drop("k") if exact_only else U.bounds(per, ["scheme", "band"], draws=draws)
+    keys = ["scheme", "band"]
+    if above_exact == "robust":
+        se = F.lit(Z90) * F.col("se")
+        large = U.sandwich(per, keys).where(F.col("k") > U.EXACT_MAX).select(
+            *keys, (100 * (F.col("p") - se)).alias("boot_lo"), (100 * (F.col("p") + se)).alias("boot_hi"))
+        b = U.exact_bounds(per, keys).drop("k").unionByName(large)
+    else:
+        b = U.bounds(per, keys, draws=draws)
     t = t.join(b, ["scheme", "band"], "left").withColumnsRenamed({"boot_lo": "boot90_lo", "boot_hi": "boot90_hi"})
     return t.withColumns({"state": classify(), "degenerate": degenerate()})
 
@@ -74,7 +86,8 @@ def assemble(hist: DataFrame, sup: DataFrame, records: DataFrame, model: DataFra
     whole = records.where("band = '*'").select(
         "scheme", F.col("state").alias("scheme_state"), F.col("coverage_one_sided").alias("scheme_one_sided"))
     t = base.join(whole, "scheme", "left").withColumn("scheme_state", F.coalesce("scheme_state", F.lit(TRUSTED)))
-    cell_state = size_risk = thin_cell = F.lit(None)
+    no = F.lit(False)
+    cell_state, size_risk, thin_cell = F.lit(None).cast("string"), no, no
     if band is not None:
         cell = records.where(F.col("band") == band).select("scheme", F.col("state").alias("cell_state"))
         train = (sup.where(F.col("band") == band).groupBy("scheme")
@@ -84,7 +97,7 @@ def assemble(hist: DataFrame, sup: DataFrame, records: DataFrame, model: DataFra
         size_risk = (F.lit(band == "<2B") & F.col("scheme").isin(*aggressive) & (F.coalesce("cell_rows", F.lit(0)) >= 5))
         thin_cell = F.col("cell_clusters") < MIN_CLUSTERS
         if not support_floor:
-            thin_cell = F.lit(None)
+            thin_cell = no
     rate = F.element_at("severe_rate", F.lit(str(float(risk))))
     flag = lambda cond, name: F.when(cond, F.lit(name))
     whole_bad = F.col("scheme_state") == INSUFFICIENT
@@ -132,9 +145,71 @@ def band_verdicts(records: DataFrame, bands) -> DataFrame:
     return grid.join(cells, ["scheme", "band"], "left").withColumn("state", F.coalesce("state", F.lit("not_measured")))
 
 
-def ranking_inputs(df: DataFrame, families, is_cal, draws=2000, exact_only=False):
+def ranking_inputs(df: DataFrame, families, is_cal, draws=2000, above_exact="bootstrap"):
     """Everything a ranking question needs, written once: (hist, sup, records, model)."""
     hist, sup = C.reduce_rows(df, is_cal=is_cal)
     model = stage(C.fit_shipped(hist, sup))
-    records = stage(evidence(E.pair_cluster_scores(df, families), draws, exact_only))
+    records = stage(evidence(E.pair_cluster_scores(df, families), draws, above_exact))
     return hist, sup, records, model
+
+
+def widened_cells(model: DataFrame) -> DataFrame:
+    s = model.where("level = 'scheme'").select("scheme", F.col("half_width").alias("s_hw"))
+    t = model.where("level = 'stratum' and half_width is not null").select("scheme", "band", "half_width")
+    return t.join(s, "scheme").where(F.col("half_width") > F.col("s_hw")).select("scheme", "band")
+
+
+def facts(hist: DataFrame, sup: DataFrame, records: DataFrame, model: DataFrame, risk=DEFAULT_RISK) -> DataFrame:
+    """Counts quoted beside every ranking, recomputed from the inputs."""
+    s = model.where("level = 'scheme'").select("scheme", (F.col("mean") - F.col("half_width")).alias("lo"),
+                                               (F.col("mean") + F.col("half_width")).alias("hi"))
+    big = hist.where(F.col("delta") < -risk).join(s, "scheme")
+    state = lambda x: F.coalesce(F.sum((F.col("state") == x).cast("long")), F.lit(0))
+    one = lambda df, expr: df.agg(expr.alias("v")).scalar()
+    t = sup.agg(F.sum("n").alias("n_rows"), F.countDistinct("base_model").alias("n_checkpoints"),
+                F.countDistinct("family").alias("n_families"))
+    cells = records.where("band <> '*'")
+    n_schemes, n_wide = one(s, F.count("*")), one(widened_cells(model), F.count("*"))
+    return t.withColumns({
+        "n_schemes": n_schemes,
+        "intervals_excluding_zero": one(s.where("not (lo <= 0 and 0 <= hi)"), F.count("*")),
+        "n_big_losses": one(big, F.coalesce(F.sum("n"), F.lit(0))),
+        "n_big_losses_below_floor": one(big.where(F.col("delta") < F.col("lo") - EPS), F.coalesce(F.sum("n"), F.lit(0))),
+        "n_size_dependent_widths": n_wide, "n_numbers_in_predictor": 2 * n_schemes + n_wide,
+        "cells_trusted": one(cells, state(TRUSTED)), "cells_refused": one(cells, state(REFUSED)),
+        "cells_insufficient": one(cells, state(INSUFFICIENT))})
+
+
+def envelope(hist: DataFrame, model: DataFrame, records: DataFrame, spread: DataFrame) -> DataFrame:
+    """The published artifact: one nested row per scheme."""
+    h = hist.groupBy("scheme", "delta").agg(F.sum("n").alias("n"))
+    emp = C.empirical_band(h, ["scheme"], clamp=True).drop("n")
+    med = h.groupBy("scheme").agg(F.percentile("delta", F.lit(0.5), F.col("n")).alias("median_delta"))
+    base = model.where("level = 'scheme'").select(
+        "scheme", F.col("n").alias("n_observations"), "n_checkpoints", "n_families", F.col("mean").alias("mean_delta"),
+        "half_width", F.col("worst").alias("worst_observed"))
+    rec = records.where("band = '*'").select("scheme", "state", "coverage_one_sided", "coverage", "boot90_lo", "boot90_hi",
+                                             "distinct_rows", "distinct_checkpoints", "scored_pairs")
+    t = base.join(emp, "scheme").join(med, "scheme").join(rec, "scheme", "left").join(spread, "scheme", "left")
+    lo, hi = F.col("mean_delta") - F.col("half_width"), F.col("mean_delta") + F.col("half_width")
+    worst = F.col("worst_family_one_sided")
+    warning = F.when(worst < REFUSE_BELOW, F.concat(
+        F.lit("measured coverage falls to "), F.round(100 * worst).cast("int"), F.lit("% on held-out family '"),
+        F.col("worst_family_name"), F.lit("', over "), F.col("n_families"), F.lit(" families of evidence")))
+    return t.select(
+        "scheme", "n_observations", "n_checkpoints", "n_families", "mean_delta", "median_delta", "half_width",
+        F.struct(lo.alias("lo"), hi.alias("hi")).alias("interval"),
+        F.struct(F.col("emp_lo").alias("lo"), F.col("emp_hi").alias("hi")).alias("empirical"), "worst_observed",
+        F.struct(F.col("state"), F.col("coverage_one_sided").alias("one_sided"), F.col("coverage").alias("two_sided"),
+                 F.array("boot90_lo", "boot90_hi").alias("bootstrap_90"), F.col("distinct_rows").alias("rows"),
+                 F.col("distinct_checkpoints").alias("checkpoints"), "scored_pairs",
+                 F.col("worst_family_name").alias("worst_family"), "worst_family_one_sided",
+                 F.col("by_family_one_sided")).alias("coverage"),
+        (~((lo <= 0) & (hi >= 0))).alias("excludes_zero"), warning.alias("warning"))
+
+
+def demand(log: DataFrame) -> DataFrame:
+    """Requests and refusals per scheme, from the pipe-joined lists of the request log."""
+    asked = log.select(F.explode(F.split("schemes", r"\|")).alias("scheme"),
+                       F.col("refused_cells").isNotNull().alias("refused"))
+    return asked.groupBy("scheme").agg(F.count("*").alias("n_requests"), F.sum(F.col("refused").cast("long")).alias("n_refused"))

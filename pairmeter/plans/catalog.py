@@ -1,4 +1,4 @@
 """All registered queries. Importing a query module registers its entries."""
 
-from pairmeter.plans import q_folds, q_intervals  # noqa: F401
+from pairmeter.plans import q_folds, q_intervals, q_uncertainty, q_verdicts  # noqa: F401
 from pairmeter.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -143,3 +143,50 @@ def evaluate(src, keys, fold):
 JOIN (SELECT {keys}, count(*) AS n_folds, {r6('avg(c)')} AS mean_per_fold_coverage, {r6('min(c)')} AS worst_fold_coverage,
    arg_min(fold, (c, fold)) AS worst_fold FROM
    (SELECT {keys}, {fold} AS fold, avg(covered::int) AS c FROM {src} GROUP BY ALL) GROUP BY ALL) USING ({keys})"""
+
+
+COMPOSITIONS = """comp0 AS (
+  WITH RECURSIVE c(k, i, rest, counts) AS (
+    SELECT k, 0, k, []::INT[] FROM range(1, 9) t(k)
+    UNION ALL SELECT k, i + 1, rest - v, list_append(counts, v::INT) FROM c, range(0, 9) r(v)
+    WHERE i < k AND v <= rest AND (i < k - 1 OR v = rest))
+  SELECT k, counts FROM c WHERE i = k),
+comp AS (SELECT k, counts, factorial(k::INT)::double / list_product(list_transform(counts, lambda x: factorial(x)::double))
+   / pow(k, k) AS prob FROM comp0)"""
+
+
+def exact_bootstrap(p, clusters, keys, lo=0.05, hi=0.95):
+    """CTEs ending in {p}_exact(keys, k, boot_lo, boot_hi) from clusters(keys, base_model, ok, n)."""
+    return f"""{COMPOSITIONS},
+{p}_a AS (SELECT {keys}, count(*) AS k, list(ok::double ORDER BY base_model) AS oks, list(n::double ORDER BY base_model) AS ns
+   FROM {clusters} GROUP BY ALL HAVING count(*) <= 8),
+{p}_v AS (SELECT {keys}, a.k, prob, list_sum(list_transform(range(1, a.k + 1), lambda i: counts[i] * oks[i]))
+   / list_sum(list_transform(range(1, a.k + 1), lambda i: counts[i] * ns[i])) AS v FROM {p}_a a JOIN comp c ON c.k = a.k),
+{p}_c AS (SELECT *, sum(prob) OVER (PARTITION BY {keys} ORDER BY v RANGE UNBOUNDED PRECEDING) AS cum FROM {p}_v),
+{p}_exact AS (SELECT {keys}, max(k) AS k, 100 * coalesce(min(v) FILTER (WHERE cum >= {lo} - 1e-12), max(v)) AS boot_lo,
+   100 * coalesce(min(v) FILTER (WHERE cum >= {hi} - 1e-12), max(v)) AS boot_hi FROM {p}_c GROUP BY ALL)"""
+
+
+def sandwich(p, clusters, keys):
+    return f"""{p}_p AS (SELECT {keys}, count(*) AS k, sum(ok) / sum(n) AS p, sum(n) AS nn FROM {clusters} GROUP BY ALL),
+{p}_rob AS (SELECT {keys}, k, p, nn, CASE WHEN k > 1 THEN sqrt(k / (k - 1) * dev) / nn END AS se,
+   sqrt(p * (1 - p) / nn) AS se_naive FROM (SELECT {keys}, k, p, nn, sum((ok - p * n) ** 2) AS dev
+   FROM {clusters} JOIN {p}_p USING ({keys}) GROUP BY ALL))"""
+
+
+def evidence():
+    """CTEs ending in rec(scheme, band, ..., boot90_lo, boot90_hi, state) from y_pred."""
+    cols = """count(*) AS scored_pairs, count(DISTINCT obs_id) AS distinct_rows,
+      count(DISTINCT base_model) AS distinct_checkpoints, count(DISTINCT family) AS distinct_families,
+      avg(ok::int) AS coverage, avg(ok_one::int) AS coverage_one_sided"""
+    return f"""z AS (SELECT *, '*' AS star FROM y_pred),
+rec0 AS (SELECT scheme, star AS band, {cols} FROM z GROUP BY scheme, star UNION ALL SELECT scheme, band, {cols} FROM z GROUP BY scheme, band),
+cl AS (SELECT scheme, star AS band, base_model, sum(ok_one::int) AS ok, count(*) AS n FROM z GROUP BY scheme, star, base_model
+   UNION ALL SELECT scheme, band, base_model, sum(ok_one::int), count(*) FROM z GROUP BY scheme, band, base_model),
+{exact_bootstrap('b', 'cl', 'scheme, band')}, {sandwich('r', 'cl', 'scheme, band')},
+rec AS (SELECT rec0.*, coalesce(e.boot_lo, 100 * (r.p - 1.645 * r.se)) AS boot90_lo,
+   coalesce(e.boot_hi, 100 * (r.p + 1.645 * r.se)) AS boot90_hi,
+   CASE WHEN distinct_checkpoints < 3 THEN 'insufficient_evidence' WHEN boot90_lo IS NULL OR boot90_hi IS NULL
+     THEN 'insufficient_evidence' WHEN boot90_lo < 85 AND 85 < boot90_hi THEN 'insufficient_evidence'
+     WHEN coverage_one_sided < 0.85 THEN 'refused' ELSE 'trusted' END AS state
+   FROM rec0 LEFT JOIN b_exact e USING (scheme, band) LEFT JOIN r_rob r USING (scheme, band))"""
