@@ -99,3 +99,54 @@ def composition(df: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.count("*").alias("n_cluster_scheme"), F.countDistinct("base_model").alias("n_clusters"),
         F.max("tasks").alias("max_tasks_per_run"))
     return t.withColumn("share", F.col("n") / t.agg(F.sum("n")).scalar())
+
+
+def channel_kurtosis(vectors: DataFrame) -> DataFrame:
+    """Population excess kurtosis per (unit, channel), rolled up per unit."""
+    ch = vectors.select("unit", F.posexplode("embedding").alias("channel", "x"))
+    k = ch.groupBy("unit", "channel").agg(F.kurtosis(F.col("x").cast("double")).alias("k")).where(F.col("k").isNotNull())
+    pct = lambda t: 100 * F.avg((F.col("k") > t).cast("int"))
+    return k.groupBy("unit").agg(
+        F.count("*").alias("n_channels"), F.avg("k").alias("mean"), F.percentile("k", 0.5).alias("median"),
+        F.percentile("k", 0.99).alias("p99"), F.max("k").alias("max"), pct(3).alias("pct_gt_3"), pct(10).alias("pct_gt_10"))
+
+
+def separation(df: DataFrame, lossless=NEAR_LOSSLESS, harsh=FOUR_BIT, factor=1.3) -> DataFrame:
+    sd = lambda s: F.stddev_samp(F.when(F.col("scheme").isin(*s), F.col("delta")))
+    t = df.groupBy("benchmark").agg(sd(lossless).alias("sd_lossless"), sd(harsh).alias("sd_four_bit"))
+    return t.withColumn("verdict", F.when(F.col("sd_four_bit") > factor * F.col("sd_lossless"), "real scheme effect")
+                        .otherwise("no separation"))
+
+
+def _by_kinds(df: DataFrame, kinds: dict, *cols) -> DataFrame:
+    """Rows once per kind, so several groupings share one aggregate."""
+    k = F.array(*[F.struct(F.lit(n).alias("kind"), c.alias("name")) for n, c in kinds.items()])
+    return df.select(F.explode(k).alias("_k"), *cols).select("_k.*", *cols)
+
+
+def prospective_summary(scored: DataFrame, kinds: dict) -> DataFrame:
+    """Coverage, error against the baseline and tails of a scored cohort, per grouping."""
+    d = _by_kinds(scored, kinds, "ok", "delta", "yhat", "base_err", "half_width")
+    r = lambda c: F.round(c, 6)
+    fin = F.when(F.abs("half_width") < float("inf"), F.col("half_width"))
+    return d.groupBy("kind", "name").agg(
+        F.count("*").alias("n"), F.sum(F.col("ok").cast("int")).alias("inside"), r(F.avg(F.col("ok").cast("int"))).alias("coverage"),
+        r(F.avg(F.abs(F.col("delta") - F.col("yhat")))).alias("mae"), r(F.avg("base_err")).alias("mae_baseline"),
+        r(F.avg("delta")).alias("mean_delta"), r(F.min("delta")).alias("worst_delta"), r(F.avg(fin)).alias("half_width"))
+
+
+def miss_distribution(scored: DataFrame, kinds: dict) -> DataFrame:
+    per = _by_kinds(scored, kinds, "ok").groupBy("kind", "name").agg(F.sum((~F.col("ok")).cast("long")).alias("m"))
+    n = lambda c: F.sum(c.cast("long"))
+    return per.groupBy("kind").agg(
+        F.sum("m").alias("misses"), n(F.col("m") > 0).alias("with_miss"), n(F.col("m") == 0).alias("clean"),
+        F.max("m").alias("worst_misses"), F.max_by("name", F.struct("m", "name")).alias("worst_name"))
+
+
+def band_summary(scored: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Coverage and width per scheme; ``vacuous`` when the band is wider than anything observed."""
+    rng = corpus.groupBy("scheme").agg((F.max("delta") - F.min("delta")).alias("observed_range"))
+    t = scored.groupBy("scheme").agg(
+        F.count("*").alias("n"), F.countDistinct("base_model").alias("clusters"), (100 * F.avg(F.col("ok").cast("int"))).alias("coverage_pct"),
+        F.avg("half_width").alias("mean_half_width"), F.sort_array(F.collect_set("level")).alias("levels"))
+    return t.join(rng, "scheme").withColumn("vacuous", F.col("mean_half_width") > F.col("observed_range"))
