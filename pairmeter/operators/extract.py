@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairmeter.functions import labels as L, vocab
 from pairmeter.operators import tables as X
+from pairmeter.plans.staging import stage
 
 NOT_CANDIDATES = ["empty_or_missing_card", "no_recognized_scheme", "no_param_count_in_name"]
 
@@ -34,10 +35,14 @@ FIELDS = ["doc_id", "base_model", "family", "params_b", "is_instruct", "scheme",
 
 
 def parsed_rows(docs: DataFrame, allow_unknown_family=False) -> DataFrame:
-    """Table rows of every candidate document with their readings."""
+    """Table rows of every candidate document with their readings.
+
+    Written twice on the way: once after the text has been parsed, so the text is read once, and
+    once after the columns have been oriented, because observations and rejects both read it.
+    """
     d = describe(docs).where(gate(allow_unknown_family).isNull())
-    rows = X.table_rows(d.select(*FIELDS, X.section("text").alias("body")))
-    return X.readings(rows.withColumn("task", L.canonical_task("label")))
+    rows = stage(X.table_rows(d.select(*FIELDS, X.section("text").alias("body"))))
+    return stage(X.readings(rows.withColumn("task", L.canonical_task("label"))))
 
 
 def extract(docs: DataFrame, allow_unknown_family=False, reconcile=True):
@@ -114,7 +119,7 @@ def fates(docs: DataFrame, rows: DataFrame, rejects: DataFrame, allow_unknown_fa
 def census_rows(docs: DataFrame) -> DataFrame:
     """Every table row of every document with the census' own gate order (not the extractor's):
     header, label, run length, duplicate."""
-    rows = X.table_rows(docs.select("doc_id", X.section("text").alias("body"))).withColumn("task", L.canonical_task("label"))
+    rows = stage(X.table_rows(docs.select("doc_id", X.section("text").alias("body")))).withColumn("task", L.canonical_task("label"))
     k = F.size("nums")
     early = (F.when(F.col("label").isNull() | (k == 0), "header_or_nonnumeric").when(F.col("task").isNull(), "benchmark_not_whitelisted")
              .when(~k.isin(2, 3), "numeric_run_not_2_or_3"))

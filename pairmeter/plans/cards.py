@@ -3,6 +3,7 @@ supplier number; and the table of what a correct reader must find in them (the S
 
 from pyspark.sql import functions as F
 
+from pairmeter.plans.staging import stage
 from pairmeter.plans.views import OBS_SQL, obs
 
 TASK_LABEL = {1: "MMLU (5-shot)", 2: "MMLU-Pro (5-shot)", 3: "ARC-Challenge (25-shot)", 4: "GSM8K (5-shot)",
@@ -61,7 +62,7 @@ def cards(spark, sf):
         F.when(F.col("k") % 16 == 3, md(["Benchmark", "Base", "Quantized"], lambda x: pipe([label(x), f1(x["b"]), f2(x["a"])])))
          .otherwise(md(["Benchmark", "Quantized", "Base"], lambda x: pipe([label(x), f2(x["a"]), F.concat(F.lit("**"), f1(x["b"]), F.lit("**"))]))),
         md(["Benchmark", "BF16", "W8A8", "FP8", "INT4"],
-           lambda x: pipe([label(x), f1(x["b"]), f2(x["a"]), f2(x["a"] / 2), f2(x["a"] / 4)])),
+           lambda x: pipe([label(x), f1(x["b"]), f2(x["a"]), f2(F.floor(x["a"] * 50 + 1e-6) / 100), f2(F.floor(x["a"] * 25 + 1e-6) / 100)])),
         html(standard, lambda x: tag([label(x), f1(x["b"]), f2(x["a"]), F.format_string("%.2f", 100 * x["a"] / x["b"] + 30)])),
         html(standard, lambda x: tag([label(x), F.format_string("%.4f", x["b"] / 100), F.format_string("%.4f", x["a"] / 100), rec(x)])),
         F.concat(html(standard, row3, extra), F.lit("\n## Inference Performance\n"),
@@ -73,7 +74,8 @@ def cards(spark, sf):
     text = F.when(F.col("k") % 13 == 0, F.lit("stub")).otherwise(F.concat(
         F.lit("# Card\nbase_model: see below\n"), recipe, F.lit(" " + "Background text about this model card. " * 6),
         F.lit("\n## Evaluation\nEvaluated with lm-eval.\n"), layout, F.lit("\nEnd of the card.\n")))
-    return d.select(name.alias("doc_id"), text.alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    docs = stage(d.select(name.alias("doc_id"), text.alias("text")))
+    return docs.withColumn("n_bytes", F.octet_length("text").cast("long"))
 
 
 def _sql_case(col, d, quote=True):

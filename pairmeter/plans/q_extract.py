@@ -9,7 +9,6 @@ from pairmeter.operators import tables as T
 from pairmeter.plans.cards import CARDS_SQL, TASK_LABEL, cards
 from pairmeter.plans.registry import query
 from pairmeter.plans.sql import r6 as R
-from pairmeter.plans.staging import stage
 from pairmeter.plans.views import table
 from pairmeter.sources import readers
 
@@ -31,7 +30,7 @@ def rejects(spark, sf):
 WHERE reason NOT IN ('empty_or_missing_card', 'no_recognized_scheme', 'no_param_count_in_name') GROUP BY reason
 UNION ALL SELECT 'orientation', orient_src, count(*) FROM kept GROUP BY orient_src""")
 def accounting(spark, sf):
-    return X.accounting(*X.extract(stage(cards(spark, sf))))
+    return X.accounting(*X.extract(cards(spark, sf)))
 
 
 @query("ex18_document_fates", f"""WITH {CARDS_SQL}, n AS (SELECT model AS doc_id, count(*) AS rows_kept FROM kept GROUP BY 1)
@@ -40,7 +39,7 @@ SELECT doc_id, CASE WHEN gate = 'empty_or_missing_card' THEN 'gate1_' || gate WH
   WHEN layout = 6 THEN 'gate5_accuracy_on_0_1_scale' WHEN rows_kept IS NULL THEN 'gate6_no_benchmark_rows_survived' ELSE 'KEPT' END AS fate,
   coalesce(rows_kept, 0) AS rows_kept FROM card LEFT JOIN n USING (doc_id)""")
 def fates(spark, sf):
-    docs = stage(cards(spark, sf))
+    docs = cards(spark, sf)
     return X.fates(docs, *X.extract(docs))
 
 
@@ -71,7 +70,7 @@ def orientation(spark, sf):
         "doc_id", "label", "e.before", "e.after", "e.orient")
 
 
-@query("ex10_wide_unpivot", f"""WITH {CARDS_SQL} SELECT doc_id, task, d AS pos, b AS before, round(a / pow(2, d), 2) + 0.0 AS after_2dp FROM hit, range(3) r(d) WHERE layout = 4""")
+@query("ex10_wide_unpivot", f"""WITH {CARDS_SQL} SELECT doc_id, task, d AS pos, b AS before, floor(a * 100 / pow(2, d) + 1e-6) / 100 AS after_2dp FROM hit, range(3) r(d) WHERE layout = 4""")
 def wide(spark, sf):
     p = X.parsed_rows(cards(spark, sf)).where("size(nums) > 3 and emits is not null")
     e = p.select("doc_id", "task", F.posexplode("emits").alias("pos", "e"))
@@ -219,7 +218,7 @@ def separate_cohort(spark, sf):
 @query("q14_funnel", f"""WITH {CARDS_SQL} SELECT 'listed' AS stage, count(*) AS n FROM card UNION ALL SELECT 'quantized', count(*) FROM card WHERE NOT (sch = 'ro' AND k % 5 = 0)
 UNION ALL SELECT 'targeted', count(*) FROM card WHERE gate IS NULL UNION ALL SELECT 'kept_rows', count(*) FROM kept UNION ALL SELECT 'modelled_rows', count(*) FROM kept WHERE acc_before >= 20""")
 def funnel(spark, sf):
-    docs = stage(cards(spark, sf))
+    docs = cards(spark, sf)
     d = X.describe(docs)
     rows, _ = X.extract(docs)
     out = None
