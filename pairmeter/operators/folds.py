@@ -262,3 +262,12 @@ def evaluate(scored: DataFrame, *keys) -> DataFrame:
         F.count("*").alias("n_folds"), F.avg("c").alias("mean_per_fold_coverage"),
         F.min("c").alias("worst_fold_coverage"), F.min_by("fold", F.struct("c", "fold")).alias("worst_fold"))
     return rows.join(folds, list(keys))
+
+
+def row_split_bands(rows: DataFrame, alphas=(ALPHA,)):
+    """(hist, bands) for rows already assigned a (fold, role): one histogram serves all roles."""
+    hist = stage(rows.groupBy("fold", "role", "scheme", "delta").agg(F.count("*").alias("n")))
+    part = lambda r: hist.where(F.col("role") == r)
+    sums = part("train").groupBy("fold", "scheme").agg(F.sum(F.col("delta") * F.col("n")).alias("s"), F.sum("n").alias("n"))
+    bands = mondrian_bands(sums, part("cal").drop("role"), part("test").select("fold", "scheme").distinct(), alphas)
+    return hist, stage(bands)

@@ -178,13 +178,14 @@ def pin_summary(spark, sf):
     return Q.pin_summary(pins(spark, sf))
 
 
-_SEC = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in Q.SECRETS.items())
+SCANNED = {**Q.SECRETS, "email address": r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.]+"}
+_SEC = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in SCANNED.items())
 
 
 @query("q13_secret_scan", f"""WITH p(label, pat) AS (VALUES {_SEC}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
 SELECT doc_id, line_no, label, unnest(regexp_extract_all(line, pat)) AS match FROM l, p""")
 def secrets(spark, sf):
-    return Q.scan_lines(table(spark, sf, "documents"), Q.SECRETS).withColumn("line_no", F.col("line_no").cast("long"))
+    return Q.scan_lines(table(spark, sf, "documents"), SCANNED).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 _FLAG_NONE = ", ".join(f"0::bigint AS {k}" for k in ("calib_dataset", "act_order", "damp"))
