@@ -75,13 +75,20 @@ def size_gradient(hist: DataFrame, sup: DataFrame, min_rows=5) -> DataFrame:
     return h.where(F.col("n") >= min_rows).where("band <> 'unknown'").join(k, ["scheme", "band"])
 
 
+def scheme_bands(model: DataFrame, *cols) -> DataFrame:
+    """Scheme rows of a shipped model; a scheme without a band of its own shows the global one."""
+    g = model.where("level = 'global'")
+    return model.where("level = 'scheme'").select(
+        "scheme", F.coalesce("mean", g.select("mean").scalar()).alias("mean"),
+        F.coalesce("half_width", g.select("half_width").scalar()).alias("half_width"), *cols)
+
+
 def assemble(hist: DataFrame, sup: DataFrame, records: DataFrame, model: DataFrame, risk=DEFAULT_RISK,
              band=None, moe=False, aggressive=("w4a16", "nvfp4"), support_floor=True) -> DataFrame:
     """One row per scheme with flags and tier for a question (risk threshold, size band, moe)."""
     if risk not in RISK_GRID:
         raise ValueError(f"risk {risk} is not on the grid {RISK_GRID}")
-    base = model.where("level = 'scheme'").select(
-        "scheme", "mean", "half_width", "worst", "p05", "n", "n_checkpoints", "n_families")
+    base = scheme_bands(model, "worst", "p05", "n", "n_checkpoints", "n_families")
     base = base.join(severe_rates(hist).drop("n_rows"), "scheme")
     whole = records.where("band = '*'").select(
         "scheme", F.col("state").alias("scheme_state"), F.col("coverage_one_sided").alias("scheme_one_sided"))
@@ -161,8 +168,8 @@ def widened_cells(model: DataFrame) -> DataFrame:
 
 def facts(hist: DataFrame, sup: DataFrame, records: DataFrame, model: DataFrame, risk=DEFAULT_RISK) -> DataFrame:
     """Counts quoted beside every ranking, recomputed from the inputs."""
-    s = model.where("level = 'scheme'").select("scheme", (F.col("mean") - F.col("half_width")).alias("lo"),
-                                               (F.col("mean") + F.col("half_width")).alias("hi"))
+    s = scheme_bands(model).select("scheme", (F.col("mean") - F.col("half_width")).alias("lo"),
+                                   (F.col("mean") + F.col("half_width")).alias("hi"))
     big = hist.where(F.col("delta") < -risk).join(s, "scheme")
     state = lambda x: F.coalesce(F.sum((F.col("state") == x).cast("long")), F.lit(0))
     one = lambda df, expr: df.agg(expr.alias("v")).scalar()
@@ -185,9 +192,8 @@ def envelope(hist: DataFrame, model: DataFrame, records: DataFrame, spread: Data
     h = hist.groupBy("scheme", "delta").agg(F.sum("n").alias("n"))
     emp = C.empirical_band(h, ["scheme"], clamp=True).drop("n")
     med = h.groupBy("scheme").agg(F.percentile("delta", F.lit(0.5), F.col("n")).alias("median_delta"))
-    base = model.where("level = 'scheme'").select(
-        "scheme", F.col("n").alias("n_observations"), "n_checkpoints", "n_families", F.col("mean").alias("mean_delta"),
-        "half_width", F.col("worst").alias("worst_observed"))
+    base = scheme_bands(model, F.col("n").alias("n_observations"), "n_checkpoints", "n_families",
+                        F.col("worst").alias("worst_observed")).withColumnRenamed("mean", "mean_delta")
     rec = records.where("band = '*'").select("scheme", "state", "coverage_one_sided", "coverage", "boot90_lo", "boot90_hi",
                                              "distinct_rows", "distinct_checkpoints", "scored_pairs")
     t = base.join(emp, "scheme").join(med, "scheme").join(rec, "scheme", "left").join(spread, "scheme", "left")

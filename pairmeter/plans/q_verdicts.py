@@ -68,7 +68,9 @@ def gradient(spark, sf):
 
 
 def _model_sql():
-    return f"""{_SHIPPED}, sm AS (SELECT scheme, mean, half_width FROM x_model WHERE level = 'scheme'),
+    return f"""{_SHIPPED}, gl AS (SELECT mean, half_width FROM x_model WHERE level = 'global'),
+  sm AS (SELECT f.scheme, CASE WHEN m.mean IS NULL THEN gl.mean ELSE m.mean END AS mean, CASE WHEN m.mean IS NULL THEN gl.half_width ELSE m.half_width END AS half_width
+    FROM (SELECT scheme FROM a_fit WHERE level = 'scheme') f CROSS JOIN gl LEFT JOIN (SELECT * FROM x_model WHERE level = 'scheme') m USING (scheme)),
   fullfit AS (SELECT * FROM a_fit WHERE level = 'scheme')"""
 
 
