@@ -14,7 +14,7 @@ from pairmeter.functions.exprs import EPS, inside
 from pairmeter.operators.conformal import (
     ALPHA, CELL, MIN_CAL_ROWS, MIN_CLUSTERS, MIN_ROWS, reduce_rows, stack_levels)
 from pairmeter.operators.order_stats import (
-    INF, conformal_quantile, conformal_rank, finite, finite_or_null, with_ranks)
+    INF, conformal_quantile, conformal_rank, finite, finite_or_null, kth_refined, with_ranks)
 from pairmeter.plans.local import constant_table
 from pairmeter.plans.staging import stage
 
@@ -73,10 +73,9 @@ def widen_bands(hist: DataFrame, sup: DataFrame, folds: DataFrame, alpha=ALPHA,
     cal = (hist.join(_role(folds, "cal"), "family")
            .join(tr_scheme, ["fold", "scheme"], "left").join(tr_all, "fold")
            .withColumn("resid", F.abs(F.col("delta") - F.coalesce("s_mean", "g_mean")))
-           .groupBy("fold", "scheme", "band", "resid").agg(F.sum("n").alias("n")))
-    q = stage(conformal_quantile(
-        stack_levels(cal).groupBy("fold", *CELL, "resid").agg(F.sum("n").alias("n")),
-        ["fold", *CELL], "resid", alpha).withColumnRenamed("n", "n_cal"))
+           .select("fold", "scheme", "band", "resid", "n"))
+    q = kth_refined(stack_levels(cal), ["fold", *CELL], "resid", lambda tot: conformal_rank(tot, alpha))
+    q = stage(q.withColumn("q", F.coalesce("q", F.lit(INF))).withColumnRenamed("n", "n_cal"))
     level = lambda name, cols, out: q.where(F.col("level") == name).select(
         "fold", *cols, F.col("q").alias(out), F.col("n_cal").alias(out + "_n"))
 

@@ -8,6 +8,8 @@ group can skew, and only the histogram is ordered inside a window.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pairmeter.plans.staging import stage
+
 INF = float("inf")
 
 
@@ -42,6 +44,32 @@ def conformal_quantile(hist: DataFrame, keys, score, alpha=0.10, n="n", name="q"
     return out.withColumn(name, F.coalesce(name, F.lit(INF)))
 
 
+BUCKET = 0.05  # points; at most 4,000 buckets for residuals up to 200
+
+
+def kth_refined(rows: DataFrame, keys, value, rank, n="n", name="q", width=BUCKET) -> DataFrame:
+    """``kth_smallest`` for rows too many to shuffle, such as residuals expanded over folds.
+
+    First pass: counts per bucket of the value, combined before the shuffle, name the bucket that
+    holds the wanted rank. Second pass: only the rows of that bucket are ordered. Exact, and neither
+    pass moves the rows themselves.
+    """
+    keys = list(keys)
+    rows = rows.withColumn("_b", F.floor(F.col(value) / width))
+    coarse = rows.groupBy(*keys, "_b").agg(F.sum(n).alias("_c"))
+    w = Window.partitionBy(*keys)
+    upto = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    coarse = coarse.withColumns({"_cum": F.sum("_c").over(upto), "_tot": F.sum("_c").over(w)})
+    k = rank(F.col("_tot"))
+    hit = F.struct(F.col("_b").alias("b"), (k - (F.col("_cum") - F.col("_c"))).alias("need"))
+    target = stage(coarse.groupBy(*keys).agg(F.max("_tot").alias("_n"), F.min(F.when((F.col("_cum") >= k) & (k >= 1), hit)).alias("_t"))
+                   .select(*keys, "_n", F.col("_t.b").alias("_b"), F.col("_t.need").alias("_need")))
+    near = (rows.join(target.drop("_n").where("_b is not null"), [*keys, "_b"])
+            .groupBy(*keys, "_need", value).agg(F.sum(n).alias(n)))
+    fine = with_ranks(near, keys, value, n).groupBy(*keys).agg(F.min(F.when(F.col("cum") >= F.col("_need"), F.col(value))).alias(name))
+    return target.select(*keys, F.col("_n").alias("n")).join(fine, keys, "left")
+
+
 def finite(col) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.abs(c) < INF

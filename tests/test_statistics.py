@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pairmeter.functions.exprs import feature_columns
 from pairmeter.operators import audits as Q, bias as B, conformal as C, folds as E, models as P, resample as U, verdicts as V
-from pairmeter.operators.order_stats import conformal_quantile, histogram, kth_smallest
+from pairmeter.operators.order_stats import conformal_quantile, histogram, kth_refined, kth_smallest
 from pairmeter.plans.local import constant_table
 
 
@@ -27,7 +27,9 @@ def test_order_statistic_on_skewed_histogram(spark):
     x = np.round(np.where(rng.random(3000) < 0.4, 0.0, rng.normal(size=3000)), 2)
     h = histogram(frame(spark, k=["a"] * 3000, delta=x.tolist()), "k")
     for k in (1, 700, 1500, 3000):
-        assert kth_smallest(h, ["k"], "delta", lambda t, k=k: F.lit(k)).first()["q"] == np.sort(x)[k - 1]
+        for fn in (kth_smallest, kth_refined):
+            assert fn(h, ["k"], "delta", lambda t, k=k: F.lit(k)).first()["q"] == np.sort(x)[k - 1]
+    assert kth_refined(h, ["k"], "delta", lambda t: t + 1).first()["q"] is None
 
 
 def synthetic(seed=0, clusters=24, fams=3):
