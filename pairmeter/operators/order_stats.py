@@ -70,6 +70,16 @@ def kth_refined(rows: DataFrame, keys, value, rank, n="n", name="q", width=BUCKE
     return target.select(*keys, F.col("_n").alias("n")).join(fine, keys, "left")
 
 
+def percentile_refined(rows: DataFrame, keys, value, p, n="n", name="p") -> DataFrame:
+    """Linear-interpolated percentile per key of values that need not lie on a grid: the two
+    neighbouring order statistics, each by ``kth_refined``, so no group is held in memory."""
+    keys, pos = list(keys), lambda tot: F.lit(float(p)) * (tot - 1)
+    lo = kth_refined(rows, keys, value, lambda t: (F.floor(pos(t)) + 1).cast("long"), n, "_lo")
+    hi = kth_refined(rows, keys, value, lambda t: (F.ceil(pos(t)) + 1).cast("long"), n, "_hi").drop("n")
+    frac = pos(F.col("n")) - F.floor(pos(F.col("n")))
+    return lo.join(hi, keys).select(*keys, (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias(name))
+
+
 def finite(col) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.abs(c) < INF

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairmeter.functions.exprs import noise_scale
+from pairmeter.operators.order_stats import percentile_refined
 
 NEAR_LOSSLESS = ("w8a16", "fp8_dynamic")
 FOUR_BIT = ("w4a16", "nvfp4")
@@ -101,6 +102,13 @@ def composition(df: DataFrame) -> DataFrame:
     return t.withColumn("share", F.col("n") / t.agg(F.sum("n")).scalar())
 
 
+def excess_summary(excess: DataFrame, recipe="scheme") -> DataFrame:
+    """Count, mean, minimum and 5th percentile of excess damage per recipe and pooled."""
+    x = excess.select(F.explode(F.array(F.col(recipe), F.lit("pool"))).alias("recipe"), "excess").withColumn("n", F.lit(1))
+    t = x.groupBy("recipe").agg(F.count("*").alias("n"), F.avg("excess").alias("mean"), F.min("excess").alias("min"))
+    return t.join(percentile_refined(x, ["recipe"], "excess", 0.05, name="p05"), "recipe")
+
+
 def channel_kurtosis(vectors: DataFrame) -> DataFrame:
     """Population excess kurtosis per (unit, channel), rolled up per unit."""
     ch = vectors.select("unit", F.posexplode("embedding").alias("channel", "x"))

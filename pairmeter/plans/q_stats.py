@@ -298,9 +298,8 @@ def lofo(spark, sf):
 SELECT recipe, count(*) AS n, {R('avg(excess)')} AS mean, {R('min(excess)')} AS min, {R('quantile_cont(excess, 0.05)')} AS p05 FROM x GROUP BY recipe
 UNION ALL SELECT 'pool', count(*), {R('avg(excess)')}, {R('min(excess)')}, {R('quantile_cont(excess, 0.05)')} FROM x""")
 def excess_by_recipe(spark, sf):
-    x = J.excess_over_control(runs(spark, sf)).select(F.explode(F.array("scheme", F.lit("pool"))).alias("recipe"), "excess")
-    return x.groupBy("recipe").agg(F.count("*").alias("n"), r6(F.avg("excess")).alias("mean"), r6(F.min("excess")).alias("min"),
-                                   r6(F.percentile("excess", 0.05)).alias("p05"))
+    t = A.excess_summary(stage(J.excess_over_control(runs(spark, sf)).select("scheme", "excess")))
+    return t.select("recipe", "n", *[r6(c).alias(c) for c in ("mean", "min", "p05")])
 
 
 @query("a23_paired_item_rollup", f"""WITH {OBS_SQL} SELECT model, benchmark, count(*) AS n_items, {R('100 * avg((acc_before >= 50)::int)')} AS acc_before, {R('100 * avg((acc_after >= 50)::int)')} AS acc_after,

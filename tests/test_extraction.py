@@ -30,10 +30,10 @@ def test_task_label(spark, label, task):
 
 
 @pytest.mark.parametrize("name,scheme,size,family,cluster", [
-    ("RedHatAI/Mixtral-8x7B-Instruct-quantized.w4a16", "w4a16", 56.0, "mistral", "Mixtral-8x7B-Instruct"),
-    ("RedHatAI/Llama-3.2-3B-Instruct-FP8-dynamic", "fp8_dynamic", 3.0, "llama-3", "Llama-3.2-3B-Instruct"),
-    ("RedHatAI/diffusiongemma-26B-A4B-NVFP4", "nvfp4", 26.0, "other", "diffusiongemma-26B-A4B"),
-    ("RedHatAI/phi-4", None, None, "other", "phi-4")])
+    ("Pub/Mixtral-8x7B-Instruct-quantized.w4a16", "w4a16", 56.0, "mistral", "Mixtral-8x7B-Instruct"),
+    ("Pub/Llama-3.2-3B-Instruct-FP8-dynamic", "fp8_dynamic", 3.0, "llama-3", "Llama-3.2-3B-Instruct"),
+    ("Pub/diffusiongemma-26B-A4B-NVFP4", "nvfp4", 26.0, "other", "diffusiongemma-26B-A4B"),
+    ("Pub/phi-4", None, None, "other", "phi-4")])
 def test_identity(spark, name, scheme, size, family, cluster):
     r = spark.createDataFrame([(name, "", 999)], "doc_id string, text string, n_bytes long").transform(X.describe).first()
     assert (r.scheme, r.params_b, r.family, r.base_model) == (scheme, size, family, cluster)

@@ -213,7 +213,7 @@ def test_empty_input_is_unchecked(spark):
 def test_planted_prose_defects(spark):
     texts = ["we saw the the effect", "and the width and the width come from", "coverage of. The interval", "one,, two", "widths come from the \\emph{} partition",
              "that is the whole point \\paragraph{What it cannot do.}"]
-    clean = ["see e.g. the discussion in", "recorded in PROVENANCE.md and in src/strata.py", "the floor is 0.507pp against 0.262pp of headroom",
-             "\\paragraph{What this tool is for.} The scenario it answers"]
+    clean = ["see e.g. the discussion in", "stated in notes.md and in code.py", "a width of 0.5 against 0.3 before",
+             "\\paragraph{What it is for.} The question"]
     d = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id int, text string")
     assert {r.doc_id for r in Q.prose_defects(d).collect()} == set(range(len(texts)))
