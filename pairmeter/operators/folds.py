@@ -189,19 +189,20 @@ def mondrian_bands(train_sums: DataFrame, cal_hist: DataFrame, test_cells: DataF
     score = F.abs(F.col("delta") - F.coalesce("s_mean", "g_mean"))
     if noise:
         score = score / F.col(noise)
-    h = (cal_hist.join(means, ["fold", "scheme"], "left").join(overall, "fold").withColumn("score", score)
-         .groupBy("fold", "scheme", "score").agg(F.sum("n").alias("n")))
-
-    def quantiles(hist, keys, name):
-        r = with_ranks(hist, keys, "score")
-        pick = lambda a: F.coalesce(
-            F.min(F.when(F.col("cum") >= conformal_rank(F.col("tot"), a), F.col("score"))), F.lit(INF))
-        return r.groupBy(*keys).agg(F.array(*[pick(a) for a in alphas]).alias(name))
-
-    marginal = quantiles(h.groupBy("fold", "score").agg(F.sum("n").alias("n")), ["fold"], "q_m")
+    h = (cal_hist.join(means, ["fold", "scheme"], "left").join(overall, "fold")
+         .select("fold", "scheme", score.alias("score"), "n"))
+    # the marginal quantile is that of a treatment called *; ungrouped folds need no other
+    level = F.explode(F.array("scheme", F.lit("*"))) if grouped else F.lit("*")
+    h = h.select("fold", level.alias("scheme"), "score", "n")
+    q = None
+    for i, a in enumerate(alphas):
+        one = kth_refined(h, ["fold", "scheme"], "score", lambda tot, a=a: conformal_rank(tot, a), name=f"_q{i}")
+        q = one if q is None else q.join(one.drop("n"), ["fold", "scheme"])
+    q = stage(q.select("fold", "scheme", F.array(*[F.coalesce(f"_q{i}", F.lit(INF)) for i in range(len(alphas))]).alias("q")))
+    marginal = q.where("scheme = '*'").select("fold", F.col("q").alias("q_m"))
     out = test_cells.join(means, ["fold", "scheme"], "left").join(overall, "fold").join(marginal, "fold")
     if grouped:
-        out = out.join(quantiles(h, ["fold", "scheme"], "q_g"), ["fold", "scheme"], "left")
+        out = out.join(q.where("scheme <> '*'").withColumnRenamed("q", "q_g"), ["fold", "scheme"], "left")
     else:
         out = out.withColumn("q_g", F.col("q_m"))
     out = out.select(*test_cells.columns, F.coalesce("s_mean", "g_mean").alias("yhat"), "q_m", "q_g",
@@ -212,13 +213,15 @@ def mondrian_bands(train_sums: DataFrame, cal_hist: DataFrame, test_cells: DataF
 
 
 def family_mondrian(df: DataFrame, families, n_cal=1, alphas=(ALPHA,), grouped=True, noise=None,
-                    min_cal=MIN_FOLD_CAL, min_train=MIN_FOLD_TRAIN, extra=()):
+                    min_cal=MIN_FOLD_CAL, min_train=MIN_FOLD_TRAIN, extra=(), hist=None):
     """(hist, bands): Mondrian bands of every family fold and the histogram they are scored on.
 
-    ``extra`` keys split the whole protocol (for example a preprocessing variant).
+    ``extra`` keys split the whole protocol (for example a preprocessing variant); a ``hist`` from
+    an earlier call with the same keys is used again.
     """
     values = ["delta"] + ([noise] if noise else [])
-    hist = stage(df.groupBy(*extra, "family", "scheme", *values).agg(F.count("*").alias("n")))
+    if hist is None:
+        hist = stage(df.groupBy(*extra, "family", "scheme", *values).agg(F.count("*").alias("n")))
     folds = family_folds(df.sparkSession, families, n_cal)
     tag = F.concat_ws("|", *extra, "fold")
     cells = hist.groupBy(*extra, "family", "scheme").agg(

@@ -260,9 +260,9 @@ v AS (SELECT *, 'mondrian_scheme' AS config FROM w_pred UNION ALL SELECT *, 'mar
 {S.evaluate('v', 'config', _FOLD)}""")
 def regime_c(spark, sf):
     d, fams = obs(spark, sf), families(spark, sf)
-    out = None
+    out = hist = None
     for name, grouped in (("mondrian_scheme", True), ("marginal", False)):
-        hist, bands = E.family_mondrian(d, fams, n_cal=2, min_train=30, grouped=grouped)
+        hist, bands = E.family_mondrian(d, fams, n_cal=2, min_train=30, grouped=grouped, hist=hist)
         s = E.score_histogram(hist, bands, eps=0.0).withColumn("config", F.lit(name))
         out = s if out is None else out.unionByName(s)
     return _evaluated(out, F.col("config"))
