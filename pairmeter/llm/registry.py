@@ -1,11 +1,16 @@
 """Name -> query and name -> DuckDB twin of the corpus operators."""
 
-from pairmeter.llm import mixing
+from pairmeter.llm import mixing, packing, vectors, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_vector_near_dedup": vectors.query,
+    "op7_packing": packing.query,
+    "op10_warc": warc.query,
 }
 
 ORACLES = {
     "op1_mixing": mixing.SQL,
+    "op2_vector_near_dedup": vectors.SQL,
+    "op10_warc": warc.SQL,
 }
