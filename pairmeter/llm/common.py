@@ -95,3 +95,75 @@ def batches_by_bytes(frames, column: str, limit: int = 4 << 20):
         for a, b in zip([0, *edges], [*edges, len(frame)]):
             if b > a:
                 yield frame.iloc[a:b]
+
+
+# ---- hashed words and shingles ---------------------------------------------------------------------
+
+_rng = np.random.default_rng(20240607)
+_BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def _powers(n: int) -> np.ndarray:
+    out = np.ones(n, dtype=np.uint64)
+    out[1:] = _STEP
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(buf: np.ndarray, segment: int = 1 << 20):
+    """(64-bit hash, first byte) of every word in a byte array; A to Z count as lower case.
+
+    Works in segments cut at white space, so the memory used does not follow the length of a text.
+    """
+    hashes, firsts, at = [], [], 0
+    while at < len(buf):
+        stop = min(at + segment, len(buf))
+        while stop < len(buf) and not _SPACE[buf[stop - 1]]:
+            gap = np.flatnonzero(_SPACE[buf[stop:stop + segment]])
+            stop = stop + int(gap[0]) + 1 if len(gap) else min(stop + segment, len(buf))
+        part = buf[at:stop]
+        space = _SPACE[part]
+        first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        if len(first):
+            length = np.diff(np.append(first, len(part)))
+            place = np.arange(first[0], len(part)) - np.repeat(first, length)
+            value = _BYTE[_LOWER[part[first[0]:]]] * _powers(int(length.max()))[place]
+            value[space[first[0]:]] = 0
+            hashes.append(mix64(np.add.reduceat(value, first - first[0])))
+            firsts.append(first + at)
+        at = stop
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(firsts)
+
+
+def shingle_sets(texts, width: int):
+    """The sorted distinct ``width``-word shingles of every text as 63-bit hashes; a shorter text is one
+    shingle, a text without words has none."""
+    buf, starts = text_buffer(texts)
+    h, first = word_hashes(buf)
+    bound = np.searchsorted(first, starts)
+    factor = mix64(np.arange(1, width + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
+    s = np.zeros(max(0, len(h) - width + 1), np.uint64)
+    for k in range(width):
+        s += h[k:k + len(s)] * factor[k]
+    s = (mix64(s) >> np.uint64(1)).astype(np.int64)
+    for a, b in zip(bound[:-1], bound[1:]):
+        if b - a >= width:
+            yield np.unique(s[a:b - width + 1])
+        elif b > a:
+            whole = np.sum(h[a:b] * factor[:b - a], keepdims=True) + np.array([b - a], np.uint64) * _STEP
+            yield (mix64(whole) >> np.uint64(1)).astype(np.int64)
+        else:
+            yield np.zeros(0, np.int64)
