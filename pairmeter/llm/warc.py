@@ -32,7 +32,8 @@ CHUNK = 1 << 18
 
 def _open(path: str, mode: str):
     fs, where = pyarrow.fs.FileSystem.from_uri(path)
-    return fs.open_input_stream(where) if mode == "r" else fs.open_output_stream(where)
+    # the members are compressed here: the file name must not start a second compression
+    return fs.open_input_stream(where, compression=None) if mode == "r" else fs.open_output_stream(where, compression=None)
 
 
 def record_id(page_id) -> str:
