@@ -6,37 +6,40 @@ from the per-family delta histogram; test rows meet the finished bands in one eq
 loops over folds.
 """
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, functions as F
 
 from pairmeter.functions.exprs import EPS, inside
 from pairmeter.operators.conformal import (
     ALPHA, CELL, MIN_CAL_ROWS, MIN_CLUSTERS, MIN_ROWS, reduce_rows, stack_levels)
 from pairmeter.operators.order_stats import (
-    INF, conformal_quantile, conformal_rank, finite, finite_or_null, kth_refined, with_ranks)
+    INF, conformal_quantile, conformal_rank, finite, kth_refined, percentile_refined)
 from pairmeter.plans.local import constant_table
 from pairmeter.plans.staging import stage
 
 MIN_FOLD_CAL = 19
 MIN_FOLD_TRAIN = 50
-MAX_FAMILIES = 64
 
 
 def family_folds(spark, families, n_cal=1) -> DataFrame:
     """(fold, test_family, cal_family, family, role) for every test family and every set of
-    ``n_cal`` other families as calibration."""
-    if len(families) > MAX_FAMILIES:
-        raise ValueError(f"{len(families)} fold keys; family folds are meant for at most {MAX_FAMILIES}")
-    rows = []
-    for test in families:
-        for cal in combinations([f for f in families if f != test], n_cal):
-            label = "+".join(cal)
-            for f in families:
-                role = "test" if f == test else "cal" if f in cal else "train"
-                rows.append((f"{test}|{label}", test, label, f, role))
-    names = ("fold", "test_family", "cal_family", "family", "role")
-    return constant_table(spark, {n: [r[i] for r in rows] for i, n in enumerate(names)})
+    ``n_cal`` other families as calibration.
+
+    ``families`` is a table of distinct keys (column ``family``) or a list of them. The folds are
+    joins of that table with itself, written once; no list of keys or folds is held by the driver.
+    """
+    if not isinstance(families, DataFrame):
+        families = constant_table(spark, {"family": list(families)})
+    keys = stage(families.select("family").where("family is not null").distinct())
+    cal = keys.select(F.array("family").alias("cal"))
+    for _ in range(n_cal - 1):  # sets in rising order
+        cal = cal.join(keys, F.element_at("cal", -1) < F.col("family")).select(F.array_append("cal", F.col("family")).alias("cal"))
+    test = keys.withColumnRenamed("family", "test_family")
+    sets = test.join(cal, ~F.array_contains("cal", F.col("test_family")))
+    role = F.when(F.col("family") == F.col("test_family"), "test").when(F.array_contains("cal", F.col("family")), "cal").otherwise("train")
+    label = F.array_join("cal", "+")
+    # every fold names every family once, whatever its role
+    folds = sets.join(keys, (F.col("family") == F.col("test_family")) | (F.col("family") != F.col("test_family")))
+    return stage(folds.select(F.concat("test_family", F.lit("|"), label).alias("fold"), "test_family", label.alias("cal_family"), "family", role.alias("role")))
 
 
 def _role(folds, role, *cols):
@@ -182,7 +185,8 @@ def mondrian_bands(train_sums: DataFrame, cal_hist: DataFrame, test_cells: DataF
     """Treatment-mean centre and per-treatment conformal quantile for every fold.
 
     train_sums (fold, scheme, s, n); cal_hist (fold, scheme, delta[, noise], n); test_cells (fold,
-    scheme, ...). One row per (test cell, alpha) with yhat, q, backed_off.
+    scheme, ...). One row per (test cell, alpha) with yhat, q, backed_off, and q_marginal, the
+    quantile without groups.
     """
     means = train_sums.groupBy("fold", "scheme").agg((F.sum("s") / F.sum("n")).alias("s_mean"))
     overall = train_sums.groupBy("fold").agg((F.sum("s") / F.sum("n")).alias("g_mean"))
@@ -209,19 +213,18 @@ def mondrian_bands(train_sums: DataFrame, cal_hist: DataFrame, test_cells: DataF
                      F.posexplode(F.array(*[F.lit(float(a)) for a in alphas])).alias("_i", "alpha"))
     q_g, q_m = F.coalesce(F.get("q_g", F.col("_i")), F.lit(INF)), F.get("q_m", F.col("_i"))
     back = ~finite(q_g) & F.lit(backoff and grouped)
-    return out.withColumns({"backed_off": back, "q": F.when(back, q_m).otherwise(q_g)}).drop("q_m", "q_g", "_i")
+    out = out.withColumns({"backed_off": back, "q": F.when(back, q_m).otherwise(q_g), "q_marginal": q_m})
+    return out.drop("q_m", "q_g", "_i")
 
 
 def family_mondrian(df: DataFrame, families, n_cal=1, alphas=(ALPHA,), grouped=True, noise=None,
-                    min_cal=MIN_FOLD_CAL, min_train=MIN_FOLD_TRAIN, extra=(), hist=None):
+                    min_cal=MIN_FOLD_CAL, min_train=MIN_FOLD_TRAIN, extra=()):
     """(hist, bands): Mondrian bands of every family fold and the histogram they are scored on.
 
-    ``extra`` keys split the whole protocol (for example a preprocessing variant); a ``hist`` from
-    an earlier call with the same keys is used again.
+    ``extra`` keys split the whole protocol (for example a preprocessing variant).
     """
     values = ["delta"] + ([noise] if noise else [])
-    if hist is None:
-        hist = stage(df.groupBy(*extra, "family", "scheme", *values).agg(F.count("*").alias("n")))
+    hist = stage(df.groupBy(*extra, "family", "scheme", *values).agg(F.count("*").alias("n")))
     folds = family_folds(df.sparkSession, families, n_cal)
     tag = F.concat_ws("|", *extra, "fold")
     cells = hist.groupBy(*extra, "family", "scheme").agg(
@@ -254,12 +257,13 @@ def evaluate(scored: DataFrame, *keys) -> DataFrame:
     rows = scored.groupBy(*keys).agg(
         F.sum("n").alias("n_rows"), w(F.col("covered")).alias("coverage"),
         (F.sum(F.when(fin, F.col("half_width") * n)) / F.sum(F.when(fin, n))).alias("mean_half_width"),
-        F.percentile(finite_or_null("half_width"), F.lit(0.5), n).alias("median_half_width"),
         w(F.abs(err)).alias("mae"), F.sqrt(w(err * err)).alias("rmse"),
         (1 - F.sum(err * err * n) / (F.sum(F.col("delta") * F.col("delta") * n)
                                      - F.pow(F.sum(F.col("delta") * n), 2) / F.sum(n))).alias("r2"),
         w((F.col("lo") > 0) | (F.col("hi") < 0)).alias("share_excluding_zero"),
         w(~fin).alias("share_infinite"), w(F.col("backed_off")).alias("share_backoff"))
+    median = percentile_refined(scored.where(fin), keys, "half_width", 0.5, name="median_half_width")
+    rows = rows.join(median, list(keys), "left")
     per_fold = scored.groupBy(*keys, "fold").agg(w(F.col("covered")).alias("c"))
     folds = per_fold.groupBy(*keys).agg(
         F.count("*").alias("n_folds"), F.avg("c").alias("mean_per_fold_coverage"),
@@ -355,13 +359,11 @@ def jackknife_plus(df: DataFrame, group, n_groups, alpha=ALPHA, min_clusters=MIN
     t = t.select("fg", "scheme", "n", F.round(centre - resid, 9).alias("lo_t"), F.round(centre + resid, 9).alias("hi_t"))
     t = t.select("fg", F.explode(F.array("scheme", F.lit("*"))).alias("scheme"), "n",
                  F.explode(F.array(F.struct(F.lit("lo").alias("side"), F.col("lo_t").alias("v")), F.struct(F.lit("hi").alias("side"), F.col("hi_t").alias("v")))).alias("x"))
-    t = t.groupBy("fg", "scheme", "x.side", "x.v").agg(F.sum("n").alias("n"))
-    r = with_ranks(t, ["fg", "scheme", "side"], "v")
-    tot = F.col("tot")
-    k = F.when(F.col("side") == "lo", F.greatest(F.floor(F.lit(alpha) * (tot + 1)), F.lit(1))).otherwise(
-        F.least(F.ceil(F.lit(1 - alpha) * (tot + 1)), tot))
-    q = r.groupBy("fg", "scheme", "side").agg(F.min(F.when(F.col("cum") >= k, F.col("v"))).alias("v"))
-    q = q.groupBy("fg", "scheme").agg(F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("lo"), F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("hi"))
+    t = stage(t.groupBy("fg", "scheme", "x.side", "x.v").agg(F.sum("n").alias("n")))
+    lower = lambda tot: F.greatest(F.floor(F.lit(alpha) * (tot + 1)), F.lit(1))
+    upper = lambda tot: F.least(F.ceil(F.lit(1 - alpha) * (tot + 1)), tot)
+    order = lambda side, rank: kth_refined(t.where(F.col("side") == side), ["fg", "scheme"], "v", rank, name=side).drop("n")
+    q = order("lo", lower).join(order("hi", upper), ["fg", "scheme"])
     per = clusters.groupBy("scheme").agg(F.sum("k").alias("k_all"))
     cells = clusters.join(per, "scheme").select(F.col("g").alias("fg"), "scheme", (F.col("k_all") - F.col("k")).alias("k"))
     m = q.where("scheme <> '*'").select("fg", "scheme", F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi"))
