@@ -7,8 +7,9 @@ a delta histogram per (scheme, band, side) and a cluster support table.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pairmeter.functions.exprs import md5_int
 from pairmeter.operators.order_stats import (
-    INF, conformal_quantile, conformal_rank, finite, histogram, weighted_mean, with_ranks)
+    INF, conformal_quantile, conformal_rank, finite, histogram, kth_refined, weighted_mean, with_ranks)
 from pairmeter.plans.staging import stage
 
 ALPHA = 0.10
@@ -24,8 +25,7 @@ def cluster_partition(df: DataFrame, seed=0, fraction=1.0 / 3.0, key="base_model
     The hash threshold comes from the cluster list itself: the list is reduced to counts per
     leading hash bits first, so no task ever orders the whole list.
     """
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    clusters = df.select(key).distinct().withColumn("_h", h).withColumn("_b", F.shiftrightunsigned("_h", 50))
+    clusters = df.select(key).distinct().withColumn("_h", md5_int(seed, F.col(key))).withColumn("_b", F.shiftright("_h", 44))
     per = clusters.groupBy("_b").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     per = per.withColumns({"_end": F.sum("_n").over(upto),
@@ -115,8 +115,8 @@ def fit_split(hist: DataFrame, sup: DataFrame, variant="widen", alpha=ALPHA) ->
         cal = cal.join(t, ["scheme", "band"], "left")
         centre = F.coalesce("t_mean", centre)
     resid = cal.withColumn("resid", F.abs(F.col("delta") - centre)).select("scheme", "band", "resid", "n")
-    q = conformal_quantile(stack_levels(resid).groupBy(*CELL, "resid").agg(F.sum("n").alias("n")),
-                           CELL, "resid", alpha).withColumnRenamed("n", "n_cal")
+    q = kth_refined(stack_levels(resid), CELL, "resid", lambda tot: conformal_rank(tot, alpha))
+    q = q.withColumn("q", F.coalesce("q", F.lit(INF))).withColumnRenamed("n", "n_cal")
     enough = F.coalesce(F.col("n_cal") >= MIN_CAL_ROWS, F.lit(False))
     out = (fit.withColumnRenamed("half_width", "fit_half_width").join(q, CELL, "left")
            .withColumn("half_width", F.when(enough, F.col("q")).otherwise(F.col("fit_half_width"))))
@@ -208,9 +208,10 @@ def mondrian(train: DataFrame, cal: DataFrame, by="scheme", alpha=ALPHA, normali
     if normalized:
         score = score / noise
     h = score_rows.select(by, score.alias("score")).groupBy(by, "score").agg(F.count("*").alias("n"))
-    per = conformal_quantile(h, [by], "score", alpha, name="q_group").withColumnRenamed("n", "n_cal")
-    pooled = h.groupBy("score").agg(F.sum("n").alias("n")).withColumn("_all", F.lit(1))
-    marginal = conformal_quantile(pooled, ["_all"], "score", alpha, name="q_marginal").select("q_marginal")
+    rank = lambda tot: conformal_rank(tot, alpha)
+    per = kth_refined(h, [by], "score", rank, name="q_group").withColumnRenamed("n", "n_cal")
+    pooled = kth_refined(h.withColumn("_all", F.lit(1)), ["_all"], "score", rank, name="q_marginal")
+    marginal = pooled.select(F.coalesce("q_marginal", F.lit(INF)).alias("q_marginal"))
     keys = means.join(per, by, "full_outer").withColumn("mean", F.coalesce("mean", g_mean))
     q_group = F.coalesce("q_group", F.lit(INF))
     out = keys.withColumn("q_marginal", marginal.scalar())
