@@ -11,6 +11,12 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def md5_int(*parts) -> Column:
+    """60 bits of the MD5 of the parts joined by colons: a seeded hash that any SQL engine repeats."""
+    key = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
 def r6(col) -> Column:
     """Six-place rounding for reported aggregates."""
     return F.round(_c(col), 6)

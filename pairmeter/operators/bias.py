@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairmeter.functions.exprs import md5_int
 from pairmeter.operators.resample import dense_index
 
 ALPHA = 0.10
@@ -87,10 +88,10 @@ def mixture_quantile(published: DataFrame, excess: DataFrame, pis=PIS, alpha=ALP
     Seeded draws of fixed number, so the product of the two sets is never formed.
     """
     spark = published.sparkSession
-    index = lambda d, c, out: dense_index(d.select(F.lit(0).alias("_g"), F.col(c).alias(out), F.xxhash64(*d.columns).alias("_k")), ["_g"], "_k")
+    index = lambda d, c, out: dense_index(d.select(F.lit(0).alias("_g"), F.col(c).alias(out), F.concat_ws(":", *d.columns).alias("_k")), ["_g"], "_k")
     pub, exc = index(published, "delta", "p"), index(excess, "excess", "e")
     size = lambda d: d.agg(F.count("*")).scalar()
-    h = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), F.col("id"))
+    h = lambda salt: md5_int(seed, salt, F.col("id"))
     d = spark.range(draws).select(
         "id", F.pmod(h("p"), size(pub)).alias("_ip"), F.pmod(h("e"), size(exc)).alias("_ie"),
         (F.pmod(h("u"), F.lit(1_000_000)) / 1_000_000).alias("u"))

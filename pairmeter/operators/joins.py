@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairmeter.functions.exprs import noise_scale, size_band
+from pairmeter.functions.exprs import md5_int, noise_scale, size_band
 from pairmeter.plans.local import constant_table
 
 
@@ -34,7 +34,7 @@ def excess_over_control(runs: DataFrame) -> DataFrame:
 def reference_drift(rows: DataFrame, corpus: DataFrame, limit=2.0) -> DataFrame:
     ref = corpus.groupBy("base_model", "benchmark").agg(F.avg("acc_before").alias("ref"))
     gap = F.abs(F.col("ref") - F.col("acc_before"))
-    return rows.join(ref, ["base_model", "benchmark"]).withColumn("gap", gap).where(F.round("gap", 9) > limit)
+    return rows.join(ref, ["base_model", "benchmark"]).withColumn("gap", gap).where(F.col("gap") > limit)
 
 
 def overlap_audit(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def matched_pairs(own: DataFrame, published: DataFrame, key="model", max_gap=2.0
     t = t.withColumns({"gap": F.col("our_delta") - F.col("pub_delta"), "se": noise_scale("our_before", "n_items")})
     return t.withColumns({"z": F.col("gap") / F.col("se"),
                           "ratio": F.when(F.abs("pub_delta") > 1e-9, F.col("our_delta") / F.col("pub_delta")),
-                          "refused": F.round(F.abs(F.col("our_before") - F.col("pub_before")), 9) >= max_gap})
+                          "refused": F.abs(F.col("our_before") - F.col("pub_before")) >= max_gap})
 
 
 def feature_join(left: DataFrame, right: DataFrame, key):
@@ -84,7 +84,7 @@ def leak_count(test: DataFrame, *others: DataFrame) -> Column:
 
 def hash_sample(df: DataFrame, key, n, seed=0) -> DataFrame:
     """The n rows with the smallest seeded key hash: a repeatable audit sample."""
-    return df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))).orderBy("_h", key).limit(n).drop("_h")
+    return df.withColumn("_h", md5_int(seed, F.col(key))).orderBy("_h", key).limit(n).drop("_h")
 
 
 def gained_lost(base: DataFrame, other: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from pairmeter.functions.exprs import md5_int
+
 # Penalty grid of the nested tuning.
 RIDGE_ALPHAS = [0.01, 0.03, 0.1, 0.3, 1, 3, 10, 30, 100, 300, 1000]
 
@@ -101,7 +103,7 @@ def nested_ridge(df: DataFrame, features: dict, alphas=RIDGE_ALPHAS) -> DataFram
 
 def grouped_cv_ridge(df: DataFrame, features: dict, alphas=RIDGE_ALPHAS, folds=5, key="base_model", seed=0) -> DataFrame:
     """MAE of every penalty under cross-validation whose folds never split a cluster."""
-    d = df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds)).cast("string"))
+    d = df.withColumn("_fold", F.pmod(md5_int(seed, F.col(key)), F.lit(folds)).cast("string"))
     grams = gram_by_group(d, features, "_fold")
     total = sum(grams.values())
     coefs = {f: {str(i): ridge(total - g, a) for i, a in enumerate(alphas)} for f, g in grams.items()}
@@ -131,7 +133,8 @@ def lofo_boosting(df: DataFrame, features: dict, families, depth=3, iters=300, r
     raw = df.select("family", F.col(target).alias("label"), *[c.cast("double").alias(f"f{i}") for i, c in enumerate(features.values())])
     v = VectorAssembler(inputCols=raw.columns[2:], outputCol="features").transform(raw).select("family", "label", "features")
     out = None
-    for f in families:
+    # one fit per key is the protocol: the keys name the fits and are all the driver holds
+    for f in sorted(r[0] for r in families.select("family").distinct().collect()):
         m = GBTRegressor(maxDepth=depth, maxIter=iters, stepSize=rate, seed=0).fit(v.where(F.col("family") != f))
         t = m.transform(v.where(F.col("family") == f)).select("family", F.abs(F.col("label") - F.col("prediction")).alias("e"))
         out = t if out is None else out.unionByName(t)

@@ -10,6 +10,7 @@ from math import factorial, prod
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from pairmeter.functions.exprs import md5_int
 from pairmeter.plans.local import constant_table
 from pairmeter.plans.staging import stage
 
@@ -55,10 +56,11 @@ def exact_bounds(clusters: DataFrame, keys, ok="ok", n="n", cluster="base_model"
     return v.groupBy(*keys).agg(F.max("k").alias("k"), (100 * at(lo)).alias("boot_lo"), (100 * at(hi)).alias("boot_hi"))
 
 
-def dense_index(df: DataFrame, keys, order, buckets=64) -> DataFrame:
-    """0-based index per group without ordering a whole group in one task: hash buckets are
-    numbered separately and shifted by the running bucket counts."""
-    d = df.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(buckets)))
+def dense_index(df: DataFrame, keys, order) -> DataFrame:
+    """0-based index per group, in the order of (five hash digits, value), without ordering a whole
+    group in one task: hash buckets are numbered separately and shifted by the running bucket counts.
+    There are as many buckets as distinct digits occur, so they follow the number of rows."""
+    d = df.withColumn("_b", F.substring(F.md5(F.col(order).cast("string")), 1, 5))
     per = d.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
@@ -70,15 +72,16 @@ def dense_index(df: DataFrame, keys, order, buckets=64) -> DataFrame:
 def draws_table(clusters: DataFrame, keys, sums, draws, seed=0, cluster="base_model") -> DataFrame:
     """One row per (group, draw): ``sums`` added over k clusters drawn with replacement.
 
-    Draw j of a replicate is the cluster whose index is a seeded hash of (replicate, j), so repeat
-    runs agree. Work is clusters x draws, spread over the clusters.
+    Draw j of a replicate is the cluster whose index is a seeded MD5 of (replicate, j), so repeat
+    runs and other engines agree. Work is clusters x draws, spread over the clusters; a cluster drawn
+    several times by a replicate is counted before the sums are joined.
     """
     c = dense_index(with_cluster_count(clusters, keys), keys, cluster)
     picks = c.select(*keys, "k", F.col("idx").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picks = picks.select(*keys, "draw", F.pmod(F.xxhash64(F.lit(seed), "draw", "j"), F.col("k")).alias("idx"))
-    # how often each cluster is drawn, before anything is joined
-    return (picks.join(c.select(*keys, "idx", *sums), [*keys, "idx"])
-            .groupBy(*keys, "draw").agg(*[F.sum(s).alias(s) for s in sums]))
+    picks = picks.select(*keys, "draw", F.pmod(md5_int(seed, F.col("draw"), F.col("j")), F.col("k")).alias("idx"))
+    times = picks.groupBy(*keys, "idx", "draw").agg(F.count("*").alias("times"))
+    return (times.join(c.select(*keys, "idx", *sums), [*keys, "idx"])
+            .groupBy(*keys, "draw").agg(*[F.sum(F.col(s) * F.col("times")).alias(s) for s in sums]))
 
 
 def percentile_bounds(values: DataFrame, keys, value, lo=0.05, hi=0.95) -> DataFrame:
@@ -186,24 +189,31 @@ def clopper_pearson(k, n, conf=0.95) -> Column:
 
 
 def average_rank(df: DataFrame, value, out) -> DataFrame:
-    """Average rank with ties, from the distinct values: counts below plus half the ties.
+    """Average rank with ties of a weighted table (weight ``n``): rows below plus half the ties.
 
-    Distinct values are ranked through range buckets, so no single task orders the column.
+    The distinct values are range-partitioned by what is there, so a peaked column spreads like any
+    other; partitions are offset by their totals, one number each.
     """
-    per = df.groupBy(value).agg(F.count("*").alias("_t"))
-    lo_hi = per.agg(F.min(value).alias("a"), F.max(value).alias("b"))
-    a, b = lo_hi.select("a").scalar(), lo_hi.select("b").scalar()
-    per = per.withColumn("_b", F.floor(F.when(b > a, (F.col(value) - a) / (b - a) * 255).otherwise(F.lit(0.0))))
-    tot = per.groupBy("_b").agg(F.sum("_t").alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inner = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = per.join(tot, "_b").select(
+    per = df.groupBy(value).agg(F.sum("n").alias("_t"))
+    per = stage(per.repartitionByRange(value).withColumn("_part", F.spark_partition_id()))
+    sums = sorted(per.groupBy("_part").agg(F.sum("_t")).collect())
+    before = constant_table(df.sparkSession, {"_part": [int(p) for p, _ in sums], "_off": [int(sum(t for _, t in sums[:i])) for i in range(len(sums))]})
+    inner = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = per.join(before, "_part").select(
         value, (F.col("_off") + F.coalesce(F.sum("_t").over(inner), F.lit(0)) + (F.col("_t") + 1) / 2).alias(out))
     return df.join(ranks, value)
 
 
+def _weighted_corr(x, y) -> Column:
+    n = F.col("n")
+    mean = lambda c: F.sum(c * n) / F.sum(n)
+    x, y = F.col(x).cast("double"), F.col(y).cast("double")
+    spread = lambda c: mean(c * c) - mean(c) * mean(c)
+    return (mean(x * y) - mean(x) * mean(y)) / F.sqrt(spread(x) * spread(y))
+
+
 def correlations(df: DataFrame, x, y) -> DataFrame:
-    """Pearson and Spearman of two columns."""
-    r = average_rank(average_rank(stage(df.select(x, y).dropna()), x, "_rx"), y, "_ry")
-    return r.agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
+    """Pearson and Spearman of two columns, on the counts of their distinct pairs."""
+    pairs = stage(df.select(x, y).dropna().groupBy(x, y).agg(F.count("*").alias("n")))
+    r = average_rank(average_rank(pairs, x, "_rx"), y, "_ry")
+    return r.agg(F.sum("n").alias("n"), _weighted_corr(x, y).alias("pearson"), _weighted_corr("_rx", "_ry").alias("spearman"))

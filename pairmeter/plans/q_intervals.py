@@ -104,7 +104,7 @@ def _stats_with_status(m):
                     *[r6(finite_or_null(c)).alias(c) for c in STATS])
 
 
-@query("c1_cluster_partition")
+@query("c1_cluster_partition", f"WITH {OBS_SQL} {S.sampled_calibration()}")
 def cluster_partition(spark, sf):
     return C.cluster_partition(obs(spark, sf))
 

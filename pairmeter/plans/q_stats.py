@@ -154,7 +154,7 @@ def control_arm(spark, sf):
 
 
 @query("j6_reference_drift", f"""WITH {RUNS_SQL}, ref AS (SELECT base_model, benchmark, avg(acc_before) AS ref FROM obs GROUP BY ALL)
-SELECT model, benchmark, {R('ref')} AS ref, {R('acc_before')} AS acc_before, {R('abs(ref - acc_before)')} AS gap FROM runs JOIN ref USING (base_model, benchmark) WHERE round(abs(ref - acc_before), 9) > 2""")
+SELECT model, benchmark, {R('ref')} AS ref, {R('acc_before')} AS acc_before, {R('abs(ref - acc_before)')} AS gap FROM runs JOIN ref USING (base_model, benchmark) WHERE abs(ref - acc_before) > 2""")
 def reference_drift(spark, sf):
     return J.reference_drift(runs(spark, sf), obs(spark, sf)).select(
         "model", "benchmark", r6("ref").alias("ref"), r6("acc_before").alias("acc_before"), r6("gap").alias("gap"))
@@ -181,7 +181,7 @@ def harvested_subset(spark, sf):
 pub AS (SELECT model, avg(acc_before) AS pub_before, avg(delta) AS pub_delta FROM obs GROUP BY model),
 m AS (SELECT *, our_delta - pub_delta AS gap, 100 * sqrt(2 * greatest(least(our_before / 100, 1 - 1e-3), 1e-3) * (1 - greatest(least(our_before / 100, 1 - 1e-3), 1e-3)) / n) AS se FROM own JOIN pub USING (model))
 SELECT model, {R('pub_before')} AS pub_before, {R('our_before')} AS our_before, {R('gap')} AS gap, {R('se')} AS se, {R('gap / se')} AS z,
-  {R('CASE WHEN abs(pub_delta) > 1e-9 THEN our_delta / pub_delta END')} AS ratio, round(abs(our_before - pub_before), 9) >= 2 AS refused FROM m""")
+  {R('CASE WHEN abs(pub_delta) > 1e-9 THEN our_delta / pub_delta END')} AS ratio, abs(our_before - pub_before) >= 2 AS refused FROM m""")
 def matched_pairs(spark, sf):
     d = obs(spark, sf)
     own = d.where("verified = 1").groupBy("model").agg(
@@ -261,12 +261,7 @@ def noise_registry(spark, sf):
                  r6(100 * F.min("share")).alias("min_pct"), r6(100 * F.max("share")).alias("max_pct"))
 
 
-_LOFO = """fams AS (SELECT DISTINCT family AS f FROM obs), g AS (SELECT f, avg(delta) AS gm FROM fams JOIN obs ON family <> f GROUP BY f),
-sm AS (SELECT f, scheme, avg(delta) AS m FROM fams JOIN obs ON family <> f GROUP BY ALL), bm AS (SELECT f, benchmark, avg(delta) AS m FROM fams JOIN obs ON family <> f GROUP BY ALL),
-sb AS (SELECT f, scheme, benchmark, avg(delta) AS m FROM fams JOIN obs ON family <> f GROUP BY ALL),
-e AS (SELECT o.family, o.base_model, abs(delta - gm) AS e_global, abs(delta - coalesce(sm.m, gm)) AS e_scheme, abs(delta - coalesce(bm.m, gm)) AS e_task, abs(delta - coalesce(sb.m, sm.m, gm)) AS e_scheme_task
-  FROM obs o JOIN g ON g.f = o.family LEFT JOIN sm ON sm.f = o.family AND sm.scheme = o.scheme LEFT JOIN bm ON bm.f = o.family AND bm.benchmark = o.benchmark
-  LEFT JOIN sb ON sb.f = o.family AND sb.scheme = o.scheme AND sb.benchmark = o.benchmark)"""
+_LOFO = S.LOFO
 _PRED = ("global", "scheme", "task", "scheme_task")
 
 
@@ -414,7 +409,8 @@ def worst_groups(spark, sf):
     return t.orderBy(F.round("m", 9), "model").limit(10).select("model", "n", r6("m").alias("mean"))
 
 
-@query("w5_hash_sampled_rows")
+@query("w5_hash_sampled_rows", f"""WITH {OBS_SQL} SELECT obs_id, scheme, acc_before, acc_after FROM obs
+  ORDER BY ('0x' || substr(md5('0:' || obs_id), 1, 15))::BIGINT, obs_id LIMIT 60""")
 def hash_sampled(spark, sf):
     return J.hash_sample(obs(spark, sf), "obs_id", 60).select("obs_id", "scheme", "acc_before", "acc_after")
 

@@ -29,11 +29,19 @@ def exact_bootstrap(spark, sf):
     return t.select("scheme", "band", F.col("k").cast("long").alias("k"), r6("boot_lo").alias("boot_lo"), r6("boot_hi").alias("boot_hi"))
 
 
-@query("u2_monte_carlo_cluster_bootstrap")
+def _bounds(t, *keys):
+    return t.select(*keys, r6("boot_lo").alias("boot_lo"), r6("boot_hi").alias("boot_hi"))
+
+
+_B = f"{R('boot_lo')} AS boot_lo, {R('boot_hi')} AS boot_hi"
+
+
+@query("u2_monte_carlo_cluster_bootstrap", f"""{PAIRS_SQL}, {_CL}, big AS (SELECT * FROM cl QUALIFY count(*) OVER (PARTITION BY scheme, band) > 8),
+{S.draws('d', 'big', 'scheme, band', ['ok', 'n'], 20_000)}, {S.draw_bounds('x', 'd_d', 'scheme, band', '100.0::DOUBLE * ok / n', 0.05, 0.95)} SELECT scheme, band, {_B} FROM x_b""")
 def monte_carlo(spark, sf):
     c = _cells(spark, sf)
     large = U.with_cluster_count(c, ["scheme", "band"]).where(F.col("k") > U.EXACT_MAX).drop("k")
-    return U.monte_carlo_bounds(large, ["scheme", "band"], draws=1000)
+    return _bounds(U.monte_carlo_bounds(large, ["scheme", "band"], draws=20_000), "scheme", "band")
 
 
 # ------------------------------------------------------------------ a new cohort under a frozen model
@@ -86,9 +94,10 @@ def intraclass(spark, sf):
                     r6("design_effect").alias("design_effect"), F.col("max_rows").cast("long").alias("max_rows"))
 
 
-@query("u3_ratio_bootstrap")
+@query("u3_ratio_bootstrap", f"""{COHORT_SQL}, {_CCL}, {S.draws('d', 'cl', 'scheme', ['ok', 'n'], 10_000)},
+{S.draw_bounds('x', 'd_d', 'scheme', '100.0::DOUBLE * ok / n', 0.025, 0.975)} SELECT scheme, {_B} FROM x_b""")
 def ratio_bootstrap(spark, sf):
-    return U.monte_carlo_bounds(_cohort_clusters(spark, sf), ["scheme"], draws=1000, lo=0.025, hi=0.975)
+    return _bounds(U.monte_carlo_bounds(_cohort_clusters(spark, sf), ["scheme"], draws=10_000, lo=0.025, hi=0.975), "scheme")
 
 
 @query("u4_coverage_with_exact_interval")
@@ -98,17 +107,23 @@ def exact_interval(spark, sf):
         "scheme", "k", "n", (F.col("k") / F.col("n")).alias("coverage"), r6("ci.lo").alias("lo"), r6("ci.hi").alias("hi"))
 
 
-@query("u7_coverage_difference_bootstrap")
+_SIDES = f"""{_COHORT.replace('cohort AS (SELECT * FROM obs WHERE family', 'cohort AS (SELECT * FROM obs), late AS (SELECT * FROM obs WHERE family')},
+sd AS (SELECT CASE WHEN family = 'EUROPE' THEN 'out' ELSE 'in' END AS side, base_model, sum(ok::int) AS ok, count(*) AS n FROM y_pred GROUP BY ALL)"""
+
+
+@query("u7_coverage_difference_bootstrap", f"""WITH {OBS_SQL}, {_SIDES}, {S.draws('d', 'sd', 'side', ['ok', 'n'], 20_000)},
+f AS (SELECT 'in-out' AS contrast, a.draw, 100 * (a.ok::DOUBLE / a.n - b.ok::DOUBLE / b.n) AS v FROM d_d a JOIN d_d b ON a.draw = b.draw AND a.side = 'in' AND b.side = 'out'),
+{S.draw_bounds('x', 'f', 'contrast', 'v', 0.025, 0.975)} SELECT contrast, {_B} FROM x_b""")
 def difference_bootstrap(spark, sf):
-    """In-family minus out-of-family coverage; the two cluster pools are drawn separately."""
-    s, d, _ = cohort(spark, sf)
-    side = F.when(F.substring("base_model", 2, 12).cast("int") % 2 == 0, "even").otherwise("odd")
-    c = stage(s.groupBy(side.alias("side"), F.col("model").alias("base_model"))
-              .agg(F.sum(F.col("ok").cast("int")).alias("ok"), F.count("*").alias("n")))
-    dr = U.draws_table(c, ["side"], ["ok", "n"], 1000)
-    a, b = (dr.where(F.col("side") == x).select("draw", (F.col("ok") / F.col("n")).alias(x)) for x in ("even", "odd"))
-    diff = a.join(b, "draw").select(F.lit("even-odd").alias("contrast"), "draw", (100 * (F.col("even") - F.col("odd"))).alias("v"))
-    return U.percentile_bounds(diff, ["contrast"], "v", 0.025, 0.975)
+    """Coverage inside the fitted families minus coverage in the new one; the two cluster pools are drawn separately."""
+    _, d, model = cohort(spark, sf)
+    s = C.predict(d, model).withColumn("ok", inside("delta", "lo", "hi"))
+    side = F.when(F.col("family") == "EUROPE", "out").otherwise("in")
+    c = stage(s.groupBy(side.alias("side"), "base_model").agg(F.sum(F.col("ok").cast("int")).alias("ok"), F.count("*").alias("n")))
+    dr = stage(U.draws_table(c, ["side"], ["ok", "n"], 20_000))
+    a, b = (dr.where(F.col("side") == x).select("draw", (F.col("ok") / F.col("n")).alias(x)) for x in ("in", "out"))
+    diff = a.join(b, "draw").select(F.lit("in-out").alias("contrast"), "draw", (100 * (F.col("in") - F.col("out"))).alias("v"))
+    return _bounds(U.percentile_bounds(diff, ["contrast"], "v", 0.025, 0.975), "contrast")
 
 
 @query("u8_paired_gain", f"""WITH {OBS_SQL}, fams AS (SELECT DISTINCT family AS f FROM obs),
@@ -123,34 +138,44 @@ def paired_gain(spark, sf):
     return t.select("family", "n", r6("g").alias("mean_gain"), (F.col("g") > 0).alias("positive"))
 
 
-@query("u8_paired_gain_bootstrap")
+_LOFO_CL = f"""WITH {OBS_SQL}, {S.LOFO}, cl AS (SELECT 'all' AS metric, family, base_model, count(*) AS n, sum(e_global) AS eg, sum(e_scheme) AS es, sum(e_task) AS et,
+  sum(e_scheme_task) AS est, sum(e_global - e_scheme) AS gain FROM e GROUP BY ALL)"""
+
+
+@query("u8_paired_gain_bootstrap", f"""{_LOFO_CL}, {S.draws('d', 'cl', 'metric', ['gain', 'n'], 20_000)},
+{S.draw_bounds('x', 'd_d', 'metric', 'gain / n', 0.025, 0.975)} SELECT 'gain' AS metric, {_B} FROM x_b""")
 def paired_gain_bootstrap(spark, sf):
     c = stage(lofo_errors(obs(spark, sf)).groupBy(F.lit("gain").alias("metric"), "base_model")
               .agg(F.sum("gain").alias("ok"), F.sum("n").alias("n")))
-    return U.monte_carlo_bounds(c, ["metric"], draws=1000, lo=0.025, hi=0.975, scale=1.0)
+    return _bounds(U.monte_carlo_bounds(c, ["metric"], draws=20_000, lo=0.025, hi=0.975, scale=1.0), "metric")
 
 
-@query("u9_skill_bootstrap_by_family")
+@query("u9_skill_bootstrap_by_family", f"""{_LOFO_CL}, fam AS (SELECT 'skill' AS metric, family, sum(eg) AS eg, sum(es) AS es, sum(n) AS n FROM cl GROUP BY family),
+{S.draws('d', 'fam', 'metric', ['eg', 'es', 'n'], 5_000, cluster='family')}, {S.draw_bounds('x', 'd_d', 'metric', '(eg - es) / n', 0.025, 0.975)}
+SELECT metric, {_B}, (SELECT {R('avg(((eg - es) / n > 0)::INT)')} FROM d_d) AS p_positive FROM x_b""")
 def skill_bootstrap(spark, sf):
     """5000 family draws of MAE(global mean) - MAE(scheme mean), with P(skill > 0)."""
     c = stage(lofo_errors(obs(spark, sf)).groupBy(F.lit("skill").alias("metric"), "family")
               .agg(F.sum("err_global").alias("eg"), F.sum("err_scheme").alias("es"), F.sum("n").alias("n")))
     d = U.draws_table(c, ["metric"], ["eg", "es", "n"], 5000, cluster="family").withColumn(
         "v", (F.col("eg") - F.col("es")) / F.col("n"))
-    p = d.groupBy("metric").agg(F.avg((F.col("v") > 0).cast("int")).alias("p_positive"))
-    return U.percentile_bounds(d, ["metric"], "v", 0.025, 0.975).join(p, "metric")
+    d = stage(d)
+    p = d.groupBy("metric").agg(r6(F.avg((F.col("v") > 0).cast("int"))).alias("p_positive"))
+    return _bounds(U.percentile_bounds(d, ["metric"], "v", 0.025, 0.975), "metric").join(p, "metric")
 
 
-@query("u10_error_difference_cis")
+@query("u10_error_difference_cis", f"""{_LOFO_CL}, {S.draws('d', 'cl', 'metric', ['n', 'eg', 'es', 'et', 'est'], 20_000)},
+f AS (SELECT unnest(['scheme', 'task', 'scheme_task']) AS predictor, unnest([(es - eg) / n, (et - eg) / n, (est - eg) / n]) AS v FROM d_d),
+{S.draw_bounds('x', 'f', 'predictor', 'v', 0.025, 0.975)} SELECT predictor, {_B} FROM x_b""")
 def error_differences(spark, sf):
     """Cluster bootstrap of several error columns at once: each predictor against the global mean."""
     c = stage(lofo_errors(obs(spark, sf)).groupBy(F.lit("all").alias("metric"), "base_model").agg(
         F.sum("n").alias("n"), *[F.sum("err_" + p).alias(p) for p in ("global", "scheme", "task", "scheme_task")]))
-    d = U.draws_table(c, ["metric"], ["n", "global", "scheme", "task", "scheme_task"], 1000)
+    d = U.draws_table(c, ["metric"], ["n", "global", "scheme", "task", "scheme_task"], 20_000)
     diffs = F.array(*[F.struct(F.lit(p).alias("predictor"), ((F.col(p) - F.col("global")) / F.col("n")).alias("v"))
                       for p in ("scheme", "task", "scheme_task")])
     d = d.select("draw", F.explode(diffs).alias("x")).select("draw", "x.*")
-    return U.percentile_bounds(d, ["predictor"], "v", 0.025, 0.975)
+    return _bounds(U.percentile_bounds(stage(d), ["predictor"], "v", 0.025, 0.975), "predictor")
 
 
 @query("u11_rejected_row_bound", f"""WITH {OBS_SQL}, {_COHORT}
@@ -180,10 +205,11 @@ def fold_coverage(spark, sf):
                     (F.col("c") < 0.9).alias("below_nominal"), comb.alias("n_resamples"))
 
 
-@query("u12_fold_coverage_bootstrap")
+@query("u12_fold_coverage_bootstrap", f"""{PAIRS_SQL}, cl AS (SELECT family, base_model, sum(ok::int) AS ok, count(*) AS n FROM y_pred GROUP BY ALL),
+{S.draws('d', 'cl', 'family', ['ok', 'n'], 2_000)}, {S.draw_bounds('x', 'd_d', 'family', '100.0::DOUBLE * ok / n', 0.025, 0.975)} SELECT family, {_B} FROM x_b""")
 def fold_coverage_bootstrap(spark, sf):
     c = stage(scores(spark, sf).groupBy("family", "base_model").agg(F.sum("ok").alias("ok"), F.sum("pairs").alias("n")))
-    return U.monte_carlo_bounds(c, ["family"], draws=1000, lo=0.025, hi=0.975)
+    return _bounds(U.monte_carlo_bounds(c, ["family"], draws=2_000, lo=0.025, hi=0.975), "family")
 
 
 @query("u13_correlations", f"""WITH {RUNS_SQL}, r AS (SELECT acc_before, delta,

@@ -190,3 +190,41 @@ rec AS (SELECT rec0.*, coalesce(e.boot_lo, 100 * (r.p - 1.645 * r.se)) AS boot90
      THEN 'insufficient_evidence' WHEN boot90_lo < 85 AND 85 < boot90_hi THEN 'insufficient_evidence'
      WHEN coverage_one_sided < 0.85 THEN 'refused' ELSE 'trusted' END AS state
    FROM rec0 LEFT JOIN b_exact e USING (scheme, band) LEFT JOIN r_rob r USING (scheme, band))"""
+
+
+def _md5(text):
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
+def draws(name, src, keys, sums, n, seed=0, cluster="base_model"):
+    """CTEs ending in {name}_d(keys, draw, sums): clusters of ``src`` drawn with replacement n times."""
+    added = ", ".join(f"sum({s}) AS {s}" for s in sums)
+    return f"""{name}_i AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY substr(md5({cluster}::VARCHAR), 1, 5), {cluster}) - 1 AS idx,
+  count(*) OVER (PARTITION BY {keys}) AS k FROM {src}),
+{name}_p AS (SELECT {keys}, k, idx AS j, unnest(range({n})) AS draw FROM {name}_i),
+{name}_q AS (SELECT {keys}, draw, {_md5(f"'{seed}:' || draw || ':' || j")} % k AS idx FROM {name}_p),
+{name}_d AS (SELECT {keys}, draw, {added} FROM {name}_q JOIN {name}_i USING ({keys}, idx) GROUP BY {keys}, draw)"""
+
+
+def draw_bounds(name, src, keys, value, lo, hi):
+    """CTE {name}_b(keys, boot_lo, boot_hi): order statistics of ``value`` over the draws."""
+    return f"""{name}_o AS (SELECT {keys}, {value} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY {value}) - 1 AS i,
+  count(*) OVER (PARTITION BY {keys}) AS m FROM {src}),
+{name}_b AS (SELECT {keys}, max(v) FILTER (WHERE i = floor({lo} * (m - 1))) AS boot_lo, max(v) FILTER (WHERE i = ceil({hi} * (m - 1))) AS boot_hi
+  FROM {name}_o GROUP BY {keys})"""
+
+
+def sampled_calibration(table="obs", key="base_model", seed=0):
+    """The clusters in order of their seeded hash, the first third of them for calibration."""
+    h = _md5(f"'{seed}:' || {key}")
+    return f"""SELECT {key}, row_number() OVER (ORDER BY {h}, {key}) <= round_even((SELECT count(DISTINCT {key}) FROM {table}) * (1.0::DOUBLE / 3.0), 0) AS is_cal
+FROM (SELECT DISTINCT {key} FROM {table})"""
+
+
+# CTEs ending in e: absolute errors of the mean predictors, each fitted without the row's family.
+LOFO = """fams AS (SELECT DISTINCT family AS f FROM obs), g AS (SELECT f, avg(delta) AS gm FROM fams JOIN obs ON family <> f GROUP BY f),
+sm AS (SELECT f, scheme, avg(delta) AS m FROM fams JOIN obs ON family <> f GROUP BY ALL), bm AS (SELECT f, benchmark, avg(delta) AS m FROM fams JOIN obs ON family <> f GROUP BY ALL),
+sb AS (SELECT f, scheme, benchmark, avg(delta) AS m FROM fams JOIN obs ON family <> f GROUP BY ALL),
+e AS (SELECT o.family, o.base_model, abs(delta - gm) AS e_global, abs(delta - coalesce(sm.m, gm)) AS e_scheme, abs(delta - coalesce(bm.m, gm)) AS e_task, abs(delta - coalesce(sb.m, sm.m, gm)) AS e_scheme_task
+  FROM obs o JOIN g ON g.f = o.family LEFT JOIN sm ON sm.f = o.family AND sm.scheme = o.scheme LEFT JOIN bm ON bm.f = o.family AND bm.benchmark = o.benchmark
+  LEFT JOIN sb ON sb.f = o.family AND sb.scheme = o.scheme AND sb.benchmark = o.benchmark)"""
