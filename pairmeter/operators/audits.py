@@ -105,6 +105,7 @@ def fold_disjointness(folds: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ claims
 
+# Fixed value: the claim tag.
 CLAIM = r"<!--\s*claim:\s*([^\s]+)\s*=\s*([-+0-9.]+)\s*-->"
 
 
@@ -252,6 +253,45 @@ def scan_lines(docs: DataFrame, patterns: dict) -> DataFrame:
     return lines.select("doc_id", (F.col("_i") + 1).alias("line_no"), F.explode(found).alias("x")).select("doc_id", "line_no", "x.*")
 
 
+# Address ranges that identify nobody (first two octets from-to, or whole addresses),
+# and user names that cloud images come with.
+UNROUTED = [("10.0", "10.255"), ("127.0", "127.255"), ("0.0", "0.255"), ("169.254", "169.254"), ("192.168", "192.168"), ("172.16", "172.31")]
+PLACEHOLDERS = ["255.255.255.255", "8.8.8.8", "1.1.1.1"]
+IMAGE_USERS = ["ubuntu", "ec2-user", "admin", "opc", "centos", "root"]
+HOME_PATH = r"(?:^|[^A-Za-z0-9_./])((?:/Users/|/home/)[A-Za-z0-9_.-]+/)"
+WINDOWS_HOME = r"(?:^|[^A-Za-z0-9_./])([A-Z]:\\{1,2}Users\\{1,2}[A-Za-z0-9_.-]+\\)"
+
+
+def _lines(docs: DataFrame, hint: str) -> DataFrame:
+    """(doc_id, line_no, line) of the documents that hold ``hint`` at all."""
+    d = docs.where(F.col("text").rlike(hint)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("_i", "line"))
+    return d.select("doc_id", (F.col("_i") + 1).alias("line_no"), "line")
+
+
+def public_addresses(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, label, match) of IPv4 addresses that stand alone and are routed publicly."""
+    lines = _lines(docs, r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")
+    m = lines.select("doc_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"[A-Za-z0-9_.]+"), 0)).alias("match"))
+    m = m.where(F.col("match").rlike(r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$"))
+    octet = F.transform(F.split("match", r"\."), lambda p: p.try_cast("int"))
+    head = F.get(octet, F.lit(0)) * 256 + F.get(octet, F.lit(1))
+    number = lambda two: int(two.split(".")[0]) * 256 + int(two.split(".")[1])
+    closed = [head.between(number(a), number(b)) for a, b in UNROUTED]
+    ok = F.forall(octet, lambda x: x <= 255) & ~F.col("match").isin(*PLACEHOLDERS)
+    for c in closed:
+        ok = ok & ~c
+    return m.where(ok).select("doc_id", "line_no", F.lit("public address").alias("label"), "match")
+
+
+def personal_paths(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, label, match) of home folders other than those of cloud images."""
+    lines = _lines(docs, r"/Users/|/home/|[A-Z]:\\{1,2}Users\\")
+    found = F.concat(*[F.regexp_extract_all("line", F.lit(p), 1) for p in (HOME_PATH, WINDOWS_HOME)])
+    m = lines.select("doc_id", "line_no", F.explode(found).alias("match"))
+    user = F.element_at(F.filter(F.split("match", r"[/\\]+"), lambda p: p != ""), -1)
+    return m.where(~user.isin(*IMAGE_USERS) | F.col("match").rlike("^[A-Z]:")).select("doc_id", "line_no", F.lit("personal path").alias("label"), "match")
+
+
 # Documentation flags.
 FLAGS = {
     "lib_named": r"(?i)\b(llm[-_ ]?compressor|autogptq|gptqmodel|neuralmagic)\b",

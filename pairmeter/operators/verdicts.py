@@ -85,14 +85,17 @@ def scheme_bands(model: DataFrame, *cols) -> DataFrame:
 
 def assemble(hist: DataFrame, sup: DataFrame, records: DataFrame, model: DataFrame, risk=DEFAULT_RISK,
              band=None, moe=False, aggressive=("w4a16", "nvfp4"), support_floor=True) -> DataFrame:
-    """One row per scheme with flags and tier for a question (risk threshold, size band, moe)."""
+    """One row per scheme with flags and tier for a question (risk threshold, size band, moe).
+
+    A scheme without a coverage record is insufficient evidence: what is missing is never trusted.
+    """
     if risk not in RISK_GRID:
         raise ValueError(f"risk {risk} is not on the grid {RISK_GRID}")
     base = scheme_bands(model, "worst", "p05", "n", "n_checkpoints", "n_families")
     base = base.join(severe_rates(hist).drop("n_rows"), "scheme")
     whole = records.where("band = '*'").select(
         "scheme", F.col("state").alias("scheme_state"), F.col("coverage_one_sided").alias("scheme_one_sided"))
-    t = base.join(whole, "scheme", "left").withColumn("scheme_state", F.coalesce("scheme_state", F.lit(TRUSTED)))
+    t = base.join(whole, "scheme", "left").withColumn("scheme_state", F.coalesce("scheme_state", F.lit(INSUFFICIENT)))
     no = F.lit(False)
     cell_state, size_risk, thin_cell = F.lit(None).cast("string"), no, no
     if band is not None:
@@ -217,5 +220,5 @@ def envelope(hist: DataFrame, model: DataFrame, records: DataFrame, spread: Data
 def demand(log: DataFrame) -> DataFrame:
     """Requests and refusals per scheme, from the pipe-joined lists of the request log."""
     asked = log.select(F.explode(F.split("schemes", r"\|")).alias("scheme"),
-                       F.col("refused_cells").isNotNull().alias("refused"))
+                       (F.coalesce("refused_cells", F.lit("")) != "").alias("refused"))
     return asked.groupBy("scheme").agg(F.count("*").alias("n_requests"), F.sum(F.col("refused").cast("long")).alias("n_refused"))

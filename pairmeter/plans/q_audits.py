@@ -188,6 +188,31 @@ def secrets(spark, sf):
     return Q.scan_lines(table(spark, sf, "documents"), SCANNED).withColumn("line_no", F.col("line_no").cast("long"))
 
 
+_LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM {})"
+
+
+@query("q13_public_addresses", f"""WITH {_LINES.format('documents')}, m AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[A-Za-z0-9_.]+')) AS match FROM l),
+o AS (SELECT *, list_transform(string_split(match, '.'), lambda x: x::int) AS o FROM m WHERE regexp_full_match(match, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}')),
+h AS (SELECT *, o[1] * 256 + o[2] AS head FROM o WHERE list_max(o) <= 255)
+SELECT doc_id, line_no, 'public address' AS label, match FROM h WHERE o[1] NOT IN (0, 10, 127) AND head NOT IN (169 * 256 + 254, 192 * 256 + 168)
+  AND NOT (head BETWEEN 172 * 256 + 16 AND 172 * 256 + 31) AND match NOT IN ('255.255.255.255', '8.8.8.8', '1.1.1.1')""")
+def addresses(spark, sf):
+    return Q.public_addresses(table(spark, sf, "documents")).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+_PATHS = """SELECT page_id AS doc_id, html || chr(10) || 'at ' || CASE page_id % 4 WHEN 0 THEN '/home/ubuntu/' WHEN 1 THEN '/home/u' || page_id || '/data' WHEN 2 THEN '/Users/a.b/' ELSE 'x/home/no/' END AS text FROM pages"""
+
+
+@query("q13_personal_paths", f"""WITH p AS ({_PATHS}), {_LINES.format('p')}, m AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '(?:^|[^A-Za-z0-9_./])((?:/Users/|/home/)[A-Za-z0-9_.-]+/)', 1)) AS match FROM l)
+SELECT doc_id, line_no, 'personal path' AS label, match FROM m WHERE match <> '/home/ubuntu/'""")
+def paths(spark, sf):
+    """Pages with a line that names a folder; one in four is nobody's, one in four no path of its own."""
+    k = F.col("page_id") % 4
+    path = (F.when(k == 0, "/home/ubuntu/").when(k == 1, F.concat(F.lit("/home/u"), "page_id", F.lit("/data"))).when(k == 2, "/Users/a.b/").otherwise("x/home/no/"))
+    d = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.concat("html", F.lit("\nat "), path).alias("text"))
+    return Q.personal_paths(d).withColumn("line_no", F.col("line_no").cast("long"))
+
+
 _FLAG_NONE = ", ".join(f"0::bigint AS {k}" for k in ("calib_dataset", "act_order", "damp"))
 
 

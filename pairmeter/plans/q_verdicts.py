@@ -1,5 +1,7 @@
 """Queries: evidence states, flags, tiers, ranking, envelope."""
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from pairmeter.functions import vocab
@@ -11,10 +13,12 @@ from pairmeter.operators.order_stats import finite_or_null, histogram
 from pairmeter.plans import sql as S
 from pairmeter.plans.q_folds import PAIRS_SQL, scores
 from pairmeter.plans.registry import query
-from pairmeter.plans.staging import stage
+from pairmeter.plans.staging import session_dir, stage
 from pairmeter.plans.views import (
     OBS_SQL, families, is_calibration, obs, table, FOUR_BIT)
 from pairmeter.plans.q_intervals import _SHIPPED
+from pairmeter.sources import sinks
+from pairmeter.sources.schemas import REQUEST_LOG
 
 R = S.r6
 RECORDS_SQL = f"{PAIRS_SQL}, {S.evidence()}"
@@ -230,10 +234,14 @@ def worst(spark, sf):
 @query("v10_demand_rollup", """WITH asked AS (SELECT event_type AS scheme, user_id % 3 AS g FROM events)
 SELECT scheme, count(*) AS n_requests, count(*) FILTER (WHERE g = 0) AS n_refused FROM asked GROUP BY scheme""")
 def demand(spark, sf):
-    """Events read as a request log: what was asked, and how often it was refused."""
-    log = table(spark, sf, "events").select(
-        F.col("event_type").alias("schemes"), F.when(F.col("user_id") % 3 == 0, F.concat("event_type", F.lit("|<2B"))).alias("refused_cells"))
-    return V.demand(log)
+    """Events logged as requests, a third of them with a refused cell, and the log rolled up."""
+    refused = F.when(F.col("user_id") % 3 == 0, F.array(F.concat("event_type", F.lit("|<2B")))).otherwise(F.array().cast("array<string>"))
+    requests = table(spark, sf, "events").select(
+        F.array("event_type").alias("schemes"), F.lit("").alias("size_band"), F.lit(False).alias("moe"), refused.alias("refused_cells"))
+    path = f"{session_dir(spark)}/requests-{uuid.uuid4().hex}"
+    if not sinks.log_requests(requests, path):
+        raise RuntimeError(f"the request log at {path} was not written")
+    return V.demand(spark.read.schema(REQUEST_LOG).parquet(path))
 
 
 _PR4 = ", ".join(f"('{k}', '{v}')" for k, v in ALIASES.items())

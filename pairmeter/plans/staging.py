@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_OWN = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,9 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+        _OWN.add(path)
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
+    """Write ``df`` to the application's folder and return the written table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -51,3 +51,11 @@ def test_request_log_follows_as_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.scheme: r.n_requests for r in spark.table("demand").collect()} == {"af": 2, "nf": 1}
+    assert {r.scheme: r.n_refused for r in spark.table("demand").collect()} == {"af": 1, "nf": 1}
+
+
+def test_intermediate_tables_live_in_the_applications_folder(spark):
+    from pairmeter.plans.staging import session_dir, shared_dir, stage
+    own = session_dir(spark)
+    assert own == f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    assert stage(spark.range(3)).inputFiles()[0].removeprefix("file://").startswith(own)

@@ -153,6 +153,52 @@ def test_clopper_pearson(spark):
     assert r[2].c.lo == pytest.approx(0.025 ** 0.2) and r[2].c.hi == 1
 
 
+def test_seventy_families_are_all_scored(spark):
+    d = spark.range(70 * 24).select(
+        F.format_string("F%02d", F.col("id") % 70).alias("family"), F.concat_ws("-", F.lit("m"), F.col("id") % 70, F.col("id") % 3).alias("base_model"),
+        F.lit("s").alias("scheme"), F.lit("2-10B").alias("band"), F.round(F.rand(3) * 4 - 2, 4).alias("delta"))
+    s = E.pair_cluster_scores(d, d.select("family").distinct())
+    t = s.groupBy("family").agg(F.sum("pairs").alias("p")).collect()
+    assert len(t) == 70 and {r.p for r in t} == {24 * 69}
+
+
+def test_folds_of_two_calibration_families(spark):
+    got = E.family_folds(spark, ["b", "a", "c", "d"], 2).collect()
+    want = {(f"{t}|{x}+{y}", t, f"{x}+{y}", f, "test" if f == t else "cal" if f in (x, y) else "train")
+            for t in "abcd" for x, y in itertools.combinations([f for f in "abcd" if f != t], 2) for f in "abcd"}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_order_statistics_of_off_grid_values_in_one_hot_treatment(spark):
+    rng = np.random.default_rng(4)
+    d = pd.DataFrame({"scheme": np.where(rng.random(4000) < 0.9, "hot", "cold"), "delta": rng.normal(size=4000) / 3, "noise": rng.random(4000) + 0.5})
+    cal, train = (spark.createDataFrame(d.iloc[i::2]) for i in (0, 1))
+    m = {r.scheme: r for r in C.mondrian(train, cal, normalized=True, noise=F.col("noise")).collect()}
+    mean = d.iloc[1::2].groupby("scheme").delta.mean()
+    c = d.iloc[0::2]
+    score = ((c.delta - c.scheme.map(mean)).abs() / c.noise)
+    kth = lambda v: np.sort(v)[math.ceil((len(v) + 1) * (1 - 0.1)) - 1]
+    for s in ("hot", "cold"):
+        assert m[s].q == pytest.approx(kth(score[c.scheme == s])) and m[s].q_marginal == pytest.approx(kth(score))
+
+
+def test_monte_carlo_against_plain_draws(spark):
+    import hashlib
+    h = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    rows = [("g", f"c{i}", i % 4, 4 + i) for i in range(11)]
+    order = sorted(rows, key=lambda r: (hashlib.md5(r[1].encode()).hexdigest()[:5], r[1]))
+    v = sorted(100 * sum(p[2] for p in picks) / sum(p[3] for p in picks) for picks in ([order[h(f"0:{d}:{j}") % 11] for j in range(11)] for d in range(300)))
+    got = U.monte_carlo_bounds(frame(spark, g=[r[0] for r in rows], base_model=[r[1] for r in rows], ok=[r[2] for r in rows], n=[r[3] for r in rows]), ["g"], draws=300).first()
+    assert got.boot_lo == pytest.approx(v[math.floor(0.05 * 299)]) and got.boot_hi == pytest.approx(v[math.ceil(0.95 * 299)])
+
+
+def test_addresses_and_home_folders(spark):
+    text = "at 93.184.216.34 and 10.1.2.3, 172.20.0.1 192.168.1.1 8.8.8.8 1.2.3.4.5 300.1.1.1\n(51.15.0.9) v1.2.3.4 /home/ubuntu/x /home/ann/x x/home/no/ /Users/bob.c/ C:\\Users\\eve\\"
+    d = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")
+    assert {(r.line_no, r.match) for r in Q.public_addresses(d).collect()} == {(1, "93.184.216.34"), (2, "51.15.0.9")}
+    assert {r.match for r in Q.personal_paths(d).collect()} == {"/home/ann/", "/Users/bob.c/", "C:\\Users\\eve\\"}
+
+
 def test_average_ranks(spark):
     d = pd.DataFrame({"x": [3, 1, 2, 2, 9, 9, 9, 0.5], "y": [1, 1, 4, 2, 8, 8, 7, 0]})
     r = U.correlations(spark.createDataFrame(d.astype(float)), "x", "y").first()
