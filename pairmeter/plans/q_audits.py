@@ -192,7 +192,7 @@ _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, gene
 
 
 @query("q13_public_addresses", f"""WITH {_LINES.format('documents')}, m AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[A-Za-z0-9_.]+')) AS match FROM l),
-o AS (SELECT *, list_transform(string_split(match, '.'), lambda x: x::int) AS o FROM m WHERE regexp_full_match(match, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}')),
+o AS (SELECT *, list_transform(string_split(match, '.'), lambda x: TRY_CAST(x AS INT)) AS o FROM m WHERE regexp_full_match(match, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}')),
 h AS (SELECT *, o[1] * 256 + o[2] AS head FROM o WHERE list_max(o) <= 255)
 SELECT doc_id, line_no, 'public address' AS label, match FROM h WHERE o[1] NOT IN (0, 10, 127) AND head NOT IN (169 * 256 + 254, 192 * 256 + 168)
   AND NOT (head BETWEEN 172 * 256 + 16 AND 172 * 256 + 31) AND match NOT IN ('255.255.255.255', '8.8.8.8', '1.1.1.1')""")
