@@ -95,7 +95,7 @@ def _a16_part(base, group):
     {R('100 * avg(ok_one::int)')} AS one_sided_pct,
     {R('100 * avg(coalesce(delta < lo - 1e-9, false)::int)')} AS below_lo_pct,
     {R('100 * avg(coalesce(delta > hi + 1e-9, false)::int)')} AS above_hi_pct, count(*) AS scored_pairs,
-    {R('avg(delta) FILTER (WHERE NOT ok)')} AS mean_delta_of_misses,
+    {R('round(sum(delta) FILTER (WHERE NOT ok), 4) / count(*) FILTER (WHERE NOT ok)')} AS mean_delta_of_misses,
     count(DISTINCT model || benchmark) AS distinct_model_benchmark FROM y_pred GROUP BY {group}"""
 
 
@@ -119,7 +119,7 @@ def one_sided_audit(spark, sf):
         pct("ok").alias("two_sided_pct"), pct("ok_one").alias("one_sided_pct"),
         pct("below_eps").alias("below_lo_pct"), pct("above_eps").alias("above_hi_pct"),
         F.sum("pairs").alias("scored_pairs"),
-        r6(F.when(misses > 0, F.sum("miss_delta") / misses)).alias("mean_delta_of_misses"),
+        r6(F.when(misses > 0, F.round(F.sum("miss_delta"), 4) / misses)).alias("mean_delta_of_misses"),
         F.sum("distinct_model_benchmark").alias("distinct_model_benchmark"))
 
 
