@@ -35,7 +35,7 @@ PIPE = "| t | a | b |"
 
 @pytest.mark.parametrize("n", [1_000, 20_000, 100_000])
 def test_long_pipe_tables(spark, n):
-    body = "\n".join(["intro | x", "|h|a|b|", "|---|:-:|--|", *[f"| r{i} | {i} | 1 |" for i in range(n)], "outro", PIPE, PIPE.upper(), "", PIPE])
+    body = "\n".join(["intro | x", "|h|a|b|", "|---|:--:|--|", *[f"| r{i} | {i} | 1 |" for i in range(n)], "outro", PIPE, PIPE.upper(), "", PIPE])
     got = spark.createDataFrame([(body,)], "v string").select(F.explode(T.pipe_tables(F.col("v"))).alias("rows")).select(
         F.size("rows").alias("n"), F.col("rows")[0].alias("first"), F.element_at("rows", -1).alias("last")).collect()
     assert [r.n for r in got] == [n + 1, 2]
