@@ -23,6 +23,26 @@ def md5_int(value: Column) -> Column:
     return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("long")
 
 
+def unstage(df: DataFrame) -> None:
+    """Deletes a staged table that no later plan reads."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Bits of the filters over ids that spare most rows a shuffle; a full filter spares none.
+FILTER = 1 << 20
+
+
+def id_filter(ids: DataFrame) -> bytes:
+    """A filter of fixed size over the ids in ``ids(id)``; a null id counts as 0."""
+    bits = np.zeros(FILTER, dtype=bool)
+    hit = ids.select(F.pmod(F.coalesce("id", F.lit(0)), F.lit(FILTER)).alias("i")).distinct().toPandas()["i"]
+    bits[hit.to_numpy(dtype=np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def as_row(df: DataFrame, name: str = "row") -> DataFrame:
     """All columns in one struct, so that columns added by an operator cannot clash with them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
@@ -86,7 +106,7 @@ def text_buffer(texts):
     return np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8), starts
 
 
-def batches_by_bytes(frames, column: str, limit: int = 4 << 20):
+def batches_by_bytes(frames, column: str, limit: int = 1 << 20):
     """Slices of the incoming frames whose texts hold about ``limit`` characters, one row at least."""
     for frame in frames:
         sizes = frame[column].str.len().fillna(0).to_numpy(dtype=np.int64)

@@ -26,19 +26,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
-from pairmeter.llm.common import as_row, batches_by_bytes, components, mix64, ranked, read, shingle_sets, stage
+from pairmeter.llm.common import FILTER, as_row, batches_by_bytes, components, id_filter, ranked, read, shingle_sets, stage, unstage
 
 WORDS, PERCENT = 3, 90
 FREQUENT = 32
 SMALL_SET = 24
 TILE, PACK = 256, 2048
-#: Bits of the filter that spares the second pass most documents without a group; a full filter spares none.
-FILTER = 1 << 20
 
 
 def region_end(percent: int) -> int:
-    """End of the hash space in which shingles are counted: twice the share that two sets may differ in."""
-    return int((100 - percent) / 50 * 2**63)
+    """End of the hash space in which shingles are counted: the share that two sets may differ in, and a
+    tenth more for shingles that are not rare."""
+    return int((110 - percent) / 100 * 2**63)
 
 
 def spare(n: int, percent: int) -> int:
@@ -217,26 +216,27 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, row_key, n_shingles, component_id) for every row of ``docs(doc_id, text)``."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = stage(d.withColumn("row_key", row_key(F.col("doc_id"), F.col("text"))).mapInPandas(
+    scanned = stage(d.withColumn("row_key", row_key(F.col("doc_id"), F.col("text"))).mapInPandas(
         _scan(words, percent), "doc_id long, row_key string, n long, set_key binary, region int, low array<long>"))
-    units = rows.where("n > 0").groupBy("set_key").agg(
+    rows = stage(scanned.drop("region", "low"))
+    wide = scanned.where("n > 0").groupBy("set_key").agg(
         F.min("doc_id").alias("low_id"), F.first("n").alias("n"), F.first("region").alias("region"), F.first("low").alias("low"))
-    units = stage(units.withColumn("unit", F.monotonically_increasing_id()))
+    wide = stage(wide.withColumn("unit", F.monotonically_increasing_id()))
+    unstage(scanned)
+    units = stage(wide.drop("region", "low"))
 
-    tokens = units.select("unit", F.explode(F.slice("low", F.lit(1), F.col("region"))).alias("token"))
+    tokens = wide.select("unit", F.explode(F.slice("low", F.lit(1), F.col("region"))).alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("count")).where("count > 1")
     shared = tokens.join(counts, "token").groupBy("unit").agg(F.collect_list(F.struct("count", "token")).alias("shared"))
     few = F.col("region") - F.coalesce(F.size("shared"), F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * percent / 100)
-    keyed = units.drop("set_key", "low_id").join(shared, "unit", "left").where(few)
+    keyed = wide.drop("set_key", "low_id").join(shared, "unit", "left").where(few)
     keys = stage(keyed.mapInPandas(_keys(percent), "unit long, key long"))
+    unstage(wide)
     hubs = keys.groupBy("key").agg(F.min("unit").alias("hub"), F.max("unit").alias("other")).where("hub < other").drop("other")
     candidates = components(keys.join(hubs, "key").select(F.col("unit").alias("a"), F.col("hub").alias("b")))
     candidates = stage(candidates.withColumnRenamed("node", "unit").join(units.select("unit", "set_key", "low_id", "n"), "unit"))
 
-    wanted = np.zeros(FILTER, dtype=bool)
-    hit = [r[0] for r in candidates.select(F.pmod(F.coalesce("low_id", F.lit(0)), F.lit(FILTER)).alias("i")).distinct().collect()]
-    wanted[hit] = True
-    sets = d.mapInPandas(_again(words, np.packbits(wanted).tobytes()), "doc_id long, set_key binary, `set` binary").alias("s")
+    sets = d.mapInPandas(_again(words, id_filter(candidates.select(F.col("low_id").alias("id")))), "doc_id long, set_key binary, `set` binary").alias("s")
     c = candidates.alias("c")
     sized = candidates.groupBy("component").agg(F.count("*").alias("size"))
     members = sets.join(c, (F.col("s.set_key") == F.col("c.set_key")) & F.col("s.doc_id").eqNullSafe(F.col("c.low_id"))).select(
@@ -254,7 +254,7 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     named = units.select("unit", "set_key", "low_id").join(node, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     low = named.groupBy("component").agg(F.min("low_id").alias("component_id"))
     found = stage(named.join(low, "component").select("set_key", "component_id", F.lit(True).alias("found")))
-    return rows.drop("low", "region").join(found, "set_key", "left").select(
+    return rows.join(found, "set_key", "left").select(
         "doc_id", "row_key", F.col("n").alias("n_shingles"),
         F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -278,11 +278,25 @@ def _large_links(large: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents without the near-duplicates of a smaller doc_id; of equal rows one stays."""
-    keep = groups(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("row_key").distinct()
-    keyed = as_row(docs).withColumn("row_key", row_key(F.col("row.doc_id").cast("long"), F.col("row.text")))
+    """The documents without the near-duplicates of a smaller doc_id; of equal rows one stays.
+
+    Only rows that may have to go, by a filter of fixed size over the ids of those that do, are joined with
+    the decision; all others pass where they are.
+    """
+    g = stage(groups(docs, words, percent).select("doc_id", "row_key", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("keep")))
+    goes = g.groupBy("row_key").agg(F.first("doc_id").alias("id"), F.min("keep").alias("keep"), F.count("*").alias("n")).where("not keep or n > 1")
+    bits = id_filter(goes.select("id").unionByName(docs.sparkSession.range(1).select(F.lit(None).cast("long").alias("id"))))
+
+    @F.pandas_udf("boolean")
+    def may_go(doc_id: pd.Series) -> pd.Series:
+        known = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
+        return pd.Series(known[doc_id.fillna(0).to_numpy(dtype=np.int64) % FILTER])
+
+    marked = as_row(docs).withColumn("may_go", may_go(F.col("row.doc_id").cast("long")))
+    keyed = marked.where("may_go").withColumn("row_key", row_key(F.col("row.doc_id").cast("long"), F.col("row.text")))
     w = Window.partitionBy("row_key").orderBy("row_key")
-    return keyed.join(stage(keep), "row_key").withColumn("nth", F.row_number().over(w)).where("nth = 1").select("row.*")
+    judged = keyed.join(stage(g.where("keep").select("row_key").distinct()), "row_key").withColumn("nth", F.row_number().over(w)).where("nth = 1")
+    return marked.where("not may_go").select("row.*").unionByName(judged.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

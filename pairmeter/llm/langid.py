@@ -22,6 +22,8 @@ from pairmeter.llm.common import md5_int, mix64, read, stage
 
 FEATURES, CENTROIDS, PER_LANGUAGE, ROUNDS = 4096, 4, 1000, 12
 SHARPNESS, UNKNOWN = 25.0, "und"
+#: Texts vectorised at once.
+BATCH = 64
 _LETTERS = []
 
 
@@ -83,14 +85,16 @@ def training(docs: DataFrame) -> Column:
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, features: int = FEATURES) -> dict:
     """The model from ``labelled(doc_id, text, lang)``: languages, centroids, limits and IDF weights."""
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    # one number per language: a lookup, so that no text is shuffled for the sample
+    sizes = sorted((r.lang, r.n) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    n = F.try_element_at(F.create_map(*[F.lit(x) for pair in sizes for x in pair]), F.col("lang")) if sizes else F.lit(0)
     share = md5_int(F.concat(F.lit("langid:"), F.col("doc_id").cast("string"))) / F.lit(float(1 << 60))
-    sample = labelled.join(sizes, "lang").where(share * F.col("n") < per_language).select("lang", "text")
+    sample = labelled.where(share * n < per_language).select("lang", "text")
 
     def vectors(frames):
         for f in frames:
-            for at in range(0, len(f), 256):
-                part = f.iloc[at:at + 256]
+            for at in range(0, len(f), BATCH):
+                part = f.iloc[at:at + BATCH]
                 x = ngram_counts(part["text"].tolist(), features)
                 some = x.any(1)
                 yield pd.DataFrame({"lang": part["lang"].to_numpy()[some], "x": [r.astype(np.float32).tobytes() for r in x[some]]})
@@ -138,7 +142,7 @@ def predictor(model: dict):
     @F.pandas_udf(schema)
     def predict(text: pd.Series) -> pd.DataFrame:
         t = text.tolist()
-        parts = [classify(t[i:i + 256], model) for i in range(0, len(t), 256)]
+        parts = [classify(t[i:i + BATCH], model) for i in range(0, len(t), BATCH)]
         return pd.concat(parts, ignore_index=True) if parts else classify([], model)
 
     return predict.asNondeterministic()  # evaluated once, also below a filter

@@ -23,7 +23,7 @@ WINDOW, END = 2048, 1
 #: Pieces that one task packs; only the last few windows of a shard are not full.
 SHARD = 50_000
 #: Token ids held for words already seen before the table of words starts anew.
-CACHE_IDS = 4_000_000
+CACHE_IDS = 2_000_000
 
 
 class WordIds:
@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, wit
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): full windows and one rest per document."""
     def cut(frames):
         encoder = _word_ids(path)
-        for f in batches_by_bytes(frames, "text"):
+        for f in batches_by_bytes(frames, "text", 4 << 20):
             flat, sizes = encoder.encode(f["text"])
             stops = np.cumsum(sizes)
             out = []
