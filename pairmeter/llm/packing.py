@@ -91,6 +91,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, wit
             pdf = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
             pdf["doc_id"] = pdf["doc_id"].astype("Int64")
             yield pdf
+        encoder.forget()  # the worker goes on to other tasks
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<long>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
