@@ -39,30 +39,58 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i ins del
 MARKS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar "
             "footer header masthead comment comments disqus reply replies cookie cookies consent gdpr notice notices alert newsletter subscribe signup "
             "social share sharing related recommended breadcrumb breadcrumbs popup modal overlay widget pagination pager skip login".split())
+# Words that only say where furniture stands or how it is boxed, marks that also head an article, and elements apart from the main text.
+PLACES = set("user site page main global top bottom left right primary secondary mobile desktop sticky container wrapper wrap list section area "
+             "box block bar inner outer links link items item content slot unit x".split())
+HEADS = set("header masthead banner".split())
+APART = set("nav aside footer dialog menu template noscript svg".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)|([^<]+|<)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+# whole name=value pairs, so that no value and no part of a longer name is taken for an attribute
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"?|'[^']*+'?|[^\s\"'>]++))?")
 _SPACES = re.compile(r"\s+")
 
 
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
+def _is_mark(token: str, in_article: bool) -> bool:
+    """Whether a class word or an id names page furniture: every part is a mark or says where it stands."""
+    parts = [p for p in re.split(r"[-_]+", re.sub(r"[0-9]+", "", token)) if p]
+    marks = MARKS.intersection(parts)
+    return bool(marks) and marks.union(PLACES).issuperset(parts) and not (in_article and marks <= HEADS)
+
+
+def _is_furniture(tag: str, attributes: list, in_article: bool) -> bool:
     if tag in FURNITURE and not (tag == "header" and in_article):
         return True
-    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
-        name, value = name.lower(), value.strip("\"'").lower()
+    for name, value in attributes:
         if (name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
                 or name == "role" and value in ROLES
-                or name in ("class", "id") and tag not in ("body", "html", "article", "main") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value))):
+                or name in ("class", "id") and tag not in ("body", "html", "article", "main") and any(_is_mark(t, in_article) for t in value.split())):
             return True
     return False
 
 
+def _attributes(text: str) -> list:
+    return [(name.lower(), value.strip("\"'").strip().lower()) for name, value in _ATTRIBUTE.findall(text)] if text else []
+
+
 def blocks(page: str) -> list:
-    """(text, kind) of every block in page order; kind is "article", "furniture" or "open"."""
+    """(text, kind) of every block in page order; kind is "article", "furniture" or "open".
+
+    An element that holds the page's main element, or its only article, is not furniture. That is known
+    at the end of a page, which is then read once more.
+    """
+    out, seen, holders = _blocks(page, frozenset())
+    return _blocks(page, holders)[0] if holders and not seen else out
+
+
+def _blocks(page: str, spared: frozenset) -> tuple:
+    """The blocks, whether an article or main element stands outside furniture, and the places of the
+    furniture elements around the others; elements that start at a place in ``spared`` are no furniture."""
     out, words, stack = [], [], []
     furniture = article = 0
-    raw = None
+    raw, seen = None, False
+    inside = {}  # start of a furniture element -> its tag, and the main and article elements in it
 
     def flush():
         text = _SPACES.sub(" ", entities.unescape("".join(words))).strip()
@@ -78,7 +106,7 @@ def blocks(page: str) -> list:
             raw = None
             continue
         m = _TOKEN.match(page, at)
-        at = m.end()
+        start, at = at, m.end()
         if m[4] is not None:
             words.append(m[4])
             continue
@@ -89,14 +117,14 @@ def blocks(page: str) -> list:
             if tag in ("br", "img", "wbr"):
                 words.append(" " if tag == "br" else "")
                 continue
-            if m[1] or not m[3] or not _is_furniture(tag, m[3], bool(article)):
+            if m[1] or not m[3] or start in spared or not _is_furniture(tag, _attributes(m[3]), bool(article)):
                 if m[1] and any(s[0] == tag and s[3] for s in stack[-1:]):
                     flush()
-                    _, f, a, _ = stack.pop()
+                    _, f, a, _, _ = stack.pop()
                     furniture, article = furniture - f, article - a
                 continue
             flush()  # an inline element marked as furniture
-            stack.append((tag, 1, 0, True))
+            stack.append((tag, 1, 0, True, start))
             furniture += 1
             continue
         flush()
@@ -105,23 +133,31 @@ def blocks(page: str) -> list:
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    for _, f, a, _ in stack[k:]:
+                    for _, f, a, _, _ in stack[k:]:
                         furniture, article = furniture - f, article - a
                     del stack[k:]
                     break
             continue
         if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
-            _, f, a, _ = stack.pop()
+            _, f, a, _, _ = stack.pop()
             furniture, article = furniture - f, article - a
         if m[3].endswith("/") and tag in FURNITURE:
             continue
-        f, a = int(_is_furniture(tag, m[3], bool(article))), int(tag in ("article", "main") or "main" in m[3] and 'role="main"' in m[3])
-        stack.append((tag, f, a, False))
+        attributes = _attributes(m[3])
+        main = tag == "main" or ("role", "main") in attributes
+        f, a = int(start not in spared and _is_furniture(tag, attributes, bool(article))), int(main or tag == "article")
+        if a and not f:
+            seen = seen or not furniture
+            for t, held, _, _, place in stack:
+                if held:
+                    inside.setdefault(place, (t, []))[1].append(main)
+        stack.append((tag, f, a, False, start))
         furniture, article = furniture + f, article + a
         if tag in RAW:
             raw = tag
     flush()
-    return out
+    holders = frozenset(p for p, (t, held) in inside.items() if any(held) or len(held) == 1 and t not in APART)
+    return out, seen, holders
 
 
 def repeated(tokens: np.ndarray, page: np.ndarray, stop: np.ndarray, long: int = LONG) -> np.ndarray:

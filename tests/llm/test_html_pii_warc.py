@@ -30,6 +30,20 @@ def test_main_text_of_a_page(page, text):
     assert html_text.host_texts([page or ""])[0][0] == text
 
 
+MARKED = [
+    ("<div class='content has-sidebar'><article>a</article></div>", "a"), ("<div class='no-comments share-enabled'><article>a</article></div>", "a"),
+    ("<article><div class='entry-header'><h1>T</h1></div>a</article>", "T\n\na"), ("<article>a <a href='/the-hidden-valley'>b</a> c</article>", "a b c"),
+    ("<article>a <a href='/p?id=comment-3'>b</a> c</article>", "a b c"), ("<article>a <span data-state='hidden'>b</span></article>", "a b"),
+    ("<form><div>m</div><main>a</main></form>", "a"), ("<div class='sidebar'>m<article>a</article></div>", "a"), ("<article>a<div id=comment-3>n</div></article>", "a"),
+    ("<div class='related'><article>n</article><article>o</article></div><p>a", "a"), ("<aside><article>n</article></aside><p>a", "a"), ("<p>a<p data-x='b' hidden>n", "a"),
+]
+
+
+@pytest.mark.parametrize("page,text", MARKED)
+def test_marks_are_whole_names_and_never_hold_the_article(page, text):
+    assert html_text.host_texts([page])[0][0] == text
+
+
 def test_template_of_a_host_goes_and_unique_runs_stay(spark):
     menu, legal = prose(1, 30), prose(2, 25)
     rows = [(i, f"http://h{i % 2}.example/p{i}", f"<div>{menu}</div><div>{prose(100 + i, 60)}</div><div>{legal} page p{i} {prose(200 + i, 10)}</div>") for i in range(40)]
