@@ -2,9 +2,9 @@
 
 The text blocks of a host's pages are laid out as one stream of tokens. A suffix array of the stream,
 sorted on the first ``LONG`` tokens of every suffix, brings equal long substrings together; those that
-occur on two distinct pages are repeats, and the tokens they cover are template. Hosts are dealt to
-shards of bounded size, so a host with a third of all pages is many streams: what its template repeats
-is repeated in every one of them.
+occur on two distinct pages are repeats. Pages are parsed where they lie. A host with more than ``SHARD``
+characters of html is dealt to streams by the content of its pages, so that equal pages meet; its streams
+exchange the hashes of their distinct substrings, and a substring of several streams counts as in one.
 
 Markup then checks the outcome. What stands in navigation, header, footer, aside, form, script or style
 elements, or is marked as advert, notice, sidebar or comment, goes, repeated or not: a template shown
@@ -18,16 +18,19 @@ is its own host; equal pages of a host count as one page; rows that repeat a pag
 own; an empty table gives no rows; extra columns are ignored.
 """
 
+import hashlib
 import html as entities
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairmeter.llm.common import mix64, read, stage, text_buffer, word_hashes
+from pairmeter.llm.common import batches_by_bytes, mix64, read, stage, text_buffer, word_hashes
 
 LONG, SHARD = 8, 4 << 20
+KINDS = {"a": "article", "f": "furniture", "o": "open"}
 
 # Elements and marks of page furniture, raw-text elements, void and inline elements.
 FURNITURE = set("nav header footer aside form script style noscript template svg iframe button select option textarea head title dialog menu "
@@ -160,16 +163,15 @@ def _blocks(page: str, spared: frozenset) -> tuple:
     return out, seen, holders
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, stop: np.ndarray, long: int = LONG) -> np.ndarray:
-    """Marks the tokens inside a substring of at least ``long`` tokens that occurs on two distinct pages.
+def _substrings(tokens: np.ndarray, stop: np.ndarray, long: int):
+    """Starts of the substrings of ``long`` tokens inside a block, and a number that equal ones share.
 
-    ``stop`` is the end of each token's block; no substring crosses it. The suffix array is built by
-    prefix doubling up to ``long`` tokens: suffixes with equal rank then share at least that much.
+    ``stop`` is the end of each token's block. The suffix array is built by prefix doubling up to ``long``
+    tokens: suffixes with equal rank then share at least that much.
     """
     n = len(tokens)
-    covered = np.zeros(n, bool)
     if n < long:
-        return covered
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     _, rank = np.unique(tokens, return_inverse=True)
     width, here = 1, np.arange(n)
     while width < long:
@@ -178,50 +180,123 @@ def repeated(tokens: np.ndarray, page: np.ndarray, stop: np.ndarray, long: int =
         _, rank = np.unique(rank.astype(np.int64) * (n + 1) + other, return_inverse=True)
         width += step
     whole = np.flatnonzero(here + long <= stop)
-    suffixes = whole[np.lexsort((page[whole], rank[whole]))]
-    if not len(suffixes):
-        return covered
-    r, p = rank[suffixes], page[suffixes]
-    run = np.cumsum(np.concatenate([[True], r[1:] != r[:-1]])) - 1
-    pages = np.bincount(run, np.concatenate([[1], (r[1:] != r[:-1]) | (p[1:] != p[:-1])]))
-    hit = suffixes[pages[run] > 1]
+    return whole, np.unique(rank[whole], return_inverse=True)[1] if len(whole) else whole
+
+
+def _distinct(run: np.ndarray, page: np.ndarray, n: int) -> np.ndarray:
+    """Number of distinct pages of each of ``n`` runs."""
+    at = np.lexsort((page, run))
+    r, p = run[at], page[at]
+    return np.bincount(r[np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])]))], minlength=n) if len(r) else np.zeros(n, np.int64)
+
+
+def _cover(starts: np.ndarray, n: int, long: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + long, -1)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + long, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def host_texts(pages: list, long: int = LONG) -> list:
-    """(text, tokens, repeated tokens) of every page (html) of one host stream."""
-    parsed = [blocks(h) for h in pages]
-    flat = [(k, text, kind) for k, page in enumerate(parsed) for text, kind in page]
-    buf, starts = text_buffer([t for _, t, _ in flat])
-    h, first = word_hashes(buf)
-    bound = np.searchsorted(first, starts)
-    sizes = np.diff(bound)
-    # equal pages are one page: they share their number
-    same = {}
-    number = [same.setdefault(tuple(p), k) for k, p in enumerate(parsed)]
-    page = np.repeat(np.array([number[k] for k, _, _ in flat], np.int64), sizes)
-    cover = repeated(mix64(h), page, np.repeat(bound[1:], sizes), long)
-    out = [[[], 0, 0] for _ in pages]
-    marked = [any(kind == "article" for _, kind in p) for p in parsed]
-    for (k, text, kind), a, b in zip(flat, bound[:-1], bound[1:]):
-        inside = cover[a:b]
-        out[k][1] += int(b - a)
-        out[k][2] += int(inside.sum())
-        if kind == "article" or kind == "open" and not marked[k] and not inside.any():
-            out[k][0].append(text)
-        elif kind == "open" and not marked[k]:
-            words = re.findall(r"[^\x20\x09-\x0D]+", text)
+def repeated(tokens: np.ndarray, page: np.ndarray, stop: np.ndarray, long: int = LONG) -> np.ndarray:
+    """Marks the tokens inside a substring of at least ``long`` tokens that occurs on two distinct pages."""
+    at, run = _substrings(tokens, stop, long)
+    return _cover(at[_distinct(run, page[at], len(at))[run] > 1], len(tokens), long)
+
+
+class Stream:
+    """The pages (lists of blocks) of a host, or of a part of it in which no page equals one outside."""
+
+    def __init__(self, parsed: list, long: int = LONG):
+        self.parsed, self.long = parsed, long
+        self.flat = [(k, text, kind) for k, page in enumerate(parsed) for text, kind in page]
+        buf, starts = text_buffer([t for _, t, _ in self.flat])
+        h, first = word_hashes(buf)
+        self.bound = np.searchsorted(first, starts)
+        sizes = np.diff(self.bound)
+        # equal pages are one page: they share their number
+        same = {}
+        number = [same.setdefault(tuple(p), k) for k, p in enumerate(parsed)]
+        page = np.repeat(np.array([number[k] for k, _, _ in self.flat], np.int64), sizes)
+        self.tokens, self.n = mix64(h), len(h)
+        self.at, self.run = _substrings(self.tokens, np.repeat(self.bound[1:], sizes), long)
+        n = int(self.run.max()) + 1 if len(self.run) else 0
+        self.repeat = _distinct(self.run, page[self.at], n) > 1  # of every distinct substring
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hash of every distinct substring."""
+        start = np.zeros(len(self.repeat), np.int64)
+        start[self.run] = self.at
+        g = np.zeros(len(start), np.uint64)
+        for k in range(self.long):
+            g = mix64(g * np.uint64(0x9E3779B97F4A7C15) + self.tokens[start + k])
+        return g
+
+    def learn(self, hashes: np.ndarray):
+        """Takes the substrings that several streams of the host have, by the upper 48 bits of their hashes."""
+        self.repeat |= np.isin(self.hashes() >> np.uint64(16), hashes)
+
+    def texts(self) -> list:
+        """(text, tokens, repeated tokens) of every page."""
+        cover = _cover(self.at[self.repeat[self.run]], self.n, self.long)
+        out = [[[], 0, 0] for _ in self.parsed]
+        marked = [any(kind == "article" for _, kind in p) for p in self.parsed]
+        for (k, text, kind), a, b in zip(self.flat, self.bound[:-1], self.bound[1:]):
+            gone = cover[a:b]
+            out[k][1] += int(b - a)
+            out[k][2] += int(gone.sum())
+            if kind == "furniture" or kind == "open" and marked[k]:
+                continue
+            if kind == "article" or not gone.any():
+                out[k][0].append(text)
+                continue
             run = []
-            for w, c in [*zip(words, inside), ("", True)]:
+            for w, c in [*zip(re.findall(r"[^\x20\x09-\x0D]+", text), gone), ("", True)]:
                 if not c:
                     run.append(w)
                 elif run:
                     out[k][0].append(" ".join(run))
                     run = []
-    return [("\n\n".join(t), n, r) for t, n, r in out]
+        return [("\n\n".join(t), n, r) for t, n, r in out]
+
+
+def host_texts(pages: list, long: int = LONG) -> list:
+    """(text, tokens, repeated tokens) of every page (html) of one host."""
+    return Stream([blocks(h) for h in pages], long).texts()
+
+
+# Substrings that streams exchange: the upper 48 bits of their hashes, sorted, in planes of bytes.
+
+def _packed(hashes: np.ndarray) -> bytes:
+    return zlib.compress(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    x = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(6, -1)
+    h = np.zeros((x.shape[1], 8), np.uint8)
+    h[:, :6] = x.T
+    return h.reshape(-1).view("<u8")
+
+
+def _parts(stream: Stream, parts: int):
+    """(part, packed substrings) of a stream; equal substrings fall into the same part of the host."""
+    g = np.unique(stream.hashes())
+    part = (mix64(g ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    g, part = g[order] >> np.uint64(16), part[order]
+    edges = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip([0, *edges], [*edges, len(part)]):
+        if b > a:
+            yield int(part[a]), _packed(g[a:b])
+
+
+def _shared(packed: list):
+    """For one part of a host: the substrings of each stream that another one has too, packed, or None."""
+    lists = [_unpacked(p) for p in packed]
+    g, n = np.unique(np.concatenate(lists), return_counts=True)
+    several = g[n > 1]
+    for h in lists:
+        h = h[np.isin(h, several)]
+        yield _packed(h) if len(h) else None
 
 
 def host(url):
@@ -233,18 +308,47 @@ def extract(pages: DataFrame, long: int = LONG, shard: int = SHARD) -> DataFrame
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("host", host(F.col("url")))
     p = p.withColumn("host", F.when(F.col("host") == "-", F.concat(F.lit("-"), F.coalesce("url", F.lit("")), F.lit(" "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))).otherwise(F.col("host")))
-    sizes = stage(p.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("html")) / shard)).cast("int").alias("shards")))
-    nth = F.pmod(F.xxhash64("page_id", "url"), F.col("shards"))
-    rows = p.join(sizes, "host").withColumn("nth", nth)
-
-    def work(pdf):
-        pdf = pdf.sort_values(["page_id", "url", "html"], kind="stable")
-        found = host_texts(pdf["html"].tolist(), long)
+    shards = F.greatest(F.lit(1), F.ceil(F.sum(F.length("html")) / shard)).cast("int")
+    sizes = stage(p.groupBy("host").agg(shards.alias("shards")))
+
+    def parse(frames):
+        for f in frames:
+            for g in batches_by_bytes([f], "html"):
+                parsed = [blocks(h) for h in g["html"]]
+                kinds = ["".join(kind[0] for _, kind in p) for p in parsed]
+                text = ["\n".join(t for t, _ in p) for p in parsed]
+                content = [int.from_bytes(hashlib.blake2b(f"{k}\n{t}".encode("utf-8", "replace"), digest_size=7).digest(), "big") for k, t in zip(kinds, text)]
+                yield g[["page_id", "url", "host"]].assign(page_id=g["page_id"].astype("Int64"), kinds=kinds, blocks=text, content=content)
+
+    def stream(pdf):
+        return Stream([[*zip(t.split("\n"), (KINDS[c] for c in k))] if k else [] for t, k in zip(pdf["blocks"], pdf["kinds"])], long)
+
+    def texts(pdf, known=None):
+        s = stream(pdf)
+        if known is not None and len(known):
+            s.learn(np.concatenate([_unpacked(x) for x in known["packed"]]))
+        found = s.texts()
         return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64").to_numpy(), "url": pdf["url"].to_numpy(), "text": [t for t, _, _ in found],
                              "n_chars": [len(t) for t, _, _ in found], "n_tokens": [n for _, n, _ in found], "n_repeated": [r for _, _, r in found]}
                             ).astype({"page_id": "Int64"})
 
-    return rows.groupBy("host", "nth").applyInPandas(work, "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long")
+    def tell(key, pdf):
+        parts = int(pdf["shards"].iloc[0])
+        told = [*_parts(stream(pdf), parts)] if parts > 1 else []
+        return pd.DataFrame({"host": key[0], "nth": key[1], "part": [k for k, _ in told], "packed": [x for _, x in told]})
+
+    def share(pdf):
+        learnt = pdf[["host", "nth"]].assign(packed=[*_shared(pdf["packed"].tolist())])
+        return learnt[learnt["packed"].notna()]
+
+    rows = p.mapInPandas(parse, "page_id long, url string, host string, kinds string, blocks string, content long").join(sizes, "host")
+    rows = rows.withColumn("nth", F.pmod("content", "shards")).groupBy("host", "nth")
+    out = "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long"
+    if sizes.where("shards > 1").isEmpty():
+        return rows.applyInPandas(lambda pdf: texts(pdf), out)
+    told = rows.applyInPandas(tell, "host string, nth long, part long, packed binary")
+    learnt = told.groupBy("host", "part").applyInPandas(share, "host string, nth long, packed binary")
+    return rows.cogroup(learnt.groupBy("host", "nth")).applyInPandas(lambda pdf, known: texts(pdf, known), out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,21 @@ def test_template_of_a_host_goes_and_unique_runs_stay(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_small_and_large_shards_give_the_same_texts(spark):
+    rows = []
+    for i in range(48):  # a section template on one or two of 48 pages, a line in and outside articles, equal pages with unlike html
+        template, line, own = prose(300 + i // 3, 20), prose(400, 14), prose(500 + i, 50)
+        rows.append((i, f"http://hot.example/{i}", f"<div>{template}</div><div>{own}</div>" if i % 2 else f"<p>{line if i % 4 else ''}</p><article><p>{own}<p>{line}</article>"))
+        rows.append((100 + i, f"http://hot.example/copy{i}", f"<script>{i}</script><p>{prose(600, 40)}</p>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    large, small = ({r.page_id: tuple(r) for r in html_text.extract(pages, shard=size).collect()} for size in (4 << 20, 700))
+    assert len(large) == len(rows) and large == small
+    assert all(large[i][2] == f"{prose(500 + i, 50)}\n\n{prose(400, 14)}" for i in range(0, 48, 2))
+    assert all(large[i][2] == prose(500 + i, 50) for i in range(48) if i % 2 and i // 3 % 2)
+    assert all(large[i][2] == f"{prose(300 + i // 3, 20)}\n\n{prose(500 + i, 50)}" for i in range(48) if i % 2 and i // 3 % 2 == 0)
+    assert all(large[100 + i][2] == prose(600, 40) for i in range(48))
+
+
 def test_repeats_against_all_substrings():
     rng = np.random.default_rng(2)
     for _ in range(30):
