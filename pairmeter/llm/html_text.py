@@ -3,8 +3,8 @@
 The text blocks of a host's pages are laid out as one stream of tokens. A suffix array of the stream,
 sorted on the first ``LONG`` tokens of every suffix, brings equal long substrings together; those that
 occur on two distinct pages are repeats. Pages are parsed where they lie. A host with more than ``SHARD``
-characters of html is dealt to streams by the content of its pages, so that equal pages meet; its streams
-exchange the hashes of their distinct substrings, and a substring of several streams counts as in one.
+characters of html is dealt to streams, which exchange the hashes of their distinct substrings, each with
+a page that has it: what stands on two distinct pages anywhere in the host is a repeat in every stream.
 
 Markup then checks the outcome. What stands in navigation, header, footer, aside, form, script or style
 elements, or is marked as advert, notice, sidebar or comment, goes, repeated or not: a template shown
@@ -183,11 +183,13 @@ def _substrings(tokens: np.ndarray, stop: np.ndarray, long: int):
     return whole, np.unique(rank[whole], return_inverse=True)[1] if len(whole) else whole
 
 
-def _distinct(run: np.ndarray, page: np.ndarray, n: int) -> np.ndarray:
-    """Number of distinct pages of each of ``n`` runs."""
-    at = np.lexsort((page, run))
-    r, p = run[at], page[at]
-    return np.bincount(r[np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])]))], minlength=n) if len(r) else np.zeros(n, np.int64)
+def _ends(run: np.ndarray, page: np.ndarray):
+    """The lowest and the highest page of each run of equal substrings."""
+    n = int(run.max()) + 1 if len(run) else 0
+    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+    np.minimum.at(low, run, page)
+    np.maximum.at(high, run, page)
+    return low, high
 
 
 def _cover(starts: np.ndarray, n: int, long: int) -> np.ndarray:
@@ -200,11 +202,12 @@ def _cover(starts: np.ndarray, n: int, long: int) -> np.ndarray:
 def repeated(tokens: np.ndarray, page: np.ndarray, stop: np.ndarray, long: int = LONG) -> np.ndarray:
     """Marks the tokens inside a substring of at least ``long`` tokens that occurs on two distinct pages."""
     at, run = _substrings(tokens, stop, long)
-    return _cover(at[_distinct(run, page[at], len(at))[run] > 1], len(tokens), long)
+    low, high = _ends(run, page[at])
+    return _cover(at[(low < high)[run]], len(tokens), long)
 
 
 class Stream:
-    """The pages (lists of blocks) of a host, or of a part of it in which no page equals one outside."""
+    """Pages (lists of blocks) of a host, all or a part of them."""
 
     def __init__(self, parsed: list, long: int = LONG):
         self.parsed, self.long = parsed, long
@@ -219,8 +222,8 @@ class Stream:
         page = np.repeat(np.array([number[k] for k, _, _ in self.flat], np.int64), sizes)
         self.tokens, self.n = mix64(h), len(h)
         self.at, self.run = _substrings(self.tokens, np.repeat(self.bound[1:], sizes), long)
-        n = int(self.run.max()) + 1 if len(self.run) else 0
-        self.repeat = _distinct(self.run, page[self.at], n) > 1  # of every distinct substring
+        self.low, self.high = _ends(self.run, page[self.at])
+        self.repeat = self.low < self.high  # of every distinct substring
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of every distinct substring."""
@@ -231,8 +234,15 @@ class Stream:
             g = mix64(g * np.uint64(0x9E3779B97F4A7C15) + self.tokens[start + k])
         return g
 
+    def told(self):
+        """(hash of a distinct substring, print of a page that has it): two pages for a repeat. Equal
+        pages of a host have the same print in all its streams."""
+        prints = np.array([int.from_bytes(hashlib.blake2b(repr(p).encode("utf-8", "replace"), digest_size=4).digest(), "big") for p in self.parsed], np.uint64)
+        g = self.hashes()
+        return np.concatenate([g, g[self.repeat]]), np.concatenate([prints[self.low], prints[self.high[self.repeat]]]) if len(g) else g
+
     def learn(self, hashes: np.ndarray):
-        """Takes the substrings that several streams of the host have, by the upper 48 bits of their hashes."""
+        """Takes the substrings that are repeats in the whole host, by the upper 48 bits of their hashes."""
         self.repeat |= np.isin(self.hashes() >> np.uint64(16), hashes)
 
     def texts(self) -> list:
@@ -264,39 +274,43 @@ def host_texts(pages: list, long: int = LONG) -> list:
     return Stream([blocks(h) for h in pages], long).texts()
 
 
-# Substrings that streams exchange: the upper 48 bits of their hashes, sorted, in planes of bytes.
+# Substrings that streams exchange: the upper 48 bits of their hashes and 32 bits for the page, in planes of
+# bytes, ordered by page.
 
-def _packed(hashes: np.ndarray) -> bytes:
-    return zlib.compress(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes(), 1)
+def _packed(hashes: np.ndarray, prints: np.ndarray) -> bytes:
+    planes = [x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T.tobytes() for x, k in ((hashes, 6), (prints, 4))]
+    return zlib.compress(b"".join(planes), 1)
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    x = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(6, -1)
-    h = np.zeros((x.shape[1], 8), np.uint8)
-    h[:, :6] = x.T
-    return h.reshape(-1).view("<u8")
+def _unpacked(packed: bytes) -> tuple:
+    x = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(10, -1)
+    out = np.zeros((2, x.shape[1], 8), np.uint8)
+    out[0, :, :6], out[1, :, :4] = x[:6].T, x[6:].T
+    return out[0].reshape(-1).view("<u8"), out[1].reshape(-1).view("<u8")
 
 
 def _parts(stream: Stream, parts: int):
     """(part, packed substrings) of a stream; equal substrings fall into the same part of the host."""
-    g = np.unique(stream.hashes())
+    g, page = stream.told()
     part = (mix64(g ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    g, part = g[order] >> np.uint64(16), part[order]
+    order = np.lexsort((page, part))
+    g, page, part = g[order] >> np.uint64(16), page[order], part[order]
     edges = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *edges], [*edges, len(part)]):
         if b > a:
-            yield int(part[a]), _packed(g[a:b])
+            yield int(part[a]), _packed(g[a:b], page[a:b])
 
 
 def _shared(packed: list):
-    """For one part of a host: the substrings of each stream that another one has too, packed, or None."""
+    """For one part of a host: the substrings of each stream that stand on two distinct pages, packed, or None."""
     lists = [_unpacked(p) for p in packed]
-    g, n = np.unique(np.concatenate(lists), return_counts=True)
-    several = g[n > 1]
-    for h in lists:
-        h = h[np.isin(h, several)]
-        yield _packed(h) if len(h) else None
+    g, page = (np.concatenate(x) for x in zip(*lists))
+    g, run = np.unique(g, return_inverse=True)
+    low, high = _ends(run, page.astype(np.int64))
+    several = g[low < high]
+    for h, _ in lists:
+        h = np.unique(h[np.isin(h, several)])
+        yield _packed(h, h * 0) if len(h) else None
 
 
 def host(url):
@@ -316,17 +330,17 @@ def extract(pages: DataFrame, long: int = LONG, shard: int = SHARD) -> DataFrame
             for g in batches_by_bytes([f], "html"):
                 parsed = [blocks(h) for h in g["html"]]
                 kinds = ["".join(kind[0] for _, kind in p) for p in parsed]
-                text = ["\n".join(t for t, _ in p) for p in parsed]
-                content = [int.from_bytes(hashlib.blake2b(f"{k}\n{t}".encode("utf-8", "replace"), digest_size=7).digest(), "big") for k, t in zip(kinds, text)]
-                yield g[["page_id", "url", "host"]].assign(page_id=g["page_id"].astype("Int64"), kinds=kinds, blocks=text, content=content)
+                text = [zlib.compress("\n".join(t for t, _ in p).encode("utf-8", "surrogatepass"), 1) for p in parsed]
+                yield g[["page_id", "url", "host"]].assign(page_id=g["page_id"].astype("Int64"), kinds=kinds, blocks=text)
 
     def stream(pdf):
-        return Stream([[*zip(t.split("\n"), (KINDS[c] for c in k))] if k else [] for t, k in zip(pdf["blocks"], pdf["kinds"])], long)
+        texts = [zlib.decompress(t).decode("utf-8", "surrogatepass") for t in pdf["blocks"]]
+        return Stream([[*zip(t.split("\n"), (KINDS[c] for c in k))] if k else [] for t, k in zip(texts, pdf["kinds"])], long)
 
     def texts(pdf, known=None):
         s = stream(pdf)
         if known is not None and len(known):
-            s.learn(np.concatenate([_unpacked(x) for x in known["packed"]]))
+            s.learn(np.concatenate([_unpacked(x)[0] for x in known["packed"]]))
         found = s.texts()
         return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64").to_numpy(), "url": pdf["url"].to_numpy(), "text": [t for t, _, _ in found],
                              "n_chars": [len(t) for t, _, _ in found], "n_tokens": [n for _, n, _ in found], "n_repeated": [r for _, _, r in found]}
@@ -341,8 +355,8 @@ def extract(pages: DataFrame, long: int = LONG, shard: int = SHARD) -> DataFrame
         learnt = pdf[["host", "nth"]].assign(packed=[*_shared(pdf["packed"].tolist())])
         return learnt[learnt["packed"].notna()]
 
-    rows = p.mapInPandas(parse, "page_id long, url string, host string, kinds string, blocks string, content long").join(sizes, "host")
-    rows = rows.withColumn("nth", F.pmod("content", "shards")).groupBy("host", "nth")
+    rows = p.mapInPandas(parse, "page_id long, url string, host string, kinds string, blocks binary").join(sizes, "host")
+    rows = rows.withColumn("nth", F.pmod(F.xxhash64("page_id", "url"), "shards")).groupBy("host", "nth")
     out = "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long"
     if sizes.where("shards > 1").isEmpty():
         return rows.applyInPandas(lambda pdf: texts(pdf), out)
