@@ -30,14 +30,14 @@ class WordIds:
     """Token ids of texts, with those of every word seen so far at hand.
 
     The vocabulary drops white space and joins nothing across it, so a text's ids are those of its
-    white-space-separated words, one after the other.
+    white-space-separated words, one after the other. Its special tokens hold and strip no white space, so
+    one that is spelt out in a text gets its id, as in the tokenizer's own call.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.forget()
 
     def forget(self):

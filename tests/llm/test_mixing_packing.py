@@ -96,3 +96,10 @@ def test_word_by_word_ids_are_the_tokenizers(text):
     ids, n = w.encode([text, None, text])
     want = w.tokenizer.encode(text, add_special_tokens=False).ids
     assert ids.tolist() == want * 2 and n.tolist() == [len(want), 0, len(want)]
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a<|startoftext|>b <|endoftext|>. <|ENDOFTEXT|> <|endoftext", "x <|endoftext|><|endoftext|>\ty"])
+def test_special_tokens_spelt_out_get_the_ids_of_the_default_call(text):
+    from tokenizers import Tokenizer
+    want = Tokenizer.from_file(packing.default_path()).encode(text, add_special_tokens=False).ids
+    assert packing.WordIds(packing.default_path()).encode([text])[0].tolist() == want and {49406, 49407} & set(want)
