@@ -2,8 +2,9 @@
 
 In every pass the vectors of a label are put in lexicographic order of ``BITS`` concatenated sign hashes
 (random hyperplanes of that pass) and cut into tiles; a vector is compared with its own and the
-neighbouring tiles. Two vectors at cosine 0.93 agree on a hash bit with probability 0.88, so several
-passes together find them. Where more vectors than a tile share a long prefix of the order (a dense
+neighbouring tiles. Two vectors at cosine 0.93 agree on a hash bit with probability 0.88 and share a tile
+of a label of n vectors when they agree on log2(n / TILE) leading bits; the number of passes follows from
+each label's size, so that a pair is missed by all of them with a probability below ``MISS``. Where more vectors than a tile share a long prefix of the order (a dense
 group), the whole run is compared, tile by tile, so the window never cuts a group short.
 
 Cosines are taken in double precision, pair by pair of tiles, inside tasks. No pair leaves a task: a
@@ -17,14 +18,17 @@ rows that repeat a vec_id are vectors of their own; a null vec_id is kept and lo
 table gives no rows; extra columns are ignored.
 """
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairmeter.llm.common import components, ranked, read, stage
 
 COSINE = 0.93
-PASSES, BITS, TILE, SPAN = 16, 32, 512, 8
+PASSES, BITS, TILE, SPAN = 16, 32, 512, 8  # passes of a small label
+AGREE, MISS = 0.88, 1e-5
 _GROUP = ["pass", "label", "dim"]
 
 
@@ -34,18 +38,24 @@ def _usable():
     return F.col("label").isNotNull() & e.isNotNull() & F.coalesce(finite & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
-def _hash_keys(passes: int, seed: int):
+def n_passes(size: Column, least: int = PASSES) -> Column:
+    """Passes over a label of ``size`` vectors: (1 - AGREE ** log2(size / TILE)) ** passes <= MISS."""
+    one = F.lit(1.0) - F.pow(F.lit(AGREE), F.log2(F.greatest(size, F.lit(TILE + 1)) / F.lit(float(TILE))))
+    return F.greatest(F.lit(least), F.ceil(F.lit(math.log(MISS)) / F.log(one))).cast("int")
+
+
+def _hash_keys(seed: int):
     planes = {}
 
     def keys(frames):
         for f in frames:
             out = []
-            for dim, part in f.groupby(f["embedding"].str.len()):
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * BITS))
+            for (dim, passes), part in f.groupby([f["embedding"].str.len(), "passes"]):
+                for k in range(int(passes)):
+                    if (dim, k) not in planes:
+                        planes[dim, k] = np.random.default_rng([seed, int(dim), k]).standard_normal((int(dim), BITS))
                 x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                bits = (x @ planes[dim] > 0).reshape(len(part), passes, BITS)
-                k = bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                k = np.stack([(x @ planes[dim, k] > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)) for k in range(int(passes))], axis=1)
                 out.append(pd.DataFrame({"unit": part["unit"].to_numpy(), "label": part["label"].to_numpy(), "dim": int(dim), "n": part["n"].to_numpy(),
                                          "vec": [r.tobytes() for r in x], "keys": list(k)}))
             if out:
@@ -151,9 +161,10 @@ def units(vectors: DataFrame) -> DataFrame:
 def link_units(u: DataFrame, cosine: float = COSINE, passes: int = PASSES, seed: int = 7) -> DataFrame:
     """(unit, links, root): rows counted as linked with the unit, and links that span the components."""
     label = u.schema["label"].dataType.simpleString()
-    keyed = stage(u.select("unit", "label", "embedding", "n").mapInPandas(
-        _hash_keys(passes, seed), f"unit long, label {label}, dim int, n long, vec binary, keys array<long>"))
-    sizes = keyed.groupBy("label", "dim").agg(F.count("*").alias("size"))
+    sizes = stage(u.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("size")).withColumn("passes", n_passes(F.col("size"), passes)))
+    of = sizes.select(F.col("label").alias("of"), "dim", "passes")
+    rows = u.join(of, (F.col("label") == F.col("of")) & (F.size("embedding") == F.col("dim"))).select("unit", "label", "embedding", "n", "passes")
+    keyed = stage(rows.mapInPandas(_hash_keys(seed), f"unit long, label {label}, dim int, n long, vec binary, keys array<long>"))
     # so many leading bits that vectors without dense groups would fill an eighth of a tile
     bits = F.greatest(F.lit(1), F.least(F.lit(BITS), F.ceil(F.log2(F.col("size") * 8 / TILE)))).cast("int")
     sizes = stage(sizes.withColumn("bits", bits))
@@ -167,7 +178,7 @@ def link_units(u: DataFrame, cosine: float = COSINE, passes: int = PASSES, seed:
     cells = placed.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("pass", "tile", "run"))).alias("c"))
     full = stage(keyed.drop("keys").join(cells, "unit").select(
         "unit", "label", "dim", "n", "vec", F.transform("c", lambda x: x["tile"]).alias("tiles"), F.transform("c", lambda x: x["run"]).alias("runs")))
-    each = full.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn("tile", F.expr("tiles[pass]"))
+    each = full.withColumn("pass", F.explode(F.sequence(F.lit(0), F.size("tiles") - 1))).withColumn("tile", F.expr("tiles[pass]"))
     block = F.floor(F.col("tile") / SPAN).cast("int")
     blocks = F.when((F.col("tile") % SPAN == 0) & (F.col("tile") > 0), F.array(block, block - 1)).otherwise(F.array(block))
     near = (each.withColumn("block", F.explode(blocks)).groupBy("pass", "label", "dim", "block")

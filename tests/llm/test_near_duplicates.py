@@ -1,5 +1,6 @@
 import numpy as np
 from llm_data import prose
+from pyspark.sql import functions as F
 
 from pairmeter.llm import jaccard, vectors
 from pairmeter.llm.common import components, shingle_sets
@@ -59,6 +60,28 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_passes_follow_the_size_of_a_label(spark):
+    sizes = [1, 500, 513, 50_000, 10**6, 10**8]
+    rows = spark.createDataFrame([(n,) for n in sizes], "size long").select("size", vectors.n_passes(F.col("size")).alias("p")).collect()
+    got = {r["size"]: r.p for r in rows}
+    assert got[1] == got[500] == got[513] == 16 and all(a <= b for a, b in zip([got[n] for n in sizes], [got[n] for n in sizes[1:]]))
+    assert all((1 - 0.88 ** np.log2(n / 512)) ** got[n] <= 1e-5 for n in sizes[3:])
+
+
+def test_labels_of_several_sizes_have_their_own_passes(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", 4)  # 750 tiles: 16 passes lose links here
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1500, 24))
+    y = x + 0.3 * rng.standard_normal(x.shape)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))] + [(9000, x[0].tolist(), 2), (9001, y[0].tolist(), 2)]
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    n, _ = _brute_vectors(rows[-2:])
+    z = np.concatenate([x, y])
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    want = (z @ z.T >= 0.93).sum(axis=1) - 1
+    assert [got[9000], got[9001]] == n and want.sum() > 1000 and [got[i] for i in range(3000)] == want.tolist()
+
+
 def _edited(text, seed, edits):
     import random
     r, w = random.Random(seed), text.split(" ")
