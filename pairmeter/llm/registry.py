@@ -1,6 +1,6 @@
 """Name -> query and name -> DuckDB twin of the corpus operators."""
 
-from pairmeter.llm import fingerprint, html_text, jaccard, langid, mixing, packing, pii, quality, vectors, warc
+from pairmeter.llm import divergence, fingerprint, html_text, jaccard, langid, mixing, packing, pii, quality, vectors, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_html_text": html_text.query,
     "op9_pii": pii.query,
     "op10_warc": warc.query,
+    "op11_divergence": divergence.query,
 }
 
 ORACLES = {
@@ -20,4 +21,5 @@ ORACLES = {
     "op2_vector_near_dedup": vectors.SQL,
     "op3_jaccard_join": jaccard.SQL,
     "op10_warc": warc.SQL,
+    "op11_divergence": divergence.SQL,
 }
