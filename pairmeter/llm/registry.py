@@ -1,6 +1,6 @@
 """Name -> query and name -> DuckDB twin of the corpus operators."""
 
-from pairmeter.llm import divergence, fingerprint, html_text, jaccard, langid, mixing, packing, pii, quality, vectors, warc
+from pairmeter.llm import divergence, fingerprint, html_text, jaccard, langid, mixing, packing, piece_codec, pii, quality, vectors, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_pii": pii.query,
     "op10_warc": warc.query,
     "op11_divergence": divergence.query,
+    "op12_sentencepiece": piece_codec.query,
 }
 
 ORACLES = {
