@@ -15,12 +15,13 @@ another type, another normaliser, a changed library) raises an error and is neve
 Defined cases: a null text is empty; an empty text has only the begin and end ids and decodes to an empty
 text; whole texts of any length are encoded, one without cuts costs n log n; rows are handled one by one,
 so repeated rows, ties and null ids stay as they are; an empty table gives no rows; ``encode`` keeps other
-columns as they are, but for one named ``ids``, which it replaces.
+columns as they are, but for those named like its outputs, which it replaces.
 """
 
 import codecs
 import hashlib
 import heapq
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -62,30 +63,28 @@ class Codec:
 
     def merged(self, chunk: str) -> list:
         """The pieces of a chunk by the agenda of adjacent pairs."""
-        symbols, scores = list(chunk), self.scores
-        n = len(symbols)
+        symbols, scores, n = list(chunk), self.scores, len(chunk)
+        agenda = [(scores[p], i, i + 1, p) for i in range(n - 1) if (p := chunk[i:i + 2]) in scores]
+        if not agenda:
+            return symbols
+        heapq.heapify(agenda)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-
-        def meet(left, right):
-            if 0 <= left and right < n:
-                piece = symbols[left] + symbols[right]
-                score = scores.get(piece)
-                if score is not None:
-                    heapq.heappush(agenda, (score, left, right, piece))
-
-        for i in range(n - 1):
-            meet(i, i + 1)
         while agenda:
             _, left, right, piece = heapq.heappop(agenda)
             if not symbols[left] or not symbols[right] or symbols[left] + symbols[right] != piece:
                 continue
             symbols[left], symbols[right] = piece, ""
-            after[left] = after[right]
-            if after[left] < n:
-                before[after[left]] = left
-            meet(before[left], left)
-            meet(left, after[left])
+            far, near = after[right], before[left]
+            after[left] = far
+            if far < n:
+                before[far] = left
+                wider = piece + symbols[far]
+                if wider in scores:
+                    heapq.heappush(agenda, (scores[wider], left, far, wider))
+            if near >= 0:
+                wider = symbols[near] + piece
+                if wider in scores:
+                    heapq.heappush(agenda, (scores[wider], near, left, wider))
         return [s for s in symbols if s]
 
     def chunk_ids(self, chunk: str) -> bytes:
@@ -107,13 +106,14 @@ class Codec:
         edges = np.flatnonzero(cut)
         spots = edges.tolist()
         chunks = [joined[a:b] for a, b in zip(spots, spots[1:])]
-        long = {}
-        for c in set(chunks).difference(self.held):
-            if len(c) > LONGEST:
-                long[c] = self.chunk_ids(c)
-            else:
-                self.held[c] = self.older.get(c) or self.chunk_ids(c)
-        parts = [self.held.get(c) or long[c] for c in chunks]
+        held = self.held
+        parts = list(map(held.get, chunks))
+        if None in parts:
+            for i, c in enumerate(chunks):
+                if parts[i] is None:
+                    parts[i] = held.get(c) or self.older.get(c) or self.chunk_ids(c)
+                    if len(c) <= LONGEST:
+                        held[c] = parts[i]
         if len(self.held) > HELD:
             self.older, self.held = self.held, {}
         begin, end = np.array([self.begin], "<i4").tobytes(), np.array([self.end], "<i4").tobytes()
@@ -127,6 +127,12 @@ class Codec:
             data = data[1:]
         return data.decode("utf-8", "one_each")
 
+    def decode_checked(self, ids: list) -> list:
+        out = [self.decode(x) for x in ids]
+        if out != self.library.decode(ids):
+            raise ValueError("the pieces and the library decode ids differently")
+        return out
+
 
 _CODECS = {}
 
@@ -138,51 +144,58 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode(docs: DataFrame, path: str, keep=None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all of them if not given), then ``ids``, the ids of ``text``."""
-    names = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
+def ids_digest(ids) -> str:
+    return hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest()
+
+
+#: What ``encode`` can return for a text: type, and value from its ids as an array and its decoded text.
+OUTPUTS = {
+    "ids": (T.ArrayType(T.IntegerType()), lambda ids, text: ids),
+    "n_tokens": (T.LongType(), lambda ids, text: len(ids)),
+    "ids_sha256": (T.StringType(), lambda ids, text: ids_digest(ids)),
+    "decoded": (T.StringType(), lambda ids, text: text),
+}
+
+
+def encode(docs: DataFrame, path: str, keep=None, outputs=("ids",)) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all of them if not given), then ``outputs`` for its ``text``. Ids
+    are decoded again only where the decoded text is asked for."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text")
 
     def batch(frames):
         own = codec(path)
-        for f in batches_by_bytes(frames, "text", 4 << 20):
+        for f in batches_by_bytes(frames, "text", 1 << 20):
             texts = [t or "" for t in f["text"]]
-            ids = own.encode(texts)
-            for mine, theirs in zip(ids, own.library.encode(texts, num_threads=1, add_bos=True, add_eos=True)):
-                if mine.tolist() != theirs:
-                    raise ValueError("the agenda and the library encode a text differently")
-            yield pd.DataFrame({"row": f["row"], "ids": ids})
+            arrays = own.encode(texts)
+            lists = [x.tolist() for x in arrays]
+            if lists != own.library.encode(texts, num_threads=1, add_bos=True, add_eos=True):
+                raise ValueError("the agenda and the library encode a text differently")
+            decoded = own.decode_checked(lists) if "decoded" in outputs else repeat(None)
+            made = list(zip(arrays, decoded))
+            yield pd.DataFrame({"row": f["row"]} | {c: [OUTPUTS[c][1](*m) for m in made] for c in outputs})
 
-    schema = T.StructType([kept.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return kept.mapInPandas(batch, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in names], "ids")
+    schema = T.StructType([kept.schema["row"], *[T.StructField(c, OUTPUTS[c][0]) for c in outputs]])
+    return kept.mapInPandas(batch, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in names], *outputs)
 
 
 def decode(ids: Column, path: str) -> Column:
     """The text of a column of id arrays."""
     @F.pandas_udf(T.StringType())
     def texts(ids: pd.Series) -> pd.Series:
-        own, lists = codec(path), [x.tolist() for x in ids]
-        out = [own.decode(x) for x in lists]
-        for mine, theirs in zip(out, own.library.decode(lists)):
-            if mine != theirs:
-                raise ValueError("the pieces and the library decode ids differently")
-        return pd.Series(out)
+        own, out = codec(path), []
+        for at in range(0, len(ids), 256):  # ids as Python numbers take much room
+            out += own.decode_checked([x.tolist() for x in ids[at:at + 256]])
+        return pd.Series(out, dtype=object)
 
     return texts(ids)
 
 
-@F.pandas_udf(T.StringType())
-def ids_sha256(ids: pd.Series) -> pd.Series:
-    return pd.Series([hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest() for x in ids])
-
-
 def default_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = default_path()
-    rows = encode(read(spark, sf_dir, "documents"), path, keep=["doc_id"])
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"),
-                       F.sha2(decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+    rows = encode(read(spark, sf_dir, "documents"), default_path(), ["doc_id"], ("n_tokens", "ids_sha256", "decoded"))
+    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
