@@ -289,7 +289,7 @@ def absent(counts: DataFrame, groups: DataFrame) -> DataFrame:
     def parts(key, hist, pairs):
         lang, me = key
         if not len(pairs) or not pairs["terms"].iloc[0]:
-            return pd.DataFrame({"lang": [], "source": [], "item": [], "value": []})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("lang", "source", "item", "value")})
         terms, total = int(pairs["terms"].iloc[0]), int(pairs["total"].iloc[0])
         n, h = hist["n"].to_numpy(np.int64), hist["h"].to_numpy(np.int64)
         p, none, rest = share(n, total, terms), share(0, total, terms), terms - int(h.sum())

@@ -1,6 +1,6 @@
 """Name -> query and name -> DuckDB twin of the corpus operators."""
 
-from pairmeter.llm import divergence, fingerprint, html_text, jaccard, langid, mixing, packing, piece_codec, pii, quality, vectors, warc
+from pairmeter.llm import collocations, divergence, fingerprint, html_text, jaccard, langid, mixing, packing, piece_codec, pii, quality, vectors, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_warc": warc.query,
     "op11_divergence": divergence.query,
     "op12_sentencepiece": piece_codec.query,
+    "op13_collocations": collocations.query,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op3_jaccard_join": jaccard.SQL,
     "op10_warc": warc.SQL,
     "op11_divergence": divergence.SQL,
+    "op13_collocations": collocations.SQL,
 }
