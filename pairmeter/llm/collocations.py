@@ -9,7 +9,7 @@ the task of a group merges its runs into the sorted suffixes, that is the trunca
 count of every node off the totals of the leaves below it. No group depends on another.
 
 A phrase can only be frequent if each of its words is, so words below the threshold end a suffix. The most
-frequent words (``WORDS``, a bound on what is sent to the tasks) travel as small numbers, which makes runs
+frequent words (``WORDS``, a bound on what is sent to the tasks, and all above the budget) travel as small numbers, which makes runs
 short; any other frequent word travels as 62 bits of its hash. Should two words share those bits, the
 frequent ones of them are numbered, so counts stay exact.
 
@@ -76,12 +76,13 @@ def word_counts(rows: DataFrame) -> DataFrame:
     def flush(held):
         for lang, seen in held.items():
             seen.pop(_END, None)
-            yield pd.DataFrame({"lang": lang, "word": [w.decode("utf-8") for w in seen], "n": np.fromiter(seen.values(), np.int64, len(seen))})
+            if seen:
+                yield pd.DataFrame({"lang": lang, "word": [w.decode("utf-8") for w in seen], "n": np.fromiter(seen.values(), np.int64, len(seen))})
 
     return rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def alphabet(counts: DataFrame, least: int, most_words: int) -> DataFrame:
+def alphabet(counts: DataFrame, least: int, most_words: int, budget: int) -> DataFrame:
     """(lang, word, n, symbol) of the words that occur at least ``least`` times: a number from 1 in every
     language, by falling frequency, or the word's hash."""
     bits = F.shiftrightunsigned(F.xxhash64("word"), 2).bitwiseOR(F.lit(_HASHED))
@@ -91,9 +92,9 @@ def alphabet(counts: DataFrame, least: int, most_words: int) -> DataFrame:
     frequent = stage(counts.where(F.col("n") >= least).join(shared, ["lang", "bits"], "left"))
     low = 0
     if frequent.count() > most_words:
-        low = frequent.select("n").orderBy(F.desc("n")).limit(most_words).agg(F.min("n")).first()[0] + 1
+        low = frequent.select("n").orderBy(F.desc("n")).limit(max(1, most_words)).agg(F.min("n")).first()[0] + 1
     short = (F.col("n") >= low) & (F.octet_length("word") <= LONGEST)
-    numbered = frequent.where(short | F.col("clash")).select("lang", "word").withColumn("numbered", F.lit(True))
+    numbered = frequent.where(short | F.col("clash") | (F.col("n") > budget)).select("lang", "word")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")).cast("long")
     numbers = frequent.join(numbered, ["lang", "word"], "left_semi").select("lang", "word", "n", place.alias("symbol"))
     rest = frequent.join(numbered, ["lang", "word"], "left_anti").select("lang", "word", "n", F.col("bits").alias("symbol"))
@@ -219,17 +220,21 @@ def stretches(frames, languages):
 
 
 def continuations(rows: DataFrame, sent, depth: int) -> DataFrame:
-    """(lang, state, symbol, n): how often the open prefixes of ``depth`` words go on with a word."""
+    """(lang, state, symbol, n): how often the open prefixes of ``depth`` words go on with a word. Only a
+    word above the budget can make a prefix above it, so only the open words count."""
     def count(frames):
         languages = {lang: own for lang, own in sent.value.items() if len(own.levels) == depth}
         for lang, symbols in stretches(frames, languages):
             columns = suffixes(symbols)
             *_, (_, live, state) = languages[lang].walk(columns)
-            order, (state, symbol) = in_order([state, columns[depth][live]])
+            symbol = columns[depth][live]
+            some = np.isin(symbol, languages[lang].levels[0][0])
+            order, (state, symbol) = in_order([state[some], symbol[some]])
             *_, new = changes([state, symbol])
             at = np.flatnonzero(new)
             n = np.diff(np.append(at, len(order)))
-            yield pd.DataFrame({"lang": lang, "state": state[at], "symbol": symbol[at], "n": n})[symbol[at] > 0]
+            if len(at):
+                yield pd.DataFrame({"lang": lang, "state": state[at], "symbol": symbol[at], "n": n})
 
     return (rows.mapInPandas(count, "lang string, state long, symbol long, n long")
                 .groupBy("lang", "state", "symbol").agg(F.sum("n").alias("n")))
@@ -272,7 +277,7 @@ def nodes(parts: DataFrame, least: int) -> DataFrame:
             if depth > 1:
                 symbols += list(np.stack([c[at[wanted]] for c in columns[:depth]], axis=1))
                 counts += total[wanted].tolist()
-        return pd.DataFrame({"lang": lang, "symbols": pd.Series(symbols, dtype=object), "n": counts})
+        return pd.DataFrame({"lang": pd.Series([lang] * len(symbols), dtype=object), "symbols": pd.Series(symbols, dtype=object), "n": counts})
 
     found = parts.groupBy("lang", "part", "opened").applyInPandas(tree, "lang string, symbols array<long>, n long")
     return found.groupBy("lang", "symbols").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -283,7 +288,7 @@ def phrases(docs: DataFrame, least: int = LEAST, budget: int = BUDGET, most_word
     its count and the number of all words of its language."""
     rows, spark = prepared(docs), docs.sparkSession
     counts = stage(word_counts(rows))
-    letters = stage(alphabet(counts, least, most_words))
+    letters = stage(alphabet(counts, least, most_words, budget))
     numbered = letters.where(F.col("symbol") < _HASHED).orderBy("lang", "symbol").toPandas()
     hashed = dict(letters.where(F.col("symbol") >= _HASHED).groupBy("lang").agg(F.sum("n")).collect())
     languages = {lang: Language(numbered[numbered["lang"] == lang], hashed.get(lang, 0), budget) for lang in {*numbered["lang"], *hashed}}

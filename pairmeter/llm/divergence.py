@@ -72,7 +72,8 @@ def vocabulary(rows: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
 
     def flush(held):
         for lang, seen in held.items():
-            yield pd.DataFrame({"lang": lang, "term": [t.decode("utf-8") for t in seen], "n": np.fromiter(seen.values(), np.int64, len(seen))})
+            if seen:
+                yield pd.DataFrame({"lang": lang, "term": [t.decode("utf-8") for t in seen], "n": np.fromiter(seen.values(), np.int64, len(seen))})
 
     kept = (rows.select("lang", "text").mapInPandas(count, "lang string, term string, n long")
                 .groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= least).drop("n"))
@@ -216,7 +217,8 @@ def recount(rows: DataFrame, machines: DataFrame, most_bytes: int = MOST_BYTES)
             at, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             n = np.zeros(len(at), np.int64)
             np.add.at(n, back, np.concatenate([p[1] for p in parts]))
-            yield pd.DataFrame({"lang": lang, "source": source, "ordinal": at, "n": n})
+            if len(at):
+                yield pd.DataFrame({"lang": lang, "source": source, "ordinal": at, "n": n})
 
     for chosen in rounds:
         langs = sorted({lang for lang, _ in chosen})
@@ -273,7 +275,8 @@ def compare(counts: DataFrame, groups: DataFrame) -> DataFrame:
             v = distance(p[more, a], q[more])
             first = np.lexsort((ordinals[more], -v))[:TOP]
             out.append(pd.DataFrame({"source": sources[a], "item": None, "ordinal": ordinals[more][first], "value": v[first]}))
-        return pd.concat(out).assign(lang=key[0])[["lang", "source", "item", "ordinal", "value"]]
+        out = pd.concat(out).assign(lang=key[0])
+        return out.astype({c: object for c in ("lang", "source", "item")})[["lang", "source", "item", "ordinal", "value"]]
 
     return (rows.groupBy("lang", F.floor(F.col("ordinal") / F.col("span")).alias("block"))
                 .applyInPandas(block, "lang string, source string, item string, ordinal long, value long"))

@@ -98,7 +98,7 @@ class Codec:
         """The ids of every text, with the begin and end ids, as arrays."""
         marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
         joined = "".join(marked)
-        stops = np.cumsum([len(t) for t in marked])
+        stops = np.cumsum([len(t) for t in marked], dtype=np.int64)
         kind = self.kind[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
         cut = np.ones(len(joined) + 1, bool)
         cut[1:-1] = ~self.together[kind[:-1] * self.width + kind[1:]]
