@@ -278,97 +278,3 @@ def row_split_bands(rows: DataFrame, alphas=(ALPHA,)):
     sums = part("train").groupBy("fold", "scheme").agg(F.sum(F.col("delta") * F.col("n")).alias("s"), F.sum("n").alias("n"))
     bands = mondrian_bands(sums, part("cal").drop("role"), part("test").select("fold", "scheme").distinct(), alphas)
     return hist, stage(bands)
-
-
-# ------------------------------------------------------------------ cluster folds
-
-MAX_CLUSTER_FOLDS = 200
-
-
-def cluster_folds(spark, n_folds, seeds=1) -> DataFrame:
-    """Leave-one-cluster-group-out folds. A block is (seed, group, side); fold (seed, g) tests both
-    blocks of group g, trains on the other fit blocks and calibrates on the other cal blocks.
-
-    With as many groups as clusters this is leave-one-cluster-out. The work is groups x histogram,
-    so above ``MAX_CLUSTER_FOLDS`` clusters must share groups.
-    """
-    if n_folds > MAX_CLUSTER_FOLDS:
-        raise ValueError(f"{n_folds} cluster groups; use at most {MAX_CLUSTER_FOLDS}")
-    rows = [(f"{s}|{f}", f"{s}|{g}|{side}", "test" if f == g else "cal" if side == "cal" else "train")
-            for s in range(seeds) for f in range(n_folds) for g in range(n_folds) for side in ("cal", "fit")]
-    return constant_table(spark, {"fold": [r[0] for r in rows], "test_family": [r[0] for r in rows],
-                                  "cal_family": ["held-out clusters"] * len(rows), "family": [r[1] for r in rows],
-                                  "role": [r[2] for r in rows]})
-
-
-def in_blocks(df: DataFrame, group, is_cal, seeds=1) -> DataFrame:
-    """Rows once per seed with their ``block`` and ``fold``; ``group`` and ``is_cal`` may use the
-    ``seed`` column."""
-    d = df.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    d = d.withColumn("fold", F.concat_ws("|", "seed", group))
-    return d.withColumn("block", F.concat_ws("|", "fold", F.when(is_cal, "cal").otherwise("fit")))
-
-
-def cluster_out_split(df: DataFrame, group, is_cal, n_folds, seeds=1, alpha=ALPHA):
-    """Split conformal, each cluster group scored by a widen-only band that never saw it."""
-    d = in_blocks(df, group, is_cal, seeds)
-    hist, sup = reduce_rows(d.drop("family").withColumnRenamed("block", "family"), "family")
-    bands = stage(widen_bands(hist, sup, cluster_folds(df.sparkSession, n_folds, seeds), alpha, 1, 1))
-    return score_rows(d.drop("family").withColumn("family", F.col("fold")).drop("fold"), bands)
-
-
-def cluster_out_mondrian(df: DataFrame, group, is_cal, n_folds, seeds=1, alphas=(ALPHA,), min_cal=MIN_FOLD_CAL, min_train=30):
-    """(hist, bands) of the leave-model-out regime: treatment means and Mondrian quantiles."""
-    d = in_blocks(df, group, is_cal, seeds)
-    hist = stage(d.groupBy(F.col("block").alias("family"), "scheme", "delta").agg(F.count("*").alias("n")))
-    folds = cluster_folds(df.sparkSession, n_folds, seeds)
-    cells = hist.groupBy("family", "scheme").agg(F.sum(F.col("delta") * F.col("n")).alias("s"), F.sum("n").alias("n"))
-    ok = valid_folds(cells, folds, min_cal, min_train).select("fold")
-    join = lambda t, role: t.join(_role(folds, role), "family")
-    test = join(cells, "test").select("fold", "scheme").distinct().join(ok, "fold", "left_semi")
-    bands = stage(mondrian_bands(join(cells, "train"), join(hist, "cal"), test, alphas))
-    scored = hist.withColumn("fold", F.regexp_replace("family", r"\|(cal|fit)$", "")).drop("family")
-    return scored, bands
-
-
-def jackknife_plus(df: DataFrame, group, n_groups, alpha=ALPHA, min_clusters=MIN_CAL_ROWS) -> DataFrame:
-    """(fold, scheme, lo, hi, unit): jackknife+ bounds for every cluster group.
-
-    The centre for (test group f, inner group g) is the treatment mean without both, taken by
-    subtraction from group sums; every other group's histogram then contributes centre -/+ residual.
-    Treatments with fewer than nine contributing clusters use the pooled terms.
-    """
-    d = df.withColumn("g", group.cast("int"))
-    hist = stage(d.groupBy("g", "scheme", "delta").agg(F.count("*").alias("n")))
-    clusters = stage(d.groupBy("g", "scheme").agg(F.countDistinct("base_model").alias("k")))
-    sums = hist.groupBy("g", "scheme").agg(F.sum(F.col("delta") * F.col("n")).alias("s"), F.sum("n").alias("n"))
-    total = sums.groupBy("scheme").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
-    groups = sums.groupBy("g").agg(F.sum("s").alias("g_s"), F.sum("n").alias("g_n"))
-    all_s, all_n = (sums.agg(F.sum(c)).scalar() for c in ("s", "n"))
-    test = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("fg")
-    terms = hist.select("*", test).where(F.col("fg") != F.col("g"))
-    inner = sums.select("g", "scheme", F.col("s").alias("own_s"), F.col("n").alias("own_n")).join(total, "scheme").join(groups, "g")
-    left = sums.select(F.col("g").alias("fg"), "scheme", F.col("s").alias("f_s"), F.col("n").alias("f_n"))
-    held = groups.select(F.col("g").alias("fg"), F.col("g_s").alias("h_s"), F.col("g_n").alias("h_n"))
-    t = terms.join(inner, ["g", "scheme"]).join(held, "fg").join(left, ["fg", "scheme"], "left")
-    n_in = F.col("tn") - F.col("own_n") - F.coalesce("f_n", F.lit(0))
-    s_in = F.col("ts") - F.col("own_s") - F.coalesce("f_s", F.lit(0.0))
-    g_in = F.try_divide(all_s - F.col("g_s") - F.col("h_s"), all_n - F.col("g_n") - F.col("h_n"))
-    centre = F.when(n_in > 0, s_in / F.nullif(n_in, F.lit(0))).otherwise(g_in)
-    resid = F.abs(F.col("delta") - centre)
-    t = t.select("fg", "scheme", "n", F.round(centre - resid, 9).alias("lo_t"), F.round(centre + resid, 9).alias("hi_t"))
-    t = t.select("fg", F.explode(F.array("scheme", F.lit("*"))).alias("scheme"), "n",
-                 F.explode(F.array(F.struct(F.lit("lo").alias("side"), F.col("lo_t").alias("v")), F.struct(F.lit("hi").alias("side"), F.col("hi_t").alias("v")))).alias("x"))
-    t = stage(t.groupBy("fg", "scheme", "x.side", "x.v").agg(F.sum("n").alias("n")))
-    lower = lambda tot: F.greatest(F.floor(F.lit(alpha) * (tot + 1)), F.lit(1))
-    upper = lambda tot: F.least(F.ceil(F.lit(1 - alpha) * (tot + 1)), tot)
-    order = lambda side, rank: kth_refined(t.where(F.col("side") == side), ["fg", "scheme"], "v", rank, name=side).drop("n")
-    q = order("lo", lower).join(order("hi", upper), ["fg", "scheme"])
-    per = clusters.groupBy("scheme").agg(F.sum("k").alias("k_all"))
-    cells = clusters.join(per, "scheme").select(F.col("g").alias("fg"), "scheme", (F.col("k_all") - F.col("k")).alias("k"))
-    m = q.where("scheme <> '*'").select("fg", "scheme", F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi"))
-    p = q.where("scheme = '*'").select("fg", F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"))
-    out = cells.join(m, ["fg", "scheme"], "left").join(p, "fg")
-    own_unit = F.col("k") >= min_clusters
-    return out.select(F.col("fg").alias("g"), "scheme", F.when(own_unit, F.col("s_lo")).otherwise(F.col("p_lo")).alias("lo"),
-                      F.when(own_unit, F.col("s_hi")).otherwise(F.col("p_hi")).alias("hi"), F.when(own_unit, "scheme").otherwise("pooled").alias("unit"))

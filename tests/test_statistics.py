@@ -92,18 +92,6 @@ def test_pairs_per_row_and_never_narrower(spark):
                and r.yhat == pytest.approx(means.get(r.scheme, top["mean"])) for r in scored)
 
 
-def test_cluster_out_matches_brute_force(spark):
-    d = synthetic(2, clusters=12)
-    df = spark.createDataFrame(d)
-    num = F.substring("base_model", 2, 5).cast("int")
-    got = E.cluster_out_split(df, num, num % 3 == 0, 12).select("base_model", "scheme", "band", "yhat", "half_width").distinct().collect()
-    for r in got:
-        rest = d[d.base_model != r.base_model]
-        cal = rest.base_model.str[1:].astype(int) % 3 == 0
-        mean, hw = brute_band(rest[~cal], rest[cal], r.scheme, r.band)
-        assert r.yhat == pytest.approx(mean) and r.half_width == pytest.approx(hw)
-
-
 def test_coverage_on_exchangeable_data(spark):
     rng = np.random.default_rng(3)
     d = spark.createDataFrame(pd.DataFrame({"scheme": "a", "delta": np.round(rng.normal(size=6000), 4), "side": np.arange(6000) % 3}))
