@@ -4,7 +4,8 @@ A document is tokenized and ended by an end id; one longer than a window is firs
 which are sequences of their own. The remaining pieces, one per document at most, are dealt at random
 over shards of bounded size, and every shard is packed by best-fit decreasing: a segment tree over the
 remaining capacity of the open windows finds the tightest one that takes the piece. Pieces travel as
-numbers only (start, length, checksum); the texts are never shuffled.
+numbers only (start, length, checksum); the texts are never shuffled. A text of any length is tokenized
+whole, word by word.
 
 Defined cases: a null or empty text is the end id alone; rows are packed one by one, so repeated rows
 are repeated; a null doc_id is kept; an empty table gives no rows; extra columns are ignored.
@@ -22,48 +23,49 @@ from pairmeter.llm.common import batches_by_bytes, read, stage
 WINDOW, END = 2048, 1
 #: Pieces that one task packs; only the last few windows of a shard are not full.
 SHARD = 50_000
-#: Token ids held for words already seen before the table of words starts anew.
-CACHE_IDS = 2_000_000
+#: Bytes that a Python worker holds for the ids of words already seen, in each of two generations.
+HELD_BYTES = 24 << 20
 
 
 class WordIds:
-    """Token ids of texts, with those of every word seen so far at hand.
+    """Token ids of texts, with those of the words seen lately at hand.
 
     The vocabulary drops white space and joins nothing across it, so a text's ids are those of its
     white-space-separated words, one after the other. Its special tokens hold and strip no white space, so
-    one that is spelt out in a text gets its id, as in the tokenizer's own call.
+    one that is spelt out in a text gets its id, as in the tokenizer's own call. The table of words is kept
+    from task to task; when it is full it becomes the older one, from which a word still in use moves over,
+    so rare words go first.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self):
-        self.index = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.held, self.older, self.size = {}, {}, 0
 
     def encode(self, texts):
         """(ids of all texts in one array, number of ids per text)."""
+        data = self.ids_of(texts)
+        return np.frombuffer(b"".join(data), "<u4").astype(np.int64), np.array([len(x) // 4 for x in data], np.int64)
+
+    def ids_of(self, texts) -> list:
+        """The ids of every text as little-endian 32-bit integers, in bytes."""
+        held = self.held
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        if len(self.flat) > CACHE_IDS:
-            self.forget()
-        unseen = list(set().union(*map(set, split)).difference(self.index)) if split else []
-        if unseen:
-            encoded = self.tokenizer.encode_batch([w.decode("utf-8") for w in unseen], add_special_tokens=False)
-            ids = [np.asarray(e.ids, dtype=np.int64) for e in encoded]
-            self.index.update(zip(unseen, range(len(self.index), len(self.index) + len(unseen))))
-            self.flat = np.concatenate([self.flat, *ids])
-            self.sizes = np.concatenate([self.sizes, [len(x) for x in ids]]).astype(np.int64)
-            self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        n_words = np.array([len(s) for s in split], dtype=np.int64)
-        at = np.fromiter((self.index[w] for s in split for w in s), dtype=np.int64, count=int(n_words.sum()))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        where = np.arange(int(sizes.sum())) + np.repeat(self.starts[at] - (ends - sizes), sizes)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_words)])]
-        return self.flat[where], np.diff(bounds)
+        parts = [list(map(held.get, words)) for words in split]
+        gaps = [i for i, p in enumerate(parts) if None in p]
+        unseen = {w for i in gaps for w in split[i] if w not in held}
+        known = {w: self.older[w] for w in unseen if w in self.older}
+        new = list(unseen.difference(known))
+        encoded = self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)
+        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded))
+        held.update(known)
+        self.size += sum(map(len, known)) + sum(map(len, known.values())) + 180 * len(known)
+        for i in gaps:
+            parts[i] = [held[w] for w in split[i]]
+        if self.size > HELD_BYTES:
+            self.older, self.held, self.size = held, {}, 0
+        return [b"".join(p) for p in parts]
 
 
 _TOKENIZERS = {}
@@ -78,20 +80,17 @@ def _word_ids(path):
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): full windows and one rest per document."""
     def cut(frames):
-        encoder = _word_ids(path)
-        for f in batches_by_bytes(frames, "text", 4 << 20):
-            flat, sizes = encoder.encode(f["text"])
-            stops = np.cumsum(sizes)
+        encoder, last, wide = _word_ids(path), np.array([end], "<u4").tobytes(), 4 * window
+        for f in batches_by_bytes(frames, "text", 2 << 20):
             out = []
-            for doc, a, b in zip(f["doc_id"], stops - sizes, stops):
-                ids = np.append(flat[a:b], end).astype("<u4")
-                for s in range(0, len(ids), window):
-                    part = ids[s:s + window]
-                    out.append((doc, s, len(part), zlib.crc32(part.tobytes()), len(ids), *([part.astype(np.int64)] if with_ids else [])))
+            for doc, ids in zip(f["doc_id"], encoder.ids_of(f["text"])):
+                ids += last
+                for s in range(0, len(ids), wide):
+                    part = ids[s:s + wide]
+                    out.append((doc, s // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, *([np.frombuffer(part, "<u4").astype(np.int64)] if with_ids else [])))
             pdf = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
             pdf["doc_id"] = pdf["doc_id"].astype("Int64")
             yield pdf
-        encoder.forget()  # the worker goes on to other tasks
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<long>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
