@@ -23,7 +23,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairmeter.llm.common import read, stage
-from pairmeter.plans.staging import shared_dir
+from pairmeter.plans.staging import session_dir
 
 SMALLEST = 100
 ARCHIVE_BYTES = 64 << 20
@@ -208,10 +208,10 @@ def _frame(rows):
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """Writes archives to the shared folder and returns their records as read back; a record whose payload
+    """Writes archives to the application's folder below the shared one, which goes with it, and returns their records as read back; a record whose payload
     does not match its digest stops the query."""
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = f"{session_dir(spark)}/warc-{uuid.uuid4().hex}"
     if "://" not in folder:
         folder = "file://" + folder if folder.startswith("/") else folder.replace("file:/", "file:///", 1)
     fs, where = pyarrow.fs.FileSystem.from_uri(folder)
