@@ -31,7 +31,8 @@ from pairmeter.llm.common import FILTER, as_row, batches_by_bytes, components, i
 WORDS, PERCENT = 3, 90
 FREQUENT = 32
 SMALL_SET = 24
-TILE, PACK = 256, 2048
+#: Units of a tile, and bytes of sets that one task compares.
+TILE, PACK = 256, 8 << 20
 
 
 def region_end(percent: int) -> int:
@@ -81,12 +82,11 @@ def _scan(words: int, percent: int):
 def _keys(percent: int):
     def keys(frames):
         for f in frames:
-            unit, out = [], []
-            for u, n, region, low, shared in zip(f["unit"], f["n"], f["region"], f["low"], f["shared"]):
+            out = []
+            for n, region, low, shared in zip(f["n"], f["region"], f["low"], f["shared"]):
                 got = index_keys(n, region, low, [] if shared is None else [(x["count"], x["token"]) for x in shared], percent)
-                unit += [u] * len(got)
-                out += got
-            yield pd.DataFrame({"unit": np.array(unit, np.int64), "key": np.array(out, np.uint64).view(np.int64)})
+                out.append(np.array(got, np.uint64).view(np.int64))
+            yield pd.DataFrame({"unit": f["unit"].to_numpy(), "keys": pd.Series(out, dtype=object)})
     return keys
 
 
@@ -230,8 +230,9 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     shared = tokens.join(counts, "token").groupBy("unit").agg(F.collect_list(F.struct("count", "token")).alias("shared"))
     few = F.col("region") - F.coalesce(F.size("shared"), F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * percent / 100)
     keyed = wide.drop("set_key", "low_id").join(shared, "unit", "left").where(few)
-    keys = stage(keyed.mapInPandas(_keys(percent), "unit long, key long"))
+    keysets = stage(keyed.mapInPandas(_keys(percent), "unit long, keys array<long>"))
     unstage(wide)
+    keys = keysets.select("unit", F.explode("keys").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("unit").alias("hub"), F.max("unit").alias("other")).where("hub < other").drop("other")
     candidates = components(keys.join(hubs, "key").select(F.col("unit").alias("a"), F.col("hub").alias("b")))
     candidates = stage(candidates.withColumnRenamed("node", "unit").join(units.select("unit", "set_key", "low_id", "n"), "unit"))
@@ -244,12 +245,12 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     members = stage(members.join(sized, "component"))
 
     small = members.where(F.col("size") <= TILE)
-    packs = max(1, -(-small.count() // PACK))
+    packs = max(1, -(-(small.agg(F.sum(F.length("set") + 64)).first()[0] or 0) // PACK))
     links = (small.groupBy(F.pmod(F.xxhash64("component"), F.lit(packs)).alias("pack"))
                   .applyInPandas(_compare_groups(percent), "a long, b long"))
     large = members.where(F.col("size") > TILE)
     if not large.isEmpty():
-        links = links.unionByName(_large_links(large, keys, percent))
+        links = links.unionByName(_large_links(large, keysets, percent))
     node = components(stage(links)).withColumnRenamed("node", "unit")
     named = units.select("unit", "set_key", "low_id").join(node, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     low = named.groupBy("component").agg(F.min("low_id").alias("component_id"))
@@ -259,19 +260,22 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _large_links(large: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+def _large_links(large: DataFrame, keysets: DataFrame, percent: int) -> DataFrame:
     """Links inside groups of more than a tile: tiles in order of size; two tiles meet if a key occurs in
-    both and their sizes allow a link."""
+    both and their sizes allow a link. The keys of near copies occur in the same tiles, so the sets of tiles
+    that have a key in common are few, and pairs are made of those."""
     placed = ranked(large.select("unit", "component", "n"), [F.col("component"), F.col("n"), F.col("unit")])
     start = placed.groupBy("component").agg(F.min("rank").alias("start"))
     tile = F.floor((F.col("rank") - F.col("start")) / TILE)
     placed = stage(placed.join(start, "component").select("unit", "n", F.concat_ws(":", "component", tile).alias("tile")))
+    at = keysets.join(placed, "unit").select("tile", F.explode("keys").alias("key"))
+    met = at.groupBy("key").agg(F.array_sort(F.collect_set("tile")).alias("tiles")).select("tiles").distinct()
+    pairs = met.select("tiles", F.explode("tiles").alias("left")).select("left", F.explode("tiles").alias("right")).where("left <= right").distinct()
     spans = placed.groupBy("tile").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    at = stage(keys.join(placed, "unit").select("key", "tile").distinct().join(spans, "tile"))
-    a, b = at.alias("a"), at.alias("b")
-    meet = ((F.col("a.key") == F.col("b.key")) & (F.col("a.tile") <= F.col("b.tile"))
-            & (F.col("a.most") * 100 >= F.col("b.least") * percent) & (F.col("b.most") * 100 >= F.col("a.least") * percent))
-    pairs = stage(a.join(b, meet).select(F.col("a.tile").alias("left"), F.col("b.tile").alias("right")).distinct())
+    a, b = spans.alias("a"), spans.alias("b")
+    near = (F.col("a.most") * 100 >= F.col("b.least") * percent) & (F.col("b.most") * 100 >= F.col("a.least") * percent)
+    pairs = pairs.join(a, F.col("left") == F.col("a.tile")).join(b, F.col("right") == F.col("b.tile")).where(near)
+    pairs = stage(pairs.select("left", "right"))
     here = large.select("unit", "n", "set").join(placed.select("unit", "tile"), "unit")
     sides = pairs.withColumn("tile", F.explode(F.array_distinct(F.array("left", "right"))))
     return here.join(sides, "tile").groupBy("left", "right").applyInPandas(_compare_tiles(percent), "a long, b long")
@@ -313,9 +317,9 @@ WITH RECURSIVE w AS (
 ), n AS (
   SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), p AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
 ), l AS (
-  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 90 * (x.n + y.n - both)
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)
 ), r(node, low) AS (
   SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.low FROM r JOIN l ON r.node = l.a WHERE r.low < l.b
 ), c AS (
