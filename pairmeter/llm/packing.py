@@ -12,6 +12,8 @@ are repeated; a null doc_id is kept; an empty table gives no rows; extra columns
 """
 
 import os
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -23,17 +25,20 @@ from pairmeter.llm.common import batches_by_bytes, read, stage
 WINDOW, END = 2048, 1
 #: Pieces that one task packs; only the last few windows of a shard are not full.
 SHARD = 50_000
-#: Bytes that a Python worker holds for the ids of words already seen, in each of two generations.
-HELD_BYTES = 24 << 20
+#: Bytes that a Python worker holds for words already seen, in each of two generations.
+HELD_BYTES = 40 << 20
+#: A mark between a letter and white space: the vocabulary's pre-tokenizer cuts there in any case.
+_MARK = re.compile(rb"(?<=[a-z])([.,;:!?])(?=\s|\Z)")
 
 
 class WordIds:
     """Token ids of texts, with those of the words seen lately at hand.
 
     The vocabulary drops white space and joins nothing across it, so a text's ids are those of its
-    white-space-separated words, one after the other. Its special tokens hold and strip no white space, so
-    one that is spelt out in a text gets its id, as in the tokenizer's own call. The table of words is kept
-    from task to task; when it is full it becomes the older one, from which a word still in use moves over,
+    white-space-separated words, one after the other. A mark at the end of a word is a word of its own, and
+    A to Z count as lower case, as the vocabulary has it; but for texts that may spell out a special token,
+    which holds and strips no white space and gets its id, as in the tokenizer's own call. The table of words
+    is kept from task to task; a full one becomes the older one, from which a word still in use moves over,
     so rare words go first.
     """
 
@@ -50,21 +55,24 @@ class WordIds:
 
     def ids_of(self, texts) -> list:
         """The ids of every text as little-endian 32-bit integers, in bytes."""
-        held = self.held
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        parts = [list(map(held.get, words)) for words in split]
+        split = []
+        for t in texts:
+            data = (t or "").encode("utf-8", "replace")
+            split.append((data if b"<|" in data else _MARK.sub(rb" \1", data.lower())).split())
+        parts = [list(map(self.held.get, words)) for words in split]
         gaps = [i for i, p in enumerate(parts) if None in p]
-        unseen = {w for i in gaps for w in split[i] if w not in held}
+        unseen = {w for i in gaps for w, x in zip(split[i], parts[i]) if x is None}
         known = {w: self.older[w] for w in unseen if w in self.older}
         new = list(unseen.difference(known))
-        encoded = self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded))
-        held.update(known)
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)):
+            ids = e.ids
+            known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        self.held.update(known)
         self.size += sum(map(len, known)) + sum(map(len, known.values())) + 180 * len(known)
         for i in gaps:
-            parts[i] = [held[w] for w in split[i]]
+            parts[i] = list(map(self.held.__getitem__, split[i]))
         if self.size > HELD_BYTES:
-            self.older, self.held, self.size = held, {}, 0
+            self.older, self.held, self.size = self.held, {}, 0
         return [b"".join(p) for p in parts]
 
 
