@@ -43,6 +43,21 @@ def id_filter(ids: DataFrame) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. A Python worker lives on after a task, and what it once needed
+    would count against the tasks of other stages."""
+    import ctypes
+    import gc
+
+    import pyarrow
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def as_row(df: DataFrame, name: str = "row") -> DataFrame:
     """All columns in one struct, so that columns added by an operator cannot clash with them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))

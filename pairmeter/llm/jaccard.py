@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
-from pairmeter.llm.common import FILTER, as_row, batches_by_bytes, components, id_filter, ranked, read, shingle_sets, stage, unstage
+from pairmeter.llm.common import FILTER, as_row, batches_by_bytes, components, give_back, id_filter, ranked, read, shingle_sets, stage, unstage
 
 WORDS, PERCENT = 3, 90
 FREQUENT = 32
@@ -76,6 +76,7 @@ def _scan(words: int, percent: int):
                 low.append(s[:max(inside, need)])
             yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy(), "row_key": f["row_key"].to_numpy(), "n": n, "set_key": key, "region": region,
                                 "low": low}).astype({"doc_id": "Int64"})
+        give_back()
     return scan
 
 
@@ -177,6 +178,8 @@ def _compare_groups(percent: int):
             sets, n, unit = _sets(g["set"]), g["n"].to_numpy(), g["unit"].to_numpy()
             i, j = np.nonzero(np.triu(_linked(n, n, _shared_counts(sets, sets), percent), 1))
             out.append(_links(unit, _spanning(len(unit), i, j)))
+            del sets
+        give_back()
         return pd.concat(out)
     return compare
 
@@ -192,6 +195,7 @@ def _compare_tiles(percent: int):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         i, j = np.nonzero(_linked(a["n"].to_numpy(), b["n"].to_numpy(), _shared_counts(_sets(a["set"]), _sets(b["set"])), percent))
         unit = np.concatenate([a["unit"].to_numpy(), b["unit"].to_numpy()])
+        give_back()
         return _links(unit, _spanning(len(unit), i, j + len(a)))
     return compare
 
@@ -206,6 +210,7 @@ def _again(words: int, wanted: bytes):
                 sets = list(shingle_sets(g["text"], words))
                 yield pd.DataFrame({"doc_id": g["doc_id"].to_numpy(), "set_key": [hashlib.md5(s.tobytes()).digest() for s in sets],
                                     "set": [s.tobytes() for s in sets]}).astype({"doc_id": "Int64"})
+        give_back()
     return again
 
 

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairmeter.llm.common import batches_by_bytes, read, stage
+from pairmeter.llm.common import batches_by_bytes, give_back, read, stage
 
 WINDOW, END = 2048, 1
 #: Pieces that one task packs; only the last few windows of a shard are not full.
@@ -85,8 +85,12 @@ def _word_ids(path):
     return _TOKENIZERS[path]
 
 
-def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): full windows and one rest per document."""
+def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_ids: bool = False, hold: bool = True) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): full windows and one rest per document.
+
+    ``hold``: whether a worker keeps its words for its next task; without, it gives the memory back, which a
+    job with other hungry stages may want.
+    """
     def cut(frames):
         encoder, last, wide = _word_ids(path), np.array([end], "<u4").tobytes(), 4 * window
         for f in batches_by_bytes(frames, "text", 2 << 20):
@@ -99,6 +103,10 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, wit
             pdf = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
             pdf["doc_id"] = pdf["doc_id"].astype("Int64")
             yield pdf
+        if not hold:
+            _TOKENIZERS.pop(path, None)
+            del encoder
+            give_back()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<long>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
@@ -143,9 +151,9 @@ def best_fit_decreasing(lengths, window: int = WINDOW):
     return number, offset
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_ids: bool = False, hold: bool = True) -> DataFrame:
     """Every piece with its sequence and its place there."""
-    rows = stage(pieces(docs, path, window, end, with_ids).withColumn("at", F.monotonically_increasing_id()))
+    rows = stage(pieces(docs, path, window, end, with_ids, hold).withColumn("at", F.monotonically_increasing_id()))
     rest = rows.where(F.col("length") < window)
     shards = max(1, -(-rest.count() // SHARD))
     columns = [f for f in rows.schema.fields if f.name != "at"]

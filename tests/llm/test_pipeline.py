@@ -2,17 +2,26 @@ from collections import Counter
 
 import __spark_entry__ as entry
 import corpus_pipeline
+import duckdb
 import pytest
 
-from pairmeter.llm import common, jaccard, langid, mixing
+from pairmeter.llm import common, jaccard, langid, mixing, registry
 
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("name", registry.ORACLES)
+def test_every_sql_string_runs(sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    assert con.execute(registry.ORACLES[name]).fetchone()
+
+
 def test_stages_one_by_one(spark, sf):
     docs = common.read(spark, sf, "documents")
     seen = [docs]
