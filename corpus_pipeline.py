@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.default_path())
+    return packing.pack(docs, packing.default_path(), hold=False)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("pii", personal_data), ("mixing", mix_sources), ("packing", pack)]
