@@ -72,16 +72,24 @@ def dense_index(df: DataFrame, keys, order) -> DataFrame:
 def draws_table(clusters: DataFrame, keys, sums, draws, seed=0, cluster="base_model") -> DataFrame:
     """One row per (group, draw): ``sums`` added over k clusters drawn with replacement.
 
-    Draw j of a replicate is the cluster whose index is a seeded MD5 of (replicate, j), so repeat
-    runs and other engines agree. Work is clusters x draws, spread over the clusters; a cluster drawn
-    several times by a replicate is counted before the sums are joined.
+    Draw j of a replicate is the cluster whose index is a seeded MD5 of (replicate, j), so repeat runs and
+    other engines agree. A group's sums are arrays in one row, which meets every replicate in one join; the
+    picks are made and added inside the row, so only groups x replicates rows are dealt out, never picks.
     """
+    spark = clusters.sparkSession
     c = dense_index(with_cluster_count(clusters, keys), keys, cluster)
-    picks = c.select(*keys, "k", F.col("idx").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picks = picks.select(*keys, "draw", F.pmod(md5_int(seed, F.col("draw"), F.col("j")), F.col("k")).alias("idx"))
-    times = picks.groupBy(*keys, "idx", "draw").agg(F.count("*").alias("times"))
-    return (times.join(c.select(*keys, "idx", *sums), [*keys, "idx"])
-            .groupBy(*keys, "draw").agg(*[F.sum(F.col(s) * F.col("times")).alias(s) for s in sums]))
+    c = c.groupBy(*keys, "k").agg(F.array_sort(F.collect_list(F.struct("idx", *sums))).alias("_c"))
+    field = lambda name: F.transform("_c", lambda x: x[name]).alias(name)
+    c = stage(c.select(*keys, "k", *[field(s) for s in sums]))
+    types = dict(c.dtypes)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = c.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    runs = runs.repartition(max(parts, 4 * spark.sparkContext.defaultParallelism), *keys, "draw")
+    picks = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.pmod(md5_int(seed, F.col("draw"), j), F.col("k")).cast("int"))
+    d = runs.join(c, list(keys)).withColumn("_p", picks)
+    # an element type of long or double, as that of the sums
+    added = lambda s: F.aggregate("_p", F.lit(0).cast(types[s][6:-1]), lambda a, i: a + F.get(F.col(s), i))
+    return d.select(*keys, "draw", *[added(s).alias(s) for s in sums])
 
 
 def percentile_bounds(values: DataFrame, keys, value, lo=0.05, hi=0.95) -> DataFrame:
