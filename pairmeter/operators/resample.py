@@ -4,18 +4,21 @@ Every operator starts from per-cluster sums ``(keys, cluster, ok, n)``, so its i
 cluster whatever the number of rows behind it.
 """
 
-from itertools import product
+import hashlib
 from math import factorial, prod
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from pairmeter.functions.exprs import md5_int
 from pairmeter.plans.local import constant_table
 from pairmeter.plans.staging import stage
 
 EXACT_MAX = 8
 SLACK = 1e-12
+PRIME = 2**31 - 1
+DRAW_BLOCK = 2000  # draws of one row dealt to a task
+PICKS = 1 << 20    # picks held at a time
 
 
 def compositions(spark, largest=EXACT_MAX) -> DataFrame:
@@ -69,27 +72,61 @@ def dense_index(df: DataFrame, keys, order) -> DataFrame:
             .drop("_b", "_off"))
 
 
+def draw_picks(draws, start, stop, k, seed=0):
+    """(len(draws), stop - start) picks: entry (i, j) is the index of the cluster taken by pick j of draw i.
+
+    A draw is a cubic over the integers modulo ``PRIME`` whose four coefficients are the MD5 of (seed, draw);
+    pick j is its value at j, so any four picks of a draw are independent and other engines repeat them.
+    """
+    digests = b"".join(hashlib.md5(f"{seed}:{d}".encode()).digest() for d in draws)
+    a, b, c, d = np.frombuffer(digests, ">u4").reshape(-1, 4).astype(np.int64).T[:, :, None] % PRIME
+    j = np.arange(start, stop, dtype=np.int64)
+    out = (a * j + b) % PRIME
+    for term in (c, d):
+        out *= j
+        out += term
+        out %= PRIME
+    out %= k
+    return out
+
+
 def draws_table(clusters: DataFrame, keys, sums, draws, seed=0, cluster="base_model") -> DataFrame:
-    """One row per (group, draw): ``sums`` added over k clusters drawn with replacement.
+    """One row per (group, draw): ``sums`` added over k clusters drawn with replacement (``draw_picks``).
 
-    Draw j of a replicate is the cluster whose index is a seeded MD5 of (replicate, j), so repeat runs and
-    other engines agree. A group's sums are arrays in one row, which meets every replicate in one join; the
-    picks are made and added inside the row, so only groups x replicates rows are dealt out, never picks.
+    ``draws`` is a number or a column of the keys. A group's sums are arrays in one row, dealt out once per
+    block of draws; the picks are made and added in a task a bounded number at a time, so groups x draws rows
+    are shuffled, never picks. A pick costs a few vector operations: 10^9 of them are seconds on a few cores.
     """
     spark = clusters.sparkSession
     c = dense_index(with_cluster_count(clusters, keys), keys, cluster)
     c = c.groupBy(*keys, "k").agg(F.array_sort(F.collect_list(F.struct("idx", *sums))).alias("_c"))
     field = lambda name: F.transform("_c", lambda x: x[name]).alias(name)
-    c = stage(c.select(*keys, "k", *[field(s) for s in sums]))
-    types = dict(c.dtypes)
+    n = draws if isinstance(draws, Column) else F.lit(draws)
+    c = stage(c.select(*keys, "k", n.alias("_n"), *[field(s) for s in sums]))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = c.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    runs = runs.repartition(max(parts, 4 * spark.sparkContext.defaultParallelism), *keys, "draw")
-    picks = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.pmod(md5_int(seed, F.col("draw"), j), F.col("k")).cast("int"))
-    d = runs.join(c, list(keys)).withColumn("_p", picks)
-    # an element type of long or double, as that of the sums
-    added = lambda s: F.aggregate("_p", F.lit(0).cast(types[s][6:-1]), lambda a, i: a + F.get(F.col(s), i))
-    return d.select(*keys, "draw", *[added(s).alias(s) for s in sums])
+    blocks = F.sequence(F.lit(0), F.col("_n") - 1, F.lit(DRAW_BLOCK))
+    runs = c.select(*keys, F.explode(blocks).alias("_first"))
+    runs = runs.repartition(max(parts, 4 * spark.sparkContext.defaultParallelism), *keys, "_first")
+    key_types = [c.schema[x] for x in keys]
+    sum_types = [T.StructField(s, c.schema[s].dataType.elementType) for s in sums]
+
+    def add(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                first, k = row["_first"], row["k"]
+                last = min(first + DRAW_BLOCK, row["_n"])
+                out = {s: np.zeros(last - first, row[s].dtype) for s in sums}
+                step = max(1, PICKS // k)
+                for lo in range(first, last, step):
+                    hi = min(lo + step, last)
+                    for start in range(0, k, PICKS):
+                        picks = draw_picks(range(lo, hi), start, min(start + PICKS, k), k, seed)
+                        for s in sums:
+                            out[s][lo - first:hi - first] += row[s][picks].sum(axis=1)
+                yield pd.DataFrame({**{x: row[x] for x in keys}, "draw": np.arange(first, last), **out})
+
+    return runs.join(c, list(keys)).mapInPandas(
+        add, T.StructType([*key_types, T.StructField("draw", T.LongType()), *sum_types]))
 
 
 def percentile_bounds(values: DataFrame, keys, value, lo=0.05, hi=0.95) -> DataFrame:

@@ -15,7 +15,8 @@ THIN_FAMILIES = 4
 REFUSE_BELOW = 0.85
 MIN_CLUSTERS = 3
 DEFAULT_RISK = 3.0
-Z90 = 1.645
+CELL_DRAWS = 20_000
+SCHEME_DRAWS = 200_000
 RISK_GRID = [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0]
 TRUSTED, INSUFFICIENT, REFUSED = "trusted", "insufficient_evidence", "refused"
 
@@ -38,24 +39,18 @@ def degenerate(lo="boot90_lo", hi="boot90_hi") -> Column:
     return F.coalesce(F.col(lo) == F.col(hi), F.lit(False))
 
 
-def evidence(scores: DataFrame, draws=2000, above_exact="bootstrap") -> DataFrame:
+def evidence(scores: DataFrame, cell_draws=CELL_DRAWS, scheme_draws=SCHEME_DRAWS) -> DataFrame:
     """Coverage record per scheme (band ``*``) and per cell, with 90% bounds and state.
 
-    Up to eight clusters the bounds are the exact bootstrap's. Above that they are the seeded
-    Monte Carlo's, or with ``above_exact="robust"`` the deterministic cluster-robust ones.
+    Bounds are the cluster bootstrap's: exact up to eight clusters, above that the seeded Monte Carlo's at
+    the protocol's draws, more of them for a scheme.
     """
     t = E.coverage_table(scores).where("level in ('scheme', 'cell')")
     per = (scores.select(F.explode(F.array(F.lit("*"), F.col("band"))).alias("band"), "scheme", "base_model", "ok_one", "pairs")
            .groupBy("scheme", "band", "base_model").agg(F.sum("ok_one").alias("ok"), F.sum("pairs").alias("n")))
     keys = ["scheme", "band"]
-    if above_exact == "robust":
-        se = F.lit(Z90) * F.col("se")
-        large = U.sandwich(per, keys).where(F.col("k") > U.EXACT_MAX).select(
-            *keys, (100 * (F.col("p") - se)).alias("boot_lo"), (100 * (F.col("p") + se)).alias("boot_hi"))
-        b = U.exact_bounds(per, keys).drop("k").unionByName(large)
-    else:
-        b = U.bounds(per, keys, draws=draws)
-    t = t.join(b, ["scheme", "band"], "left").withColumnsRenamed({"boot_lo": "boot90_lo", "boot_hi": "boot90_hi"})
+    b = U.bounds(stage(per), keys, draws=F.when(F.col("band") == "*", scheme_draws).otherwise(cell_draws))
+    t = t.join(b, keys, "left").withColumnsRenamed({"boot_lo": "boot90_lo", "boot_hi": "boot90_hi"})
     return t.withColumns({"state": classify(), "degenerate": degenerate()})
 
 
@@ -155,11 +150,11 @@ def band_verdicts(records: DataFrame, bands) -> DataFrame:
     return grid.join(cells, ["scheme", "band"], "left").withColumn("state", F.coalesce("state", F.lit("not_measured")))
 
 
-def ranking_inputs(df: DataFrame, families, is_cal, draws=2000, above_exact="bootstrap"):
+def ranking_inputs(df: DataFrame, families, is_cal, cell_draws=CELL_DRAWS, scheme_draws=SCHEME_DRAWS):
     """Everything a ranking question needs, written once: (hist, sup, records, model)."""
     hist, sup = C.reduce_rows(df, is_cal=is_cal)
     model = stage(C.fit_shipped(hist, sup))
-    records = stage(evidence(E.pair_cluster_scores(df, families), draws, above_exact))
+    records = stage(evidence(E.pair_cluster_scores(df, families), cell_draws, scheme_draws))
     return hist, sup, records, model
 
 

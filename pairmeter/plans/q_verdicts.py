@@ -27,7 +27,7 @@ ALIASES = {"a": "af", "af": "af", "mild": "af", "ao": "ao", "r_f": "rf", "rf": "
 
 
 def records(spark, sf):
-    return V.evidence(scores(spark, sf), above_exact="robust")
+    return V.evidence(scores(spark, sf))
 
 
 @query("v1_evidence_classifier", f"""{RECORDS_SQL} SELECT scheme, band, distinct_checkpoints, distinct_rows,
@@ -105,8 +105,8 @@ def _all_sql(**kw):
     return f"{body}, {pairs}, {S.evidence()}, {entries_sql(**kw)}"
 
 
-def inputs(spark, sf, above_exact="robust"):
-    return V.ranking_inputs(obs(spark, sf), families(spark, sf), is_calibration(), above_exact=above_exact)
+def inputs(spark, sf):
+    return V.ranking_inputs(obs(spark, sf), families(spark, sf), is_calibration())
 
 
 def _entries(spark, sf, **kw):
@@ -140,11 +140,12 @@ def ranking_query(spark, sf):
                       F.col("rank").cast("long").alias("rank"))
 
 
-@query("v6_ranking_query_bootstrap")
+@query("v6_ranking_query_bootstrap", f"""{_all_sql()} SELECT scheme, tier, flags, {R('half_width')} AS half_width, {R('worst')} AS worst,
+  row_number() OVER (ORDER BY tier, half_width, worst DESC, scheme) AS rank FROM ent""")
 def ranking_query_bootstrap(spark, sf):
-    """The same question judged by the seeded Monte-Carlo bootstrap."""
-    e = V.assemble(*inputs(spark, sf, "bootstrap"), aggressive=FOUR_BIT)
-    return V.ranked(e).select("scheme", "tier", "flags", "half_width", "worst", "rank")
+    """The question without a size band, over every scheme."""
+    return V.ranked(_entries(spark, sf)).select("scheme", "tier", F.array_join("flags", ",").alias("flags"),
+        r6("half_width").alias("half_width"), r6("worst").alias("worst"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("v7_facts_footer", f"""{_all_sql()},
@@ -178,7 +179,7 @@ def envelope(spark, sf):
     hist, sup = C.reduce_rows(d, is_cal=is_calibration())
     model = stage(C.fit_shipped(hist, sup))
     sc = E.pair_cluster_scores(d, families(spark, sf))
-    e = V.envelope(hist, model, V.evidence(sc, above_exact="robust"), E.family_spread(sc))
+    e = V.envelope(hist, model, V.evidence(sc), E.family_spread(sc))
     flat = e.select("scheme", "n_observations", "n_families", "mean_delta", "median_delta", "half_width",
                     F.col("interval.lo").alias("lo"), F.col("interval.hi").alias("hi"),
                     F.col("empirical.lo").alias("empirical_lo"), F.col("empirical.hi").alias("empirical_hi"), "worst_observed",

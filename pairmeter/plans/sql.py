@@ -183,27 +183,35 @@ def evidence():
 rec0 AS (SELECT scheme, star AS band, {cols} FROM z GROUP BY scheme, star UNION ALL SELECT scheme, band, {cols} FROM z GROUP BY scheme, band),
 cl AS (SELECT scheme, star AS band, base_model, sum(ok_one::int) AS ok, count(*) AS n FROM z GROUP BY scheme, star, base_model
    UNION ALL SELECT scheme, band, base_model, sum(ok_one::int), count(*) FROM z GROUP BY scheme, band, base_model),
-{exact_bootstrap('b', 'cl', 'scheme, band')}, {sandwich('r', 'cl', 'scheme, band')},
-rec AS (SELECT rec0.*, coalesce(e.boot_lo, 100 * (r.p - 1.645 * r.se)) AS boot90_lo,
-   coalesce(e.boot_hi, 100 * (r.p + 1.645 * r.se)) AS boot90_hi,
+{exact_bootstrap('b', 'cl', 'scheme, band')}, big AS (SELECT * FROM cl QUALIFY count(*) OVER (PARTITION BY scheme, band) > 8),
+{draws('w', 'big', 'scheme, band', ['ok', 'n'], "CASE WHEN band = '*' THEN 200000 ELSE 20000 END", most=200_000)},
+{draw_bounds('r', 'w_d', 'scheme, band', '100.0::DOUBLE * ok / n', 0.05, 0.95)},
+rec AS (SELECT rec0.*, coalesce(e.boot_lo, r.boot_lo) AS boot90_lo,
+   coalesce(e.boot_hi, r.boot_hi) AS boot90_hi,
    CASE WHEN distinct_checkpoints < 3 THEN 'insufficient_evidence' WHEN boot90_lo IS NULL OR boot90_hi IS NULL
      THEN 'insufficient_evidence' WHEN boot90_lo < 85 AND 85 < boot90_hi THEN 'insufficient_evidence'
      WHEN coverage_one_sided < 0.85 THEN 'refused' ELSE 'trusted' END AS state
-   FROM rec0 LEFT JOIN b_exact e USING (scheme, band) LEFT JOIN r_rob r USING (scheme, band))"""
+   FROM rec0 LEFT JOIN b_exact e USING (scheme, band) LEFT JOIN r_b r USING (scheme, band))"""
 
 
 def _md5(text):
     return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
 
 
-def draws(name, src, keys, sums, n, seed=0, cluster="base_model"):
-    """CTEs ending in {name}_d(keys, draw, sums): clusters of ``src`` drawn with replacement n times."""
+def draws(name, src, keys, sums, n, seed=0, cluster="base_model", most=None):
+    """CTEs ending in {name}_d(keys, draw, sums): clusters of ``src`` drawn with replacement n times (a number,
+    or an expression of the keys that is at most ``most``). Pick j of a draw is its cubic at j modulo a prime."""
     added = ", ".join(f"sum({s}) AS {s}" for s in sums)
-    return f"""{name}_i AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY substr(md5({cluster}::VARCHAR), 1, 5), {cluster}) - 1 AS idx,
-  count(*) OVER (PARTITION BY {keys}) AS k FROM {src}),
-{name}_p AS (SELECT {keys}, k, idx AS j, unnest(range({n})) AS draw FROM {name}_i),
-{name}_q AS (SELECT {keys}, draw, {_md5(f"'{seed}:' || draw || ':' || j")} % k AS idx FROM {name}_p),
-{name}_d AS (SELECT {keys}, draw, {added} FROM {name}_q JOIN {name}_i USING ({keys}, idx) GROUP BY {keys}, draw)"""
+    m, prime = f"md5('{seed}:' || draw)", 2**31 - 1
+    a, b, c, d = (f"('0x' || substr({m}, {i}, 8))::BIGINT % {prime} AS c{i}" for i in (1, 9, 17, 25))
+    order = f"substr(md5({cluster}::VARCHAR), 1, 5), {cluster}"
+    return f"""{name}_i AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {keys}, {order}) - 1 AS r FROM {src}),
+{name}_g AS (SELECT {keys}, min(r) AS off, count(*) AS k FROM {name}_i GROUP BY {keys}),
+{name}_h AS MATERIALIZED (SELECT draw, {a}, {b}, {c}, {d} FROM range({most or n}) t(draw)),
+{name}_p AS MATERIALIZED (SELECT {keys}, off, k, r - off AS j FROM {name}_i JOIN {name}_g USING ({keys})),
+{name}_q AS (SELECT off, draw, off + (((c1 * j + c9) % {prime} * j + c17) % {prime} * j + c25) % {prime} % k AS r FROM {name}_h, {name}_p WHERE draw < {n}),
+{name}_s AS (SELECT off, draw, {added} FROM {name}_q JOIN (SELECT r, {', '.join(sums)} FROM {name}_i) USING (r) GROUP BY off, draw),
+{name}_d AS (SELECT {keys}, draw, {', '.join(sums)} FROM {name}_s JOIN {name}_g USING (off))"""
 
 
 def draw_bounds(name, src, keys, value, lo, hi):
