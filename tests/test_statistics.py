@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 
@@ -171,15 +172,69 @@ def test_order_statistics_of_off_grid_values_in_one_hot_treatment(spark):
 
 
 def test_monte_carlo_against_plain_draws(spark):
-    import hashlib
-    h = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    p = 2 ** 31 - 1
+
+    def pick(draw, j):
+        x = hashlib.md5(f"0:{draw}".encode()).hexdigest()
+        a, b, c, d = (int(x[i:i + 8], 16) for i in (0, 8, 16, 24))
+        return (a * j ** 3 + b * j ** 2 + c * j + d) % p % 11
+
     rows = [("g", f"c{i}", i % 4, 4 + i) for i in range(11)]
     order = sorted(rows, key=lambda r: (hashlib.md5(r[1].encode()).hexdigest()[:5], r[1]))
-    v = sorted(100 * sum(p[2] for p in picks) / sum(p[3] for p in picks) for picks in ([order[h(f"0:{d}:{j}") % 11] for j in range(11)] for d in range(300)))
+    v = sorted(100 * sum(x[2] for x in picks) / sum(x[3] for x in picks) for picks in ([order[pick(d, j)] for j in range(11)] for d in range(300)))
     got = U.monte_carlo_bounds(frame(spark, g=[r[0] for r in rows], base_model=[r[1] for r in rows], ok=[r[2] for r in rows], n=[r[3] for r in rows]), ["g"], draws=300).first()
     assert got.boot_lo == pytest.approx(v[math.floor(0.05 * 299)]) and got.boot_hi == pytest.approx(v[math.ceil(0.95 * 299)])
 
 
+@pytest.mark.parametrize("k", [9, 64, 1000])
+def test_picks_resample_like_independent_ones(k):
+    """Every cluster is picked alike, and sums over draws have the quantiles of independent draws."""
+    picks = U.draw_picks(range(20_000), 0, k, k)
+    assert np.array_equal(picks[:, 5:], U.draw_picks(range(20_000), 5, k, k))
+    counts = np.bincount(picks.ravel(), minlength=k)
+    assert abs((counts - 20_000).astype(float)).max() < 5.5 * math.sqrt(20_000)
+    rng = np.random.default_rng(1)
+    n = rng.integers(1, 200, k)
+    ok = rng.binomial(n, rng.beta(9, 1, k))
+    free = rng.integers(0, k, (20_000, k))
+    a, b = (ok[x].sum(axis=1) / n[x].sum(axis=1) for x in (picks, free))
+    for q in (0.01, 0.05, 0.5, 0.95, 0.99):
+        assert abs(np.quantile(a, q) - np.quantile(b, q)) < 0.12 * b.std()
+
+
+def test_draws_by_group_and_blocks(spark, monkeypatch):
+    """A number of draws per group, over several blocks of draws and pieces of picks, is the same as in one."""
+    g, m = ["x"] * 10 + ["y"] * 9, [f"c{i}" for i in range(19)]
+    c = frame(spark, g=g, base_model=m, ok=list(range(19)), n=[20] * 19)
+    n = F.when(F.col("g") == "x", 70).otherwise(40)
+    want = {tuple(r) for r in U.draws_table(c, ["g"], ["ok", "n"], n).collect()}
+    assert sum(r[0] == "x" for r in want) == 70 and len(want) == 110
+    monkeypatch.setattr(U, "DRAW_BLOCK", 16)
+    monkeypatch.setattr(U, "PICKS", 4)
+    picks = {(r[0], r[1]): r[2] for r in want}
+    whole = U.draw_picks(range(40), 0, 9, 9)
+    order = sorted(range(10, 19), key=lambda i: (hashlib.md5(m[i].encode()).hexdigest()[:5], m[i]))
+    assert [picks["y", d] for d in range(40)] == np.array(order)[whole].sum(axis=1).tolist()
+    assert {tuple(r) for r in U.draws_table(c, ["g"], ["ok", "n"], n).collect()} == want
+
+
+def test_verdict_bounds_are_the_bootstraps(spark):
+    """Above eight clusters a cell's bounds are the Monte Carlo's, up to eight the exact ones; bands are judged by both."""
+    cell = ["big"] * 12 + ["few"] * 5
+    base = {c: [0] * 17 for c in E.SUMS}
+    ok = [17 + i % 3 for i in range(17)]
+    s = frame(spark, scheme=cell, band=["<2B"] * 17, family=["f"] * 17, base_model=[f"m{i}" for i in range(17)],
+              **(base | {"pairs": [20] * 17, "n_rows": [20] * 17, "ok": ok, "ok_one": ok, "miss_delta": [0.0] * 17}))
+    got = {(r.scheme, r.band): (r.boot90_lo, r.boot90_hi, r.state) for r in V.evidence(s, 500, 900).collect()}
+    c = s.select("scheme", "base_model", F.col("ok_one").alias("ok"), F.col("pairs").alias("n"))
+    few = U.exact_bounds(c.where("scheme = 'few'"), ["scheme"]).first()
+    assert got["few", "*"][:2] == got["few", "<2B"][:2] == (few.boot_lo, few.boot_hi)
+    for band, draws in (("*", 900), ("<2B", 500)):
+        big = U.monte_carlo_bounds(c.where("scheme = 'big'"), ["scheme"], draws=draws).first()
+        assert got["big", band][:2] == (big.boot_lo, big.boot_hi)
+        assert got["big", band][2] == (V.INSUFFICIENT if big.boot_lo < 85 < big.boot_hi else V.TRUSTED)
+
+
 def test_addresses_and_home_folders(spark):
     text = "at 93.184.216.34 and 10.1.2.3, 172.20.0.1 192.168.1.1 8.8.8.8 1.2.3.4.5 300.1.1.1\n(51.15.0.9) v1.2.3.4 /home/ubuntu/x /home/ann/x x/home/no/ /Users/bob.c/ C:\\Users\\eve\\"
     d = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")
