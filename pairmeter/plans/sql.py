@@ -183,8 +183,8 @@ def evidence():
 rec0 AS (SELECT scheme, star AS band, {cols} FROM z GROUP BY scheme, star UNION ALL SELECT scheme, band, {cols} FROM z GROUP BY scheme, band),
 cl AS (SELECT scheme, star AS band, base_model, sum(ok_one::int) AS ok, count(*) AS n FROM z GROUP BY scheme, star, base_model
    UNION ALL SELECT scheme, band, base_model, sum(ok_one::int), count(*) FROM z GROUP BY scheme, band, base_model),
-{exact_bootstrap('b', 'cl', 'scheme, band')}, big AS (SELECT * FROM cl QUALIFY count(*) OVER (PARTITION BY scheme, band) > 8),
-{draws('w', 'big', 'scheme, band', ['ok', 'n'], "CASE WHEN band = '*' THEN 200000 ELSE 20000 END", most=200_000)},
+{exact_bootstrap('b', 'cl', 'scheme, band')}, many AS (SELECT * FROM cl QUALIFY count(*) OVER (PARTITION BY scheme, band) > 8),
+{draws('w', 'many', 'scheme, band', ['ok', 'n'], "CASE WHEN band = '*' THEN 200000 ELSE 20000 END", most=200_000)},
 {draw_bounds('r', 'w_d', 'scheme, band', '100.0::DOUBLE * ok / n', 0.05, 0.95)},
 rec AS (SELECT rec0.*, coalesce(e.boot_lo, r.boot_lo) AS boot90_lo,
    coalesce(e.boot_hi, r.boot_hi) AS boot90_hi,
