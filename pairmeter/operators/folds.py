@@ -1,9 +1,9 @@
 """Leave-out evaluation protocols.
 
-A fold is a row of a small constant table: which family is tested, which calibrate, which train.
-Train centres come from per-family sums (additive, no row is read twice); calibration residuals come
-from the per-family delta histogram; test rows meet the finished bands in one equi-join. Nothing
-loops over folds.
+A fold names the family it tests and those it calibrates on; every other family trains. Train sums
+are the sums of all families less those of the named ones, added up as decimals so that the
+difference is exact; calibration residuals come from the per-family delta histogram; test rows meet
+the finished bands in one equi-join. Nothing loops over folds, and no fold lists its train families.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -20,38 +20,102 @@ MIN_FOLD_CAL = 19
 MIN_FOLD_TRAIN = 50
 
 
-def family_folds(spark, families, n_cal=1) -> DataFrame:
-    """(fold, test_family, cal_family, family, role) for every test family and every set of
-    ``n_cal`` other families as calibration.
+FOLD_BLOCKS = 16
 
-    ``families`` is a table of distinct keys (column ``family``) or a list of them. The folds are
-    joins of that table with itself, written once; no list of keys or folds is held by the driver.
-    """
+
+def _meet(left: DataFrame, right: DataFrame, key: str, cond) -> DataFrame:
+    """Rows of ``left`` beside those of ``right`` that satisfy ``cond``: ``right`` is cut into blocks by
+    the hash of ``key`` and every left row visits each block, so the join is on the block."""
+    left = left.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(FOLD_BLOCKS - 1))))
+    right = right.withColumn("_b", F.pmod(F.hash(key), F.lit(FOLD_BLOCKS)))
+    return left.join(right, "_b").where(cond).drop("_b")
+
+
+def _fold_sets(spark, families, n_cal):
+    """(written distinct keys, (test_family, cal) for every test family and set of ``n_cal`` others)."""
     if not isinstance(families, DataFrame):
         families = constant_table(spark, {"family": list(families)})
     keys = stage(families.select("family").where("family is not null").distinct())
     cal = keys.select(F.array("family").alias("cal"))
     for _ in range(n_cal - 1):  # sets in rising order
-        cal = cal.join(keys, F.element_at("cal", -1) < F.col("family")).select(F.array_append("cal", F.col("family")).alias("cal"))
+        cal = _meet(cal, keys, "family", F.element_at("cal", -1) < F.col("family")).select(F.array_append("cal", F.col("family")).alias("cal"))
     test = keys.withColumnRenamed("family", "test_family")
-    sets = test.join(cal, ~F.array_contains("cal", F.col("test_family")))
-    role = F.when(F.col("family") == F.col("test_family"), "test").when(F.array_contains("cal", F.col("family")), "cal").otherwise("train")
+    return keys, _meet(cal, test, "test_family", ~F.array_contains("cal", F.col("test_family")))
+
+
+def _fold_rows(sets, family, role):
     label = F.array_join("cal", "+")
-    # every fold names every family once, whatever its role
-    folds = sets.join(keys, (F.col("family") == F.col("test_family")) | (F.col("family") != F.col("test_family")))
-    return stage(folds.select(F.concat("test_family", F.lit("|"), label).alias("fold"), "test_family", label.alias("cal_family"), "family", role.alias("role")))
+    return sets.select(F.concat("test_family", F.lit("|"), label).alias("fold"), "test_family", label.alias("cal_family"), family, role)
+
+
+def held_out(spark, families, n_cal=1) -> DataFrame:
+    """(fold, test_family, cal_family, family, role): the test and calibration families of every fold,
+    one fold for every test family and every set of ``n_cal`` other families as calibration.
+
+    ``families`` is a table of distinct keys (column ``family``) or a list of them; null is no family.
+    Families not named in a fold are its train side: F families make F * (F - 1) folds of two rows.
+    """
+    _, sets = _fold_sets(spark, families, n_cal)
+    test = F.struct(F.col("test_family").alias("family"), F.lit("test").alias("role"))
+    named = F.concat(F.array(test), F.transform("cal", lambda c: F.struct(c.alias("family"), F.lit("cal").alias("role"))))
+    return stage(_fold_rows(sets.withColumn("_r", F.explode(named)), F.col("_r.family").alias("family"), F.col("_r.role").alias("role")))
+
+
+def family_folds(spark, families, n_cal=1) -> DataFrame:
+    """``held_out`` with the train families listed too, for audits of the folds themselves; the
+    protocols never need the list, which is as long as the number of families for every fold."""
+    keys, sets = _fold_sets(spark, families, n_cal)
+    role = F.when(F.col("family") == F.col("test_family"), "test").when(F.array_contains("cal", F.col("family")), "cal").otherwise("train")
+    return stage(_fold_rows(_meet(sets, keys, "family", F.lit(True)), F.col("family"), role.alias("role")))
 
 
 def _role(folds, role, *cols):
     return folds.where(F.col("role") == role).select("fold", "family", *cols)
 
 
+def family_cells(hist: DataFrame, *keys) -> DataFrame:
+    """(family, keys, s, n): sum and count of the deltas. The sum is a decimal with twelve places, the same in
+    whatever order it is added; a delta that is not finite fails the cast."""
+    return hist.groupBy("family", *keys).agg(
+        F.sum((F.col("delta") * F.col("n")).cast("decimal(28,12)")).alias("s"), F.sum("n").alias("n"))
+
+
+def of_families(t: DataFrame, folds: DataFrame) -> DataFrame:
+    """Rows of the families a whole fold table names; others are on no side of any fold."""
+    return t.join(folds.select("family").distinct(), "family", "left_semi")
+
+
+def train_sums(cells: DataFrame, folds: DataFrame, keys=(), measures=("s", "n"), split=()) -> DataFrame:
+    """(fold, split, keys, measures): the measures of ``cells`` over the families a fold does not name.
+
+    ``cells`` holds decimal or whole measures per (family, split, keys), of the protocol's families alone
+    (``of_families``). A row is given for the keys that a named family of the fold has, which are those its
+    bands are asked for; keys left without train rows are absent. ``split`` keys run the protocol once for
+    each of their values.
+    """
+    by = [*split, *keys]
+    total = cells.groupBy(*by).agg(*[F.sum(m).alias("_" + m) for m in measures])
+    named = (cells.join(folds.select("fold", "family"), "family").groupBy("fold", *by)
+             .agg(*[F.sum(m).alias(m) for m in measures]))
+    if by:
+        named = named.join(total, by)
+    else:
+        named = named.withColumns({"_" + m: total.select("_" + m).scalar() for m in measures})
+    left = named.select("fold", *by, *[(F.col("_" + m) - F.col(m)).alias(m) for m in measures])
+    return left.where(F.col("n") > 0)
+
+
+def _mean(s="s"):
+    return F.col(s).cast("double") / F.col("n")
+
+
 def valid_folds(cells: DataFrame, folds: DataFrame, min_cal=MIN_FOLD_CAL, min_train=MIN_FOLD_TRAIN) -> DataFrame:
-    """Folds with enough calibration and training rows."""
-    per_family = cells.groupBy("family").agg(F.sum("n").alias("n"))
+    """Folds of ``held_out`` with enough calibration and training rows."""
+    per_family = stage(of_families(cells, folds).groupBy("family").agg(F.sum("n").alias("n")))
     size = lambda role: F.sum(F.when(F.col("role") == role, F.col("n")).otherwise(0))
+    train = train_sums(per_family, folds, measures=("n",)).select("fold", F.col("n").alias("n_train"))
     return (folds.join(per_family, "family").groupBy("fold", "test_family", "cal_family")
-            .agg(size("cal").alias("n_cal"), size("train").alias("n_train"), size("test").alias("n_test"))
+            .agg(size("cal").alias("n_cal"), size("test").alias("n_test")).join(train, "fold")
             .where((F.col("n_cal") >= min_cal) & (F.col("n_train") >= min_train) & (F.col("n_test") > 0))
             .select("fold", "test_family", "cal_family"))
 
@@ -62,16 +126,15 @@ def widen_bands(hist: DataFrame, sup: DataFrame, folds: DataFrame, alpha=ALPHA,
 
     Distinct training clusters are sums over families because clusters nest in families.
     """
-    cells = hist.groupBy("family", "scheme", "band").agg(
-        F.sum(F.col("delta") * F.col("n")).alias("s"), F.sum("n").alias("n"))
+    cells = family_cells(hist, "scheme", "band")
     clusters = sup.groupBy("family", "scheme", "band").agg(F.countDistinct("base_model").alias("k"))
     cells = stage(cells.join(clusters, ["family", "scheme", "band"]))
-    ok = valid_folds(cells, folds, min_cal, min_train)
+    ok = stage(valid_folds(cells, folds, min_cal, min_train))
+    cells, hist = stage(of_families(cells, folds)), of_families(hist, folds)
     folds = folds.join(ok.select("fold"), "fold", "left_semi")
-    train = cells.join(_role(folds, "train"), "family")
-    tr_cell = train.groupBy("fold", "scheme", "band").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    tr_scheme = train.groupBy("fold", "scheme").agg((F.sum("s") / F.sum("n")).alias("s_mean"))
-    tr_all = train.groupBy("fold").agg((F.sum("s") / F.sum("n")).alias("g_mean"))
+    tr_cell = train_sums(cells, folds, ("scheme", "band"), ("n", "k"))
+    tr_scheme = stage(train_sums(cells, folds, ("scheme",)).select("fold", "scheme", _mean().alias("s_mean")))
+    tr_all = stage(train_sums(cells, folds).select("fold", _mean().alias("g_mean")))
 
     cal = (hist.join(_role(folds, "cal"), "family")
            .join(tr_scheme, ["fold", "scheme"], "left").join(tr_all, "fold")
@@ -84,10 +147,14 @@ def widen_bands(hist: DataFrame, sup: DataFrame, folds: DataFrame, alpha=ALPHA,
 
     scheme = tr_scheme.join(level("scheme", ["scheme"], "q_s"), ["fold", "scheme"], "left")
     short = F.coalesce("q_s_n", F.lit(0)) < MIN_CAL_ROWS
-    kept_train = (hist.join(_role(folds, "train"), "family")
-                  .join(scheme.where(short).select("fold", "scheme", "s_mean"), ["fold", "scheme"])
-                  .withColumn("resid", F.abs(F.col("delta") - F.col("s_mean")))
-                  .groupBy("fold", "scheme", "resid").agg(F.sum("n").alias("n")))
+    # residuals of the train side: those of all families less those of the fold's named ones
+    tested = cells.join(_role(folds, "test"), "family").select("fold", "scheme").distinct()
+    few = stage(scheme.where(short).select("fold", "scheme", "s_mean").join(tested, ["fold", "scheme"], "left_semi"))
+    every = hist.groupBy("scheme", "delta").agg(F.sum("n").alias("n")).join(few, "scheme")
+    named = (hist.join(folds.select("fold", "family"), "family").join(few, ["fold", "scheme"])
+             .select("scheme", "delta", (-F.col("n")).alias("n"), "fold", "s_mean"))
+    kept_train = (every.unionByName(named).withColumn("resid", F.abs(F.col("delta") - F.col("s_mean")))
+                  .groupBy("fold", "scheme", "resid").agg(F.sum("n").alias("n")).where(F.col("n") > 0))
     in_sample = conformal_quantile(kept_train, ["fold", "scheme"], "resid", alpha, name="q_tr").drop("n")
     scheme = (scheme.join(in_sample, ["fold", "scheme"], "left")
               .select("fold", "scheme", "s_mean", F.when(short, F.col("q_tr")).otherwise(F.col("q_s")).alias("s_hw")))
@@ -117,7 +184,7 @@ def _by_test():
 def pair_bands(df: DataFrame, families, alpha=ALPHA) -> DataFrame:
     """Written bands of the (test family, calibration family) protocol."""
     hist, sup = reduce_rows(df, "family")
-    return stage(widen_bands(hist, sup, family_folds(df.sparkSession, families), alpha))
+    return stage(widen_bands(hist, sup, held_out(df.sparkSession, families), alpha))
 
 
 def score_rows(df: DataFrame, bands: DataFrame) -> DataFrame:
@@ -181,15 +248,17 @@ def family_spread(scores: DataFrame) -> DataFrame:
 
 
 def mondrian_bands(train_sums: DataFrame, cal_hist: DataFrame, test_cells: DataFrame, alphas=(ALPHA,),
-                   grouped=True, noise=None, backoff=True) -> DataFrame:
+                   grouped=True, noise=None, backoff=True, overall=None) -> DataFrame:
     """Treatment-mean centre and per-treatment conformal quantile for every fold.
 
     train_sums (fold, scheme, s, n); cal_hist (fold, scheme, delta[, noise], n); test_cells (fold,
-    scheme, ...). One row per (test cell, alpha) with yhat, q, backed_off, and q_marginal, the
-    quantile without groups.
+    scheme, ...); overall (fold, g_mean), taken from train_sums if those hold every treatment. One row per
+    (test cell, alpha) with yhat, q, backed_off, and q_marginal, the quantile without groups.
     """
-    means = train_sums.groupBy("fold", "scheme").agg((F.sum("s") / F.sum("n")).alias("s_mean"))
-    overall = train_sums.groupBy("fold").agg((F.sum("s") / F.sum("n")).alias("g_mean"))
+    mean = F.sum("s").cast("double") / F.sum("n")
+    means = train_sums.groupBy("fold", "scheme").agg(mean.alias("s_mean"))
+    if overall is None:
+        overall = train_sums.groupBy("fold").agg(mean.alias("g_mean"))
     score = F.abs(F.col("delta") - F.coalesce("s_mean", "g_mean"))
     if noise:
         score = score / F.col(noise)
@@ -225,17 +294,18 @@ def family_mondrian(df: DataFrame, families, n_cal=1, alphas=(ALPHA,), grouped=T
     """
     values = ["delta"] + ([noise] if noise else [])
     hist = stage(df.groupBy(*extra, "family", "scheme", *values).agg(F.count("*").alias("n")))
-    folds = family_folds(df.sparkSession, families, n_cal)
+    folds = held_out(df.sparkSession, families, n_cal)
     tag = F.concat_ws("|", *extra, "fold")
-    cells = hist.groupBy(*extra, "family", "scheme").agg(
-        F.sum(F.col("delta") * F.col("n")).alias("s"), F.sum("n").alias("n"))
+    cells = stage(of_families(family_cells(hist, *extra, "scheme"), folds))
     join = lambda t, role, *cols: t.join(_role(folds, role, *cols), "family").withColumn("fold", tag)
-    size = lambda role: join(cells, role).groupBy("fold").agg(F.sum("n").alias("n_" + role))
-    ok = (size("cal").join(size("train"), "fold")
+    rest = lambda keys: train_sums(cells, folds, keys, split=extra).select(tag.alias("fold"), *keys, "s", "n")
+    overall = stage(rest(()).select("fold", _mean().alias("g_mean"), F.col("n").alias("n_train")))
+    n_cal = join(cells, "cal").groupBy("fold").agg(F.sum("n").alias("n_cal"))
+    ok = (n_cal.join(overall, "fold")
           .where((F.col("n_cal") >= min_cal) & (F.col("n_train") >= min_train)).select("fold"))
     test = (join(cells, "test", "cal_family").join(ok, "fold", "left_semi")
             .select("fold", *extra, "family", "cal_family", "scheme"))
-    bands = mondrian_bands(join(cells, "train"), join(hist, "cal"), test, alphas, grouped, noise)
+    bands = mondrian_bands(rest(("scheme",)), join(hist, "cal"), test, alphas, grouped, noise, overall=overall.drop("n_train"))
     return hist, stage(bands)
 
 

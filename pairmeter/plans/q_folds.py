@@ -313,7 +313,7 @@ def subfamily_coverage(spark, sf):
 @query("j2_fold_expansion", f"""WITH {OBS_SQL}, {S.PAIR_FOLDS.format(min_train=50)} SELECT * FROM fold_ok""")
 def fold_expansion(spark, sf):
     cells = obs(spark, sf).groupBy("family").agg(F.count("*").alias("n"))
-    return E.valid_folds(cells, E.family_folds(spark, families(spark, sf))).select("test_family", "cal_family")
+    return E.valid_folds(cells, E.held_out(spark, families(spark, sf))).select("test_family", "cal_family")
 
 
 _SHAPE = f"""{S.PAIR_FOLDS.format(min_train=50)}, {S.pair_rows('p')},
@@ -348,11 +348,11 @@ SHAPE_SQL = (f"WITH {OBS_SQL}, {_SHAPE} {_shape_part('conformal', 'clo', 'chi')}
 def shape_bands(df, fams):
     """Symmetric, empirical and hybrid bands of every (fold, scheme) with enough rows."""
     hist = E.stage(histogram(df, "family", "scheme"))
-    folds = E.family_folds(df.sparkSession, fams)
-    cells = hist.groupBy("family", "scheme").agg(F.sum(F.col("delta") * F.col("n")).alias("s"), F.sum("n").alias("n"))
+    folds = E.held_out(df.sparkSession, fams)
+    cells = E.stage(E.of_families(E.family_cells(hist, "scheme"), folds))
     ok = E.valid_folds(cells, folds).select("fold")
-    centre = (cells.join(E._role(folds, "train"), "family").groupBy("fold", "scheme")
-              .agg((F.sum("s") / F.sum("n")).alias("centre"), F.sum("n").alias("nt")).where("nt >= 5").drop("nt"))
+    centre = (E.train_sums(cells, folds, ("scheme",)).where("n >= 5")
+              .select("fold", "scheme", (F.col("s").cast("double") / F.col("n")).alias("centre")))
     cal = (hist.join(E._role(folds, "cal", "test_family", "cal_family"), "family").join(ok, "fold", "left_semi")
            .select("fold", "test_family", "cal_family", "scheme", "delta", "n").join(centre, ["fold", "scheme"]))
     keys = ["fold", "test_family", "cal_family", "scheme"]
