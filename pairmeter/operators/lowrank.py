@@ -3,8 +3,13 @@ vocabulary makes it wide."""
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pairmeter.functions.exprs import md5_int
+from pairmeter.plans.staging import stage
+
 
 def score_matrix(df: DataFrame) -> DataFrame:
     """Long matrix: base rows hold mean before-scores, treated rows mean after-scores."""
@@ -65,29 +70,113 @@ def reveal(entries: DataFrame, order, k=3) -> DataFrame:
     return t.where(F.col("_n") >= k + 2).withColumn("revealed", F.col("_i") <= k).drop("_n", "_i")
 
 
-def scorecard(pred: DataFrame) -> DataFrame:
-    """Quality of predicted deltas (true_delta, pred_delta, scheme_mean, scheme)."""
+def scorecard(pred: DataFrame, *keys) -> DataFrame:
+    """Quality of predicted deltas (true_delta, pred_delta, scheme_mean, scheme), over all rows or per ``keys``."""
     t, p = F.col("true_delta"), F.col("pred_delta")
     n = lambda c: F.sum(c.cast("long"))
-    per = pred.groupBy("scheme").agg(F.avg(p).alias("pm"), F.avg(t).alias("tm"))
-    spread = per.agg((F.max("pm") - F.min("pm")).alias("pred_spread"), (F.max("tm") - F.min("tm")).alias("true_spread"))
-    out = pred.agg(F.count("*").alias("n"), F.avg(F.abs(t - p)).alias("mae"), F.avg(F.abs(t - F.col("scheme_mean"))).alias("mae_scheme_mean"),
-                   F.avg(F.abs(t)).alias("mae_zero"), F.avg(F.abs(p)).alias("mean_abs_pred"), n(t <= -3).alias("n_severe"),
-                   n((t <= -3) & (p <= -1.5)).alias("severe_caught"), n((t > -3) & (p <= -1.5)).alias("false_alarms"), F.corr(p, t).alias("corr_pred_true"))
+    per = pred.groupBy(*keys, "scheme").agg(F.avg(p).alias("pm"), F.avg(t).alias("tm"))
+    spread = per.groupBy(*keys).agg((F.max("pm") - F.min("pm")).alias("pred_spread"), (F.max("tm") - F.min("tm")).alias("true_spread"))
+    out = pred.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(F.abs(t - p)).alias("mae"), F.avg(F.abs(t - F.col("scheme_mean"))).alias("mae_scheme_mean"),
+        F.avg(F.abs(t)).alias("mae_zero"), F.avg(F.abs(p)).alias("mean_abs_pred"), n(t <= -3).alias("n_severe"),
+        n((t <= -3) & (p <= -1.5)).alias("severe_caught"), n((t > -3) & (p <= -1.5)).alias("false_alarms"), F.corr(p, t).alias("corr_pred_true"))
+    if keys:
+        return out.join(spread, list(keys))
     return out.withColumns({"pred_spread": spread.select("pred_spread").scalar(), "true_spread": spread.select("true_spread").scalar()})
 
 
-def complete_low_rank(scores: DataFrame, hidden: DataFrame, rank=2, reg=0.05, iters=10, seed=0) -> DataFrame:
-    """Predicted score of every hidden entry by alternating least squares on the visible ones."""
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.recommendation import ALS
-    visible = scores.join(hidden.select("row_key", "benchmark"), ["row_key", "benchmark"], "left_anti")
-    ids = StringIndexer(inputCols=["row_key", "benchmark"], outputCols=["_u", "_i"], handleInvalid="skip").fit(scores)
-    mean = visible.agg(F.avg("score")).scalar()
-    train = ids.transform(visible.withColumn("_y", F.col("score") - mean)).select(F.col("_u").cast("int"), F.col("_i").cast("int"), F.col("_y").cast("float"))
-    als = ALS(userCol="_u", itemCol="_i", ratingCol="_y", rank=rank, regParam=reg, maxIter=iters, seed=seed, coldStartStrategy="nan").fit(train)
-    out = als.transform(ids.transform(hidden).withColumns({"_u": F.col("_u").cast("int"), "_i": F.col("_i").cast("int")}))
-    return out.withColumn("pred_score", F.nanvl(F.col("prediction").cast("double"), F.lit(0.0)) + mean).drop("prediction", "_u", "_i")
+def _moments(y: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """(rows, 3, T, T): pair counts, first and second moments of each row over its seen entries."""
+    m = seen.astype(float)
+    v = np.where(seen, y, 0.0)
+    return np.stack([m[:, :, None] * m[:, None, :], v[:, :, None] * m[:, None, :], v[:, :, None] * v[:, None, :]], axis=1)
+
+
+def _hidden_scores(total: np.ndarray, y: np.ndarray, seen: np.ndarray, hide: np.ndarray, rank: int) -> np.ndarray:
+    """(rows, T): every row predicted from its entries that are not hidden, by the task factors of the
+    matrix without that row's hidden entries."""
+    left = seen & ~hide
+    n, s1, s2 = np.moveaxis(total[None] - _moments(y, seen) + _moments(y, left), 1, 0)
+    n_safe = np.maximum(n, 1.0)
+    mean = s1 / n_safe
+    cov = np.where(n > 1, s2 / n_safe - mean * np.swapaxes(mean, 1, 2), 0.0)
+    centre = np.diagonal(mean, axis1=1, axis2=2)
+    val, vec = np.linalg.eigh(cov)  # rising
+    tasks = y.shape[1]
+    rank = min(rank, tasks)
+    noise = np.maximum(val[:, :tasks - rank], 0).mean(axis=1) if rank < tasks else np.zeros(len(y))
+    noise = noise + 1e-9 * np.maximum(np.trace(cov, axis1=1, axis2=2), 0) + 1e-12
+    load = vec[:, :, tasks - rank:] * np.sqrt(np.maximum(val[:, tasks - rank:] - noise[:, None], 0))[:, None, :]
+    own = load * left[:, :, None]
+    gap = np.where(left, y - centre, 0.0)
+    factor = np.linalg.solve(np.swapaxes(own, 1, 2) @ own + noise[:, None, None] * np.eye(rank), np.swapaxes(own, 1, 2) @ gap[:, :, None])
+    return centre + (load @ factor)[:, :, 0]
+
+
+def reveal_order(h: np.ndarray, seed: int) -> np.ndarray:
+    """Order keys of entries with 60-bit hashes ``h`` under a seed: (h1 + seed h2) mod p of its halves."""
+    return ((h >> 30) + seed * (h & ((1 << 30) - 1))) % 1_000_000_007
+
+
+def complete_low_rank(scores: DataFrame, tasks, rank=2, k=3, seeds=5) -> DataFrame:
+    """(seed, row_key, scheme, benchmark, score, base_score, pred_score) of hidden entries, one unit hidden at a time.
+
+    Of the entries of a treated row whose base entry is also seen, k are revealed in a hashed order per seed and
+    the others hidden; rows with fewer than k + 2 are left out. Rows of the (row, task) matrix are draws of a
+    Gaussian factor model whose moments, T x T for T tasks, add up over rows. Those of all rows are summed
+    once; the moments without a unit's hidden entries are that sum less the unit's own plus those of its
+    seen entries, so every unit has the task factors of exactly the matrix that hides it alone, and its
+    factor is solved from what it reveals. Everything per unit happens in a map over rows.
+
+    Tasks outside ``tasks`` are ignored; a missing or null entry is not seen; a pair of tasks that fewer than two
+    rows share counts as uncorrelated. An empty matrix gives no rows.
+    """
+    tasks = list(tasks)
+    rows = scores.groupBy("row_key", "base_model", "scheme").pivot("benchmark", tasks).agg(F.first("score"))
+    names = [f"t{i}" for i in range(len(tasks))]
+    w = stage(rows.select("row_key", "base_model", "scheme", *[F.col(f"`{t}`").cast("double").alias(c) for t, c in zip(tasks, names)]))
+    mid = w.agg(*[F.avg(c).alias(c) for c in names]).first()
+    shift = np.array([mid[c] or 0.0 for c in names])
+    size = len(tasks)
+    block = max(1, 400_000 // (size * size))
+
+    def add(frames):
+        total = np.zeros((3, size, size))
+        for f in frames:
+            y = f[names].to_numpy(float) - shift
+            for at in range(0, len(y), block):
+                total += _moments(y[at:at + block], ~np.isnan(y[at:at + block])).sum(axis=0)
+        yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
+
+    sums = w.select(*names).mapInPandas(add, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    total = np.zeros(3 * size * size)
+    for i, v in sums.collect():  # 3 T^2 values
+        total[i] = v
+    total = total.reshape(3, size, size)
+
+    bases = w.where("row_key like 'BASE::%'").select("base_model", *[F.col(c).alias("b" + c) for c in names])
+    marks = F.array(*[md5_int(F.col("row_key"), t) for t in tasks])
+    units = w.where("row_key like 'QUANT::%'").join(bases, "base_model").withColumn("_h", marks)
+
+    def fold_in(frames):
+        for f in frames:
+            for at in range(0, len(f), block):
+                part = f.iloc[at:at + block]
+                y = part[names].to_numpy(float)
+                base = part[["b" + c for c in names]].to_numpy(float)
+                seen = ~np.isnan(y)
+                paired = seen & ~np.isnan(base)
+                h = np.stack(part["_h"].to_numpy()).astype(np.int64)
+                for seed in range(seeds):
+                    order = np.where(paired, reveal_order(h, seed), np.iinfo(np.int64).max)
+                    place = np.argsort(np.argsort(order, axis=1, kind="stable"), axis=1, kind="stable")
+                    hide = paired & (place >= k) & (paired.sum(axis=1) >= k + 2)[:, None]
+                    pred = _hidden_scores(total, y - shift, seen, hide, rank) + shift
+                    r, t = np.nonzero(hide)
+                    yield pd.DataFrame({"seed": seed, "row_key": part["row_key"].to_numpy()[r], "scheme": part["scheme"].to_numpy()[r],
+                                        "benchmark": np.array(tasks, object)[t], "score": y[r, t], "base_score": base[r, t], "pred_score": pred[r, t]})
+
+    return units.mapInPandas(fold_in, "seed int, row_key string, scheme string, benchmark string, score double, base_score double, pred_score double")
 
 
 def variance_explained(scores: DataFrame, tasks, k=4, complete_only=False) -> DataFrame:

@@ -13,6 +13,9 @@ from pairmeter.functions.exprs import md5_int
 
 # Penalty grid of the nested tuning.
 RIDGE_ALPHAS = [0.01, 0.03, 0.1, 0.3, 1, 3, 10, 30, 100, 300, 1000]
+# Penalty grid of the grouped selection, and the penalty where nothing can be selected.
+SELECT_ALPHAS = [0.3, 1.0, 3.0, 10.0, 30.0, 100.0]
+UNSELECTED = 3.0
 
 
 def gram_by_group(df: DataFrame, features: dict, group="family", target="delta") -> dict:
@@ -111,6 +114,66 @@ def grouped_cv_ridge(df: DataFrame, features: dict, alphas=RIDGE_ALPHAS, folds=5
     return t.select(F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("i") + 1).alias("alpha"), "mae")
 
 
+def select_penalties(df: DataFrame, features: dict, alphas=SELECT_ALPHAS, folds=5, key="base_model", seed=0) -> DataFrame:
+    """(family, n, alpha, cv_mae, at_grid_edge, mae): leave-one-family-out ridge, each fit with the penalty
+    that grouped cross-validation inside its own training rows selects (ties to the first of the grid).
+
+    Clusters are dealt to the inner folds by hash. Gram sums per (family, inner fold) are a cube, so the rows of
+    an inner fit are the total less the left-out family and the left-out fold plus what the two share, and one
+    pass scores every inner fit. A family with fewer than two inner folds beside it gets ``UNSELECTED``, with a
+    null cv_mae. Rows with a null family belong to no side.
+    """
+    names, alphas = list(features), [float(a) for a in alphas]
+    d = df.where("family is not null").withColumn("_fold", F.pmod(md5_int(seed, F.col(key)), F.lit(folds)).cast("int"))
+    d = d.withColumn("_cell", F.concat_ws("|", F.col("_fold").cast("string"), "family"))
+    cube = {(int(c.split("|", 1)[0]), c.split("|", 1)[1]): m for c, m in gram_by_group(d, features, "_cell").items()}
+    fams = sorted({f for _, f in cube})
+    if not fams:
+        return df.sparkSession.createDataFrame([], "family string, n long, alpha double, cv_mae double, at_grid_edge boolean, mae double")
+    add = lambda want: sum(m for c, m in cube.items() if want(*c))
+    total = add(lambda k, f: True)
+    by_family = {f: add(lambda _, g, f=f: g == f) for f in fams}
+    by_fold = {k: add(lambda j, _, k=k: j == k) for k in sorted({k for k, _ in cube})}
+    # (families, penalties, coefficients) of every inner fold; none where no training row is left
+    inner = {}
+    for k, m in by_fold.items():
+        inner[k] = np.full((len(fams), len(alphas), len(names) + 1), np.nan)
+        for i, f in enumerate(fams):
+            left = total - by_family[f] - m + cube.get((k, f), 0)
+            if left[0, 0] > 0.5:
+                inner[k][i] = [ridge(left, a) for a in alphas]
+
+    def score(batches):
+        err, n = np.zeros((len(fams), len(alphas))), np.zeros(len(fams), np.int64)
+        at = {f: i for i, f in enumerate(fams)}
+        for pdf in batches:
+            for (k, g), part in pdf.groupby(["_k", "_g"]):
+                z = np.column_stack([np.ones(len(part)), part[names].to_numpy(float)])
+                ok = ~np.isnan(inner[k][:, 0, 0])
+                ok[at[g]] = False
+                for i in np.flatnonzero(ok):
+                    err[i] += np.abs(part["_y"].to_numpy(float)[:, None] - z @ inner[k][i].T).sum(axis=0)
+                    n[i] += len(part)
+        i, j = np.nonzero(np.broadcast_to(n[:, None] > 0, err.shape))
+        yield pd.DataFrame({"i": i, "j": j, "err": err[i, j], "n": n[i]})
+
+    rows = d.select(F.col("family").alias("_g"), F.col("_fold").alias("_k"), F.col("delta").alias("_y"), *[c.cast("double").alias(n) for n, c in features.items()])
+    cv = rows.mapInPandas(score, "i int, j int, err double, n long").groupBy("i", "j").agg((F.sum("err") / F.sum("n")).alias("m"))
+    best = {}
+    for i, j, m in sorted(cv.collect()):  # families x penalties
+        if i not in best or m < best[i][0]:
+            best[i] = (m, j)
+    chosen, coefs = [], {}
+    for i, f in enumerate(fams):
+        m, j = best.get(i, (None, None))
+        alpha = UNSELECTED if j is None else alphas[j]
+        chosen.append((f, alpha, m, j in (0, len(alphas) - 1)))
+        if (total - by_family[f])[0, 0] > 0.5:
+            coefs[f] = {"chosen": ridge(total - by_family[f], alpha)}
+    t = df.sparkSession.createDataFrame(chosen, "family string, alpha double, cv_mae double, at_grid_edge boolean")
+    return fold_errors(d, features, coefs).join(t, "family").select("family", "n", "alpha", "cv_mae", "at_grid_edge", (F.col("abs_err") / F.col("n")).alias("mae"))
+
+
 def ridge_pipeline(df: DataFrame, features: dict, alpha=3.0, target="delta"):
     """The same ridge by Spark ML: (fitted model, scaled frame). Spark divides the penalty by the
     label's population deviation, hence regParam = alpha * stddev_pop(y) / n."""
