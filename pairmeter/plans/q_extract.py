@@ -61,11 +61,17 @@ def first_wins(spark, sf):
 _LAB = "CASE t " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in TASK_LABEL.items()) + " END"
 
 
-@query("ex9_orientation_solve", f"""WITH {CARDS_SQL} SELECT doc_id, {_LAB} AS label, CASE WHEN layout = 5 OR a = 0 THEN NULL ELSE b END AS before,
-  CASE WHEN layout = 5 OR a = 0 THEN NULL ELSE a END AS after, CASE WHEN layout = 5 OR a = 0 THEN 'reject' ELSE 'arith' END AS orient FROM hit WHERE layout IN (0, 1, 2, 5)""")
+# rows of three numbers: layout 6 prints shares of one, layout 7 repeats its first task at half the values
+_TRIPLES = """three AS (SELECT doc_id, t, task, layout, CASE WHEN layout = 6 THEN b / 100 ELSE b END AS b, CASE WHEN layout = 6 THEN a / 100 ELSE a END AS a FROM hit WHERE layout IN (0, 1, 2, 5, 6, 7)
+  UNION ALL SELECT doc_id, t, task, layout, b / 2, floor((round(a * 100) + 1) / 2) / 100 FROM hit WHERE layout = 7 AND pos = 1)"""
+_THREE = (0, 1, 2, 5, 6, 7)
+
+
+@query("ex9_orientation_solve", f"""WITH {CARDS_SQL}, {_TRIPLES} SELECT doc_id, {_LAB} AS label, CASE WHEN layout = 5 OR a = 0 THEN NULL ELSE b END AS before,
+  CASE WHEN layout = 5 OR a = 0 THEN NULL ELSE a END AS after, CASE WHEN layout = 5 OR a = 0 THEN 'reject' ELSE 'arith' END AS orient FROM three""")
 def orientation(spark, sf):
     k = F.regexp_extract("doc_id", r"-S(\d+)-", 1).cast("int") % 8
-    p = X.parsed_rows(cards(spark, sf)).where(k.isin(0, 1, 2, 5)).where("emits is not null")
+    p = X.parsed_rows(cards(spark, sf)).where(k.isin(*_THREE)).where("emits is not null")
     return p.select("doc_id", "label", F.explode("emits").alias("e")).select(
         "doc_id", "label", "e.before", "e.after", "e.orient")
 
@@ -171,12 +177,16 @@ def trailing_run(spark, sf):
                      F.col("r.label").alias("label"), F.size("r.nums").alias("run")).agg(F.count("*").alias("n"))
 
 
-@query("ex8_recovery_tolerance", f"""WITH {CARDS_SQL} SELECT doc_id, task, {R('100 * (0.005 / b + a * 0.05 / (b * b)) + 0.005 + 1e-9')} AS tol FROM hit WHERE layout = 0""")
+@query("ex8_recovery_tolerance", f"""WITH {CARDS_SQL}, {_TRIPLES} SELECT doc_id, task,
+  {R('100 * (half_a / b + a * half_b / (b * b)) + 0.005 + 1e-9')} AS tol FROM (SELECT *, CASE WHEN layout = 6 THEN 0.00005 ELSE 0.005 END AS half_a, CASE WHEN layout = 6 THEN 0.00005 ELSE 0.05 END AS half_b FROM three)""")
 def tolerance(spark, sf):
     k = F.regexp_extract("doc_id", r"-S(\d+)-", 1).cast("int") % 8
-    p = X.parsed_rows(cards(spark, sf)).where(k == 0).where("task is not null")
-    n, r = (lambda i: F.get("nums", F.lit(i))), (lambda i: F.get("raw", F.lit(i)))
-    return p.select("doc_id", "task", r6(T.recovery_tolerance(n(0), n(1), r(0), r(1), r(2))).alias("tol"))
+    p = X.parsed_rows(cards(spark, sf)).where(k.isin(*_THREE)).where("task is not null")
+    # positions of before, after and recovery in the layout's row
+    at = lambda usual, swapped, rec_first: F.when(k == 1, swapped).when(k == 2, rec_first).otherwise(usual)
+    b, a, r = at(0, 1, 1), at(1, 0, 2), at(2, 2, 0)
+    n, raw = (lambda i: F.get("nums", i)), (lambda i: F.get("raw", i))
+    return p.select("doc_id", "task", r6(T.recovery_tolerance(n(b), n(a), raw(b), raw(a), raw(r))).alias("tol"))
 
 
 @query("ex12_task_label", """SELECT l_linenumber AS t, count(*) AS n, CASE l_linenumber WHEN 1 THEN 'mmlu_pro' WHEN 2 THEN 'mmlu_cot' WHEN 3 THEN 'math_lvl5' WHEN 4 THEN NULL WHEN 5 THEN NULL
