@@ -150,6 +150,14 @@ def band_verdicts(records: DataFrame, bands) -> DataFrame:
     return grid.join(cells, ["scheme", "band"], "left").withColumn("state", F.coalesce("state", F.lit("not_measured")))
 
 
+def widened_bands(model: DataFrame) -> DataFrame:
+    """(scheme, widened_bands): the size bands, sorted, whose own interval is wider than the scheme's shown one;
+    an empty array where no band is."""
+    wide = widened_cells(model).groupBy("scheme").agg(F.sort_array(F.collect_set("band")).alias("_w"))  # a scheme's bands are few
+    t = scheme_bands(model).select("scheme").join(wide, "scheme", "left")
+    return t.select("scheme", F.coalesce("_w", F.array().cast("array<string>")).alias("widened_bands"))
+
+
 def ranking_inputs(df: DataFrame, families, is_cal, cell_draws=CELL_DRAWS, scheme_draws=SCHEME_DRAWS):
     """Everything a ranking question needs, written once: (hist, sup, records, model)."""
     hist, sup = C.reduce_rows(df, is_cal=is_cal)
@@ -159,7 +167,8 @@ def ranking_inputs(df: DataFrame, families, is_cal, cell_draws=CELL_DRAWS, schem
 
 
 def widened_cells(model: DataFrame) -> DataFrame:
-    s = model.where("level = 'scheme'").select("scheme", F.col("half_width").alias("s_hw"))
+    """Kept strata wider than the interval their scheme shows, its own or the global one."""
+    s = scheme_bands(model).select("scheme", F.col("half_width").alias("s_hw"))
     t = model.where("level = 'stratum' and half_width is not null").select("scheme", "band", "half_width")
     return t.join(s, "scheme").where(F.col("half_width") > F.col("s_hw")).select("scheme", "band")
 

@@ -148,6 +148,17 @@ def ranking_query_bootstrap(spark, sf):
         r6("half_width").alias("half_width"), r6("worst").alias("worst"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("v6_widened_bands", f"""{_SHIPPED}, gl AS (SELECT mean, half_width FROM x_model WHERE level = 'global'),
+ sc AS (SELECT f.scheme, CASE WHEN m.mean IS NULL THEN gl.half_width ELSE m.half_width END AS shown
+   FROM (SELECT scheme FROM a_fit WHERE level = 'scheme') f CROSS JOIN gl LEFT JOIN (SELECT * FROM x_model WHERE level = 'scheme') m USING (scheme))
+SELECT sc.scheme, coalesce(string_agg(t.band, ',' ORDER BY t.band), '') AS widened_bands
+FROM sc LEFT JOIN (SELECT * FROM x_model WHERE level = 'stratum' AND kept) t ON t.scheme = sc.scheme AND t.half_width > sc.shown GROUP BY 1""")
+def widened(spark, sf):
+    hist, sup = C.reduce_rows(obs(spark, sf), is_cal=is_calibration())
+    t = V.widened_bands(stage(C.fit_shipped(hist, sup)))
+    return t.select("scheme", F.array_join("widened_bands", ",").alias("widened_bands"))
+
+
 @query("v7_facts_footer", f"""{_all_sql()},
  st AS (SELECT t.scheme, t.band FROM x_model t JOIN sm USING (scheme) WHERE t.level = 'stratum' AND t.kept AND t.half_width > sm.half_width),
  big AS (SELECT obs.delta, sm.mean - sm.half_width AS lo FROM obs JOIN sm USING (scheme) WHERE delta < -3)
