@@ -202,6 +202,15 @@ def test_picks_resample_like_independent_ones(k):
         assert abs(np.quantile(a, q) - np.quantile(b, q)) < 0.12 * b.std()
 
 
+@pytest.mark.parametrize("k", [1, 9, 200, 1000, 1100, 20_000])
+def test_stepped_draws_add_the_same_picks(k):
+    rng = np.random.default_rng(k)
+    c = {"ok": rng.integers(0, 150, k), "n": rng.integers(1, 200, k), "gain": rng.random(k), "wide": rng.integers(0, 1 << 40, k)}
+    got, picks = U.drawn_sums(3, 40, c), U.draw_picks(range(3, 40), 0, k, k)
+    for x, v in c.items():
+        np.testing.assert_allclose(got[x], v[picks].sum(axis=1), rtol=1e-12 if x == "gain" else 0)
+
+
 def test_draws_by_group_and_blocks(spark, monkeypatch):
     """A number of draws per group, over several blocks of draws and pieces of picks, is the same as in one."""
     g, m = ["x"] * 10 + ["y"] * 9, [f"c{i}" for i in range(19)]
