@@ -211,6 +211,15 @@ def test_stepped_draws_add_the_same_picks(k):
         np.testing.assert_allclose(got[x], v[picks].sum(axis=1), rtol=1e-12 if x == "gain" else 0)
 
 
+def test_free_draws_hash_every_pick(spark):
+    k, n = 30, 250
+    c = frame(spark, g=["x"] * k, base_model=[f"c{i}" for i in range(k)], ok=list(range(k)), n=[40] * k)
+    order = sorted(range(k), key=lambda i: (hashlib.md5(f"c{i}".encode()).hexdigest()[:5], f"c{i}"))
+    pick = lambda d, j: order[int(hashlib.md5(f"0:{d}:{j}".encode()).hexdigest()[:15], 16) % k]
+    want = {(d, sum(pick(d, j) for j in range(k))) for d in range(n)}
+    assert {(r.draw, r.ok) for r in U.draws_table(c, ["g"], ["ok", "n"], n, free=True).collect()} == want
+
+
 def test_draws_by_group_and_blocks(spark, monkeypatch):
     """A number of draws per group, over several blocks of draws and pieces of picks, is the same as in one."""
     g, m = ["x"] * 10 + ["y"] * 9, [f"c{i}" for i in range(19)]
