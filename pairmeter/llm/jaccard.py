@@ -265,16 +265,22 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def tile_keys(units: DataFrame) -> DataFrame:
+    """(tile, key): the distinct keys of each tile of ``units(tile, keys)``."""
+    own = units.groupBy("tile").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    return own.select("tile", F.explode("keys").alias("key"))
+
+
 def _large_links(large: DataFrame, keysets: DataFrame, percent: int) -> DataFrame:
     """Links inside groups of more than a tile: tiles in order of size; two tiles meet if a key occurs in
-    both and their sizes allow a link. The keys of near copies occur in the same tiles, so the sets of tiles
-    that have a key in common are few, and pairs are made of those."""
+    both and their sizes allow a link. A tile names a key once, however many of its units have it. The keys
+    of near copies occur in the same tiles, so the sets of tiles that have a key in common are few, and pairs
+    are made of those."""
     placed = ranked(large.select("unit", "component", "n"), [F.col("component"), F.col("n"), F.col("unit")])
     start = placed.groupBy("component").agg(F.min("rank").alias("start"))
     tile = F.floor((F.col("rank") - F.col("start")) / TILE)
     placed = stage(placed.join(start, "component").select("unit", "n", F.concat_ws(":", "component", tile).alias("tile")))
-    at = keysets.join(placed, "unit").select("tile", F.explode("keys").alias("key"))
-    met = at.groupBy("key").agg(F.array_sort(F.collect_set("tile")).alias("tiles")).select("tiles").distinct()
+    met = tile_keys(keysets.join(placed, "unit")).groupBy("key").agg(F.array_sort(F.collect_set("tile")).alias("tiles")).select("tiles").distinct()
     pairs = met.select("tiles", F.explode("tiles").alias("left")).select("left", F.explode("tiles").alias("right")).where("left <= right").distinct()
     spans = placed.groupBy("tile").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     a, b = spans.alias("a"), spans.alias("b")

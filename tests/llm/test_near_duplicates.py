@@ -127,6 +127,12 @@ def test_jaccard_join_against_all_pairs(spark, monkeypatch):
     _compare(spark, [], 3, 90)
 
 
+def test_a_tile_names_each_of_its_keys_once(spark):
+    rows = [("0:0", [1, 2, 3]), ("0:0", [2, 3, 4]), ("0:0", []), ("0:1", [3, 3]), ("7:0", [])]
+    got = [tuple(r) for r in jaccard.tile_keys(spark.createDataFrame(rows, "tile string, keys array<long>")).collect()]
+    assert sorted(got) == [("0:0", 1), ("0:0", 2), ("0:0", 3), ("0:0", 4), ("0:1", 3)]
+
+
 def test_pairs_at_the_threshold_share_a_key():
     rng = np.random.default_rng(8)
     for trial in range(300):
