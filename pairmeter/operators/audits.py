@@ -3,6 +3,9 @@
 Row checks are one pass of conditional counts. An empty input is *unchecked*, never a pass.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairmeter.functions.labels import strip
@@ -178,8 +181,8 @@ def phrase_hits(docs: DataFrame, phrases: dict, exempt: str, near=70, wide=200)
 
 # Prose-defect patterns: label, pattern, headings removed first, exemptions honoured.
 PROSE = [
-    ("doubled word", r"\b([a-z]{3,})\s+\1\b", True, False),
-    ("doubled phrase", r"\b((?:[a-z]{2,}\s+){1,4}[a-z]{2,})\s+\1\b", True, False),
+    ("doubled word", r"\b([a-z]{3,}+)\s++\1\b", True, False),
+    ("doubled phrase", r"\b((?:[a-z]{2,}+\s++){1,4}[a-z]{2,}+)\s++\1\b", True, False),
     ("repeated function word", r"\b(?:the the|of of|is is|and and|to to|in in)\b", True, False),
     ("clause opening with a conjunction after a semicolon", r";\s*(?:and|or|but)\s+[^.;:]{0,60}\.", True, True),
     ("sentence truncated onto an article or preposition", r"\b(?:the|a|an|of|to|and|or|in|with|by|for)\s*\.\s+[A-Z]", True, True),
@@ -189,9 +192,35 @@ PROSE = [
     ("empty delimiter", r"\(\s*\)|\[\s*\]", True, False),
     ("doubled dash", r"--- ---|-- --", True, False),
 ]
+# What a text must contain, of these, to match (white space is single spaces by then): most texts skip the pattern.
+PROSE_NEEDS = {
+    "repeated function word": ["the the", "of of", "is is", "and and", "to to", "in in"],
+    "clause opening with a conjunction after a semicolon": [";"],
+    "punctuation collision": [",,", ", ,", ",.", ", .", ".,", ". ,", " ,and"],
+    "emphasis emptied": ["{}"], "prose running into a heading": ["section{", "paragraph{"],
+    "empty delimiter": ["()", "( )", "[]", "[ ]"], "doubled dash": ["-- --"],
+}
 PROSE_EXEMPT = r"e\.g\.|i\.e\.|et al\.|cf\.|vs\.|\d\.\d|arXiv|\.py\b|\.csv\b|\.json\b|\.tex\b|\.md\b|\.sty\b"
 
 
+#: Marks the places where a text is cut; one that holds it is not cut.
+_CUT = "\x01"
+
+
+def _with_margin(text: Column, pattern: str, margin: int) -> Column:
+    """Matches of a pattern, each with up to ``margin`` characters of its line left of it that are no part of
+    the match before. Equal to extracting ``.{0,margin}?(?:pattern)``, which tries the pattern that many times
+    at every place of a text; here a text is cut at its matches. One that holds the cutting mark is extracted."""
+    none = F.array().cast("array<string>")
+    tail = lambda left: F.regexp_extract(F.right(left, F.lit(margin)), r".*\z", 0)
+    hits = lambda cut: F.when(F.size(cut) > 1, F.transform(F.sequence(F.lit(1), F.size(cut) - 1, F.lit(2)),
+                                                           lambda i: F.concat(tail(F.get(cut, i - 1)), F.get(cut, i)))).otherwise(none)
+    cut = F.split(F.regexp_replace(text, f"(?:{pattern})", f"{_CUT}$0{_CUT}"), _CUT)
+    # one text's parts in an array of one, so that they are made once
+    return F.when(text.contains(_CUT), F.regexp_extract_all(text, F.lit(f".{{0,{margin}}}?(?:{pattern})"), 0)) \
+        .otherwise(F.transform(F.array(cut), hits)[0])
+
+
 def prose_defects(docs: DataFrame) -> DataFrame:
     """(doc_id, why, hit): matches of every prose pattern. Exemptions are tested on the match with
     a 14-character left margin."""
@@ -202,10 +231,13 @@ def prose_defects(docs: DataFrame) -> DataFrame:
     found = []
     for why, pattern, no_headings, honour in PROSE:
         src = F.col("_plain" if no_headings else "_raw")
-        margin = "(?:.{0,14}?)" if honour else ""
-        hits = F.regexp_extract_all(src, F.lit(f"{margin}(?:{pattern})"), 0)
         if honour:
-            hits = F.filter(hits, lambda h: ~h.rlike(PROSE_EXEMPT))
+            hits = F.filter(_with_margin(src, pattern, 14), lambda h: ~h.rlike(PROSE_EXEMPT))
+        else:
+            hits = F.regexp_extract_all(src, F.lit(f"(?:{pattern})"), 0)
+        if why in PROSE_NEEDS:
+            may = reduce(or_, [F.contains(src, F.lit(x)) for x in PROSE_NEEDS[why]])
+            hits = F.when(may, hits).otherwise(F.array().cast("array<string>"))
         found.append(_labelled(hits, why, "why", "hit"))
     return t.select("doc_id", F.explode(F.concat(*found)).alias("x")).select("doc_id", "x.*")
 

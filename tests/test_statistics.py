@@ -324,3 +324,13 @@ def test_planted_prose_defects(spark):
              "\\paragraph{What it is for.} The question"]
     d = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id int, text string")
     assert {r.doc_id for r in Q.prose_defects(d).collect()} == set(range(len(texts)))
+
+
+def test_margins_are_those_of_one_pattern(spark):
+    texts = ["it ends with the. The end of. And a long stretch of words; or so. Then to. Z", "the. A", "a. Bof. C the. D", "", None, "no match",
+             "x\u2028ab the. Then of\u0085the. T the. T", "\x01 cut by the. Mark and of. Two", "é😀é😀é😀é😀é😀é😀é😀é😀 of. The", "the. The. The. Aof. B"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in (r"\b(?:the|a|an|of|to|and|or|in|with|by|for)\s*\.\s+[A-Z]", r";\s*(?:and|or|but)\s+[^.;:]{0,60}\."):
+        plain = F.regexp_extract_all("t", F.lit(f"(?:.{{0,14}}?)(?:{pattern})"), 0)
+        got = d.where("t is not null").select(Q._with_margin(F.col("t"), pattern, 14).alias("got"), plain.alias("want")).collect()
+        assert [r.got for r in got] == [r.want for r in got] and any(r.want for r in got)
