@@ -334,3 +334,19 @@ def test_margins_are_those_of_one_pattern(spark):
         plain = F.regexp_extract_all("t", F.lit(f"(?:.{{0,14}}?)(?:{pattern})"), 0)
         got = d.where("t is not null").select(Q._with_margin(F.col("t"), pattern, 14).alias("got"), plain.alias("want")).collect()
         assert [r.got for r in got] == [r.want for r in got] and any(r.want for r in got)
+
+
+def test_boosting_works_on_distinct_feature_vectors(spark, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    rows = [(f, float(i % 4), float(i % 3), (i * 7 % 11) / 4 + i % 4) for f in ("a", "b") for i in range(120)]
+    d = spark.createDataFrame(rows, "family string, x double, y double, delta double").coalesce(1)
+    seen, fit = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, t, *more: seen.append(t.count()) or fit(self, t, *more))
+    got = {r.family: (r.n, r.mae) for r in P.lofo_boosting(d, {"x": F.col("x"), "y": F.col("y")}, d, depth=2, iters=2).collect()}
+    assert seen == [12, 12]
+    v = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(d)
+    for f in ("a", "b"):
+        m = fit(GBTRegressor(labelCol="delta", maxDepth=2, maxIter=2, stepSize=0.05, seed=0), v.where(F.col("family") != f))
+        want = m.transform(v.where(F.col("family") == f)).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("delta") - F.col("prediction"))).alias("e")).first()
+        assert got[f][0] == want.n and abs(got[f][1] - want.e) < 1e-9
