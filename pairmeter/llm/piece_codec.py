@@ -7,7 +7,8 @@ is written as its UTF-8 bytes.
 
 No merge ever crosses two characters that stand next to each other in no piece, so a text is first cut at
 all such places. The cuts are exact for any vocabulary of this kind (they follow from the pieces alone),
-and make most of a text a sequence of chunks seen before, whose ids are held in a table of bounded size.
+and make most of a text a sequence of chunks seen before, whose ids are held in a table of bounded size. The
+short chunks a batch brings in anew are merged together, one merge of every chunk a round.
 
 Every Arrow batch is checked against the library, encoding and decoding alike; a difference (a model of
 another type, another normaliser, a changed library) raises an error and is never written.
@@ -32,6 +33,8 @@ from pairmeter.llm.common import batches_by_bytes, read
 MARK = "▁"
 #: Chunks whose ids a Python worker holds, in each of two generations, and the longest chunk it holds.
 HELD, LONGEST = 250_000, 64
+#: The longest chunk that is merged together with others.
+SHORT = 48
 
 codecs.register_error("one_each", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -61,6 +64,16 @@ class Codec:
             self.together[k[:-1] * self.width + k[1:]] = True
         self.held, self.older = {}, {}
 
+        symbols = self.ids | {c: len(lib) + k for k, c in enumerate(c for c in inside if c not in self.ids)}
+        self.known, self.base = len(lib), len(lib) + len(inside)
+        self.symbol = np.full(0x110000, self.base, np.int64)  # the base itself: a character that never merges
+        self.symbol[[ord(c) for c in symbols if len(c) == 1]] = [i for c, i in symbols.items() if len(c) == 1]
+        halves = sorted((symbols[p[:k]] * (self.base + 1) + symbols[p[k:]], i) for p, i in self.ids.items()
+                        for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols)
+        self.pairs, self.joins = np.array(halves, np.int64).reshape(-1, 2).T.copy()
+        self.cost = np.full(self.base + 1, np.inf)
+        self.cost[list(self.ids.values())] = [self.scores[p] for p in self.ids]
+
     def merged(self, chunk: str) -> list:
         """The pieces of a chunk by the agenda of adjacent pairs."""
         symbols, scores, n = list(chunk), self.scores, len(chunk)
@@ -94,6 +107,53 @@ class Codec:
             out.extend([i] if i is not None else [self.bytes[b] for b in s.encode("utf-8")])
         return np.array(out, "<i4").tobytes()
 
+    def joined_pairs(self, left, right):
+        """The symbol each pair joins to, and its score; infinite for a pair that is no piece."""
+        key = left * (self.base + 1) + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        to = self.joins[at]
+        return to, np.where(self.pairs[at] == key, self.cost[to], np.inf)
+
+    def ids_together(self, chunks: list) -> list:
+        """As ``chunk_ids`` of every chunk: each round makes the best merge, the leftmost of equals, of every
+        chunk that has one left."""
+        if not chunks or not len(self.pairs):
+            return [self.chunk_ids(c) for c in chunks]
+        x = self.symbol[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        size = np.array([len(c) for c in chunks], np.int64)
+        number, out = np.arange(len(chunks)), [None] * len(chunks)
+        to, score = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+        to[:-1], score[:-1] = self.joined_pairs(x[:-1], x[1:])
+        score[np.cumsum(size) - 1] = np.inf
+        while len(x):
+            first = np.cumsum(size) - size
+            best = np.minimum.reduceat(score, first)
+            done = np.isinf(best)
+            if done.any():
+                over = np.repeat(done, size)
+                ends = np.cumsum(size[done]).tolist()
+                data, spelt = x[over].astype("<i4").tobytes(), np.logical_or.reduceat(x[over] >= self.known, [0, *ends[:-1]])
+                for k, a, b, plain in zip(number[done].tolist(), [0, *ends], ends, (~spelt).tolist()):
+                    out[k] = data[4 * a:4 * b] if plain else self.chunk_ids(chunks[k])
+                x, to, score = x[~over], to[~over], score[~over]
+                size, number, best = size[~done], number[~done], best[~done]
+                continue
+            at = np.flatnonzero(score == np.repeat(best, size))
+            at = at[np.searchsorted(at, first)]
+            x[at] = to[at]
+            kept = np.ones(len(x), bool)
+            kept[at + 1] = False
+            x, to, score = x[kept], to[kept], score[kept]
+            at -= np.arange(len(at))
+            size -= 1
+            last = np.cumsum(size) - 1
+            behind = at[at < last]
+            score[at] = np.inf
+            to[behind], score[behind] = self.joined_pairs(x[behind], x[behind + 1])
+            before = at[at > last - size + 1] - 1
+            to[before], score[before] = self.joined_pairs(x[before], x[before + 1])
+        return out
+
     def encode(self, texts) -> list:
         """The ids of every text, with the begin and end ids, as arrays."""
         marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
@@ -109,11 +169,15 @@ class Codec:
         held = self.held
         parts = list(map(held.get, chunks))
         if None in parts:
-            for i, c in enumerate(chunks):
-                if parts[i] is None:
-                    parts[i] = held.get(c) or self.older.get(c) or self.chunk_ids(c)
-                    if len(c) <= LONGEST:
-                        held[c] = parts[i]
+            gaps = [i for i, p in enumerate(parts) if p is None]
+            unseen = dict.fromkeys(chunks[i] for i in gaps)
+            found = {c: self.older[c] for c in unseen if c in self.older}
+            short = [c for c in unseen if c not in found and len(c) <= SHORT]
+            found.update(zip(short, self.ids_together(short)))
+            found.update((c, self.chunk_ids(c)) for c in unseen if c not in found)
+            for i in gaps:
+                parts[i] = found[chunks[i]]
+            held.update((c, p) for c, p in found.items() if len(c) <= LONGEST)
         if len(self.held) > HELD:
             self.older, self.held = self.held, {}
         begin, end = np.array([self.begin], "<i4").tobytes(), np.array([self.end], "<i4").tobytes()
@@ -122,7 +186,7 @@ class Codec:
 
     def decode(self, ids: list) -> str:
         surface = self.surface
-        data = b"".join([surface[i] for i in ids])
+        data = b"".join(map(surface.__getitem__, ids))
         if next((i for i in ids if surface[i]), None) in self.marked:
             data = data[1:]
         return data.decode("utf-8", "one_each")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -128,6 +129,15 @@ def test_texts_without_cuts_and_a_full_table(codec, monkeypatch):
     assert [x.tolist() for x in codec.encode(texts)] == codec.library.encode(texts, add_bos=True, add_eos=True)
 
 
+def test_chunks_merged_together_equal_the_agenda(codec):
+    pick = random.Random(3)
+    names = [p for p in codec.ids if len(p) < 9]
+    chunks = ["".join(pick.choice(names) for _ in range(pick.randint(1, 4))) for _ in range(300)]
+    chunks += ["".join(pick.choice("aeinrst▁é") for _ in range(pick.randint(1, 40))) for _ in range(300)] + ["a", "aaaaaaa", "\U0001f9ea", "\u0e01"]
+    assert codec.ids_together(chunks) == [codec.chunk_ids(c) for c in chunks]
+    assert codec.ids_together([]) == []
+
+
 def test_a_difference_from_the_library_is_an_error(codec, monkeypatch):
     ids = [x.tolist() for x in codec.encode(["the hen"])]
     assert codec.decode_checked(ids) == ["the hen"]
