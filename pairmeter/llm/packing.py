@@ -27,8 +27,6 @@ WINDOW, END = 2048, 1
 SHARD = 50_000
 #: Bytes that a Python worker holds for words already seen, in each of two generations.
 HELD_BYTES = 40 << 20
-#: Words of letters that are encoded at a time, and how the vocabulary writes the end of a word.
-TOGETHER, _SUFFIX = 2000, "</w>"
 #: A mark between a letter and white space: the vocabulary's pre-tokenizer cuts there in any case.
 _MARK = re.compile(rb"(?<=[a-z])([.,;:!?])(?=\s|\Z)")
 
@@ -49,26 +47,6 @@ class WordIds:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.held, self.older, self.size = {}, {}, 0
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(_SUFFIX) for i in range(self.tokenizer.get_vocab_size())])
-
-    def word_ids(self, words: list) -> list:
-        """The ids of every word as little-endian 32-bit integers. Words of letters alone are mostly one word of
-        the vocabulary each, which ends in a token of its own kind: they are encoded many at a time and parted
-        there. Where the ends are not as many as the words, and for all other words, each is encoded alone."""
-        texts, out = [w.decode("utf-8") for w in words], [None] * len(words)
-        plain = [i for i, t in enumerate(texts) if t.isalpha()]
-        for at in range(0, len(plain), TOGETHER):
-            group = plain[at:at + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in group])], add_special_tokens=False)[0].ids, "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist() if len(ids) else []
-            if len(stops) == len(group) and stops[-1] == 4 * len(ids):
-                data = ids.tobytes()
-                for i, a, b in zip(group, [0, *stops], stops):
-                    out[i] = data[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
-            out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return out
 
     def encode(self, texts):
         """(ids of all texts in one array, number of ids per text)."""
@@ -86,7 +64,9 @@ class WordIds:
         unseen = {w for i in gaps for w, x in zip(split[i], parts[i]) if x is None}
         known = {w: self.older[w] for w in unseen if w in self.older}
         new = list(unseen.difference(known))
-        known.update(zip(new, self.word_ids(new)))
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)):
+            ids = e.ids
+            known[w] = struct.pack(f"<{len(ids)}I", *ids)
         self.held.update(known)
         self.size += sum(map(len, known)) + sum(map(len, known.values())) + 180 * len(known)
         for i in gaps:
