@@ -20,7 +20,7 @@ from pairmeter.operators.order_stats import INF, conformal_rank, finite, kth_ref
 from pairmeter.plans.staging import stage
 
 #: Folds whose order statistics one task finds on the histogram of a cell.
-CHUNK = 5_000
+CHUNK = 50_000
 #: Distances this close count as equal.
 NEAR = 1e-11
 
@@ -47,7 +47,9 @@ def kth_about(values, counts, centre, rank, own_values, own_counts, own_sizes):
     """(n, q) per fold: the rows of the histogram without the fold's own ones, and the rank(n)-th smallest
     distance of their values from ``centre``; infinite where there is none.
 
-    ``own_values`` and ``own_counts`` hold the folds' own histograms one after the other, each sorted.
+    The centres of a cell lie close together: the distances about their mean, sorted once, bound each fold's
+    own one by how far its centre lies from the mean and by how many rows it leaves out, and the bisection
+    starts between those bounds. ``own_values`` and ``own_counts`` hold the folds' own histograms one after the other, each sorted.
     """
     cum, own = _cumulative(counts), _cumulative(own_counts)
     stop = np.cumsum(own_sizes)
@@ -60,9 +62,11 @@ def kth_about(values, counts, centre, rank, own_values, own_counts, own_sizes):
         all_ = cum[np.searchsorted(values, hi, "right")] - cum[np.searchsorted(values, lo, "left")]
         return all_ - (own[_within(own_values, start, stop, hi, True)] - own[_within(own_values, start, stop, lo, False)])
 
-    def first(at, size):
-        """The first of ``size`` steps away from the centre at which k rows are inside; ``at``: step to index."""
-        a, b = np.zeros(len(centre), np.int64), size.copy()
+    def first(at, size, start, stop):
+        """The first of ``size`` steps away from the centre at which k rows are inside; ``at``: step to index.
+        It is one from ``start`` to ``stop``, or one that lies further out than the first on the other side."""
+        a = np.clip(start, 0, size)
+        b = np.clip(stop, a, size)
         while (a < b).any():
             mid = (a + b) // 2
             v = values[np.clip(at(mid), 0, m - 1)]
@@ -70,8 +74,16 @@ def kth_about(values, counts, centre, rank, own_values, own_counts, own_sizes):
             a, b = np.where(~enough & (a < b), mid + 1, a), np.where(enough & (a < b), mid, b)
         return np.where(a < size, np.abs(values[np.clip(at(a), 0, m - 1)] - centre), np.inf) if m else np.full(len(centre), np.inf)
 
+    mean = centre.mean() if len(centre) else 0.0
+    order = np.argsort(np.abs(values - mean))
+    upto, far = np.cumsum(counts[order]), np.append(np.abs(values - mean)[order], np.inf)
+    move = np.abs(centre - mean) + 4 * NEAR
+    low, high = far[np.searchsorted(upto, k)] - move, far[np.searchsorted(upto, k + cum[-1] - n)] + move
+    low = np.where(np.isfinite(low), low, 0.0)
     middle = np.searchsorted(values, centre)
-    q = np.minimum(first(lambda j: middle + j, m - middle), first(lambda j: middle - 1 - j, middle))
+    at = lambda x, side: np.searchsorted(values, x, side)
+    q = np.minimum(first(lambda j: middle + j, m - middle, at(centre + low, "left") - middle, at(centre + high, "right") - middle),
+                   first(lambda j: middle - 1 - j, middle, middle - at(centre - low, "right"), middle - at(centre - high, "left")))
     return n, np.where((k >= 1) & (k <= n), q, np.inf)
 
 
