@@ -3,8 +3,10 @@
 The text blocks of a host's pages are laid out as one stream of tokens. A suffix array of the stream,
 sorted on the first ``LONG`` tokens of every suffix, brings equal long substrings together; those that
 occur on two distinct pages are repeats. Pages are parsed where they lie. A host with more than ``SHARD``
-characters of html is dealt to streams, which exchange the hashes of their distinct substrings, each with
-a page that has it: what stands on two distinct pages anywhere in the host is a repeat in every stream.
+characters of html is dealt to streams by what the pages say, so that equal pages meet in one, and the
+streams exchange the hashes of their distinct substrings: what stands in two streams stands on two distinct
+pages, and is a repeat in every stream. A batch sends a host's pages to a stream in one compressed row, equal
+ones once.
 
 Markup then checks the outcome. What stands in navigation, header, footer, aside, form, script or style
 elements, or is marked as advert, notice, sidebar or comment, goes, repeated or not: a template shown
@@ -25,11 +27,14 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairmeter.llm.common import batches_by_bytes, mix64, read, stage, text_buffer, word_hashes
 
-LONG, SHARD = 8, 4 << 20
+LONG, SHARD = 8, 8 << 20
+#: Characters of html parsed before rows are sent, and equal pages that one row of the result stands for.
+BATCH, COPIES = 4 << 20, 1000
 KINDS = {"a": "article", "f": "furniture", "o": "open"}
 
 # Elements and marks of page furniture, raw-text elements, void and inline elements.
@@ -234,13 +239,6 @@ class Stream:
             g = mix64(g * np.uint64(0x9E3779B97F4A7C15) + self.tokens[start + k])
         return g
 
-    def told(self):
-        """(hash of a distinct substring, print of a page that has it): two pages for a repeat. Equal
-        pages of a host have the same print in all its streams."""
-        prints = np.array([int.from_bytes(hashlib.blake2b(repr(p).encode("utf-8", "replace"), digest_size=4).digest(), "big") for p in self.parsed], np.uint64)
-        g = self.hashes()
-        return np.concatenate([g, g[self.repeat]]), np.concatenate([prints[self.low], prints[self.high[self.repeat]]]) if len(g) else g
-
     def learn(self, hashes: np.ndarray):
         """Takes the substrings that are repeats in the whole host, by the upper 48 bits of their hashes."""
         self.repeat |= np.isin(self.hashes() >> np.uint64(16), hashes)
@@ -274,43 +272,54 @@ def host_texts(pages: list, long: int = LONG) -> list:
     return Stream([blocks(h) for h in pages], long).texts()
 
 
-# Substrings that streams exchange: the upper 48 bits of their hashes and 32 bits for the page, in planes of
-# bytes, ordered by page.
+# Substrings that streams exchange: the upper 48 bits of their hashes, in order, as the gaps between them in
+# planes of bytes.
 
-def _packed(hashes: np.ndarray, prints: np.ndarray) -> bytes:
-    planes = [x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T.tobytes() for x, k in ((hashes, 6), (prints, 4))]
-    return zlib.compress(b"".join(planes), 1)
+def _packed(values: np.ndarray) -> bytes:
+    gaps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    return zlib.compress(gaps.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes(), 1)
 
 
-def _unpacked(packed: bytes) -> tuple:
-    x = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(10, -1)
-    out = np.zeros((2, x.shape[1], 8), np.uint8)
-    out[0, :, :6], out[1, :, :4] = x[:6].T, x[6:].T
-    return out[0].reshape(-1).view("<u8"), out[1].reshape(-1).view("<u8")
+def _unpacked(packed: bytes) -> np.ndarray:
+    x = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(6, -1)
+    gaps = np.zeros((x.shape[1], 8), np.uint8)
+    gaps[:, :6] = x.T
+    return np.cumsum(gaps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
 def _parts(stream: Stream, parts: int):
-    """(part, packed substrings) of a stream; equal substrings fall into the same part of the host."""
-    g, page = stream.told()
-    part = (mix64(g ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((page, part))
-    g, page, part = g[order] >> np.uint64(16), page[order], part[order]
-    edges = np.flatnonzero(np.diff(part)) + 1
-    for a, b in zip([0, *edges], [*edges, len(part)]):
-        if b > a:
-            yield int(part[a]), _packed(g[a:b], page[a:b])
+    """(part, packed substrings) of a stream; equal substrings fall into the same part of the host, the
+    remainder of their hash, and travel as its quotient."""
+    g = np.unique(stream.hashes() >> np.uint64(16))
+    g, part = g // np.uint64(parts), g % np.uint64(parts)
+    for k in np.unique(part):
+        yield int(k), _packed(g[part == k])
 
 
 def _shared(packed: list):
-    """For one part of a host: the substrings of each stream that stand on two distinct pages, packed, or None."""
+    """For one part of a host: the substrings of each stream that stand in two streams, packed, or None."""
     lists = [_unpacked(p) for p in packed]
-    g, page = (np.concatenate(x) for x in zip(*lists))
-    g, run = np.unique(g, return_inverse=True)
-    low, high = _ends(run, page.astype(np.int64))
-    several = g[low < high]
-    for h, _ in lists:
-        h = np.unique(h[np.isin(h, several)])
-        yield _packed(h, h * 0) if len(h) else None
+    g, n = np.unique(np.concatenate(lists), return_counts=True)
+    several = g[n > 1]
+    for h in lists:
+        h = h[np.isin(h, several)]
+        yield _packed(h) if len(h) else None
+
+
+# Pages of a host that travel together. White space in a block is one space, so these marks stand in none.
+_BLOCK, _PAGE = "\n", "\x1e"
+
+
+def _bundle(pages: dict) -> tuple:
+    """(size, compressed text) of distinct pages (kinds, text): the kinds first, then the texts."""
+    data = _PAGE.join([_BLOCK.join(k for k, _ in pages), *(t for _, t in pages)]).encode("utf-8", "surrogatepass")
+    return len(data), pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
+
+
+def _opened(size: int, data: bytes) -> list:
+    """The (kinds, text) of a bundle's pages."""
+    kinds, *texts = pa.Codec("zstd").decompress(data, size, asbytes=True).decode("utf-8", "surrogatepass").split(_PAGE)
+    return [*zip(kinds.split(_BLOCK), texts)]
 
 
 def host(url):
@@ -319,50 +328,70 @@ def host(url):
 
 def extract(pages: DataFrame, long: int = LONG, shard: int = SHARD) -> DataFrame:
     """(page_id, url, text, n_chars, n_tokens, n_repeated) of every page."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    p = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("host", host(F.col("url")))
-    p = p.withColumn("host", F.when(F.col("host") == "-", F.concat(F.lit("-"), F.coalesce("url", F.lit("")), F.lit(" "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))).otherwise(F.col("host")))
-    shards = F.greatest(F.lit(1), F.ceil(F.sum(F.length("html")) / shard)).cast("int")
-    sizes = stage(p.groupBy("host").agg(shards.alias("shards")))
+    p = p.withColumn("host", F.when(F.col("host") == "-", F.concat(F.lit("-"), F.coalesce("url", F.lit("")), F.lit(" "), F.coalesce("page_id", F.lit("")))).otherwise(F.col("host")))
+    shards = F.ceil(F.sum(F.length("html")) / shard).cast("int")
+    large = stage(p.groupBy("host").agg(shards.alias("shards")).where("shards > 1"))
+    rows = p.join(large, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
 
     def parse(frames):
         for f in frames:
-            for g in batches_by_bytes([f], "html"):
-                parsed = [blocks(h) for h in g["html"]]
-                kinds = ["".join(kind[0] for _, kind in p) for p in parsed]
-                text = [zlib.compress("\n".join(t for t, _ in p).encode("utf-8", "surrogatepass"), 1) for p in parsed]
-                yield g[["page_id", "url", "host"]].assign(page_id=g["page_id"].astype("Int64"), kinds=kinds, blocks=text)
+            for g in batches_by_bytes([f], "html", BATCH):
+                bundles = {}  # (host, stream) -> its distinct pages, and the rows that have them
+                for at, (page, host, n) in enumerate(zip(g["html"], g["host"], g["shards"])):
+                    found = blocks(page)
+                    x = "".join(kind[0] for _, kind in found), _BLOCK.join(t for t, _ in found)
+                    nth = 0
+                    if n > 1:
+                        nth = int.from_bytes(hashlib.blake2b("\0".join(x).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") % n
+                    bundles.setdefault((host, nth), {}).setdefault(x, []).append(at)
+                out = []
+                ids, urls, n = g["page_id"].tolist(), g["url"].tolist(), g["shards"].tolist()
+                for (host, nth), pages in bundles.items():
+                    ats = [at for held in pages.values() for at in held]
+                    out.append((host, nth, n[ats[0]], *_bundle(pages), [len(held) for held in pages.values()],
+                                [ids[a] for a in ats], [urls[a] for a in ats]))
+                yield pd.DataFrame(out, columns=["host", "nth", "shards", "size", "data", "held", "page_id", "url"])
 
     def stream(pdf):
-        texts = [zlib.decompress(t).decode("utf-8", "surrogatepass") for t in pdf["blocks"]]
-        return Stream([[*zip(t.split("\n"), (KINDS[c] for c in k))] if k else [] for t, k in zip(texts, pdf["kinds"])], long)
+        """The stream of the distinct pages, and the page_id and url of all pages, by distinct page."""
+        same = {}
+        for size, data, held, ids, urls in zip(pdf["size"], pdf["data"], pdf["held"], pdf["page_id"], pdf["url"]):
+            ends = np.cumsum(held)
+            for x, a, b in zip(_opened(size, data), ends - held, ends):
+                same.setdefault(x, []).extend(zip(ids[a:b], urls[a:b]))
+        return Stream([[*zip(t.split(_BLOCK), (KINDS[c] for c in k))] if k else [] for k, t in same], long), list(same.values())
 
     def texts(pdf, known=None):
-        s = stream(pdf)
+        s, names = stream(pdf)
         if known is not None and len(known):
-            s.learn(np.concatenate([_unpacked(x)[0] for x in known["packed"]]))
-        found = s.texts()
-        return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64").to_numpy(), "url": pdf["url"].to_numpy(), "text": [t for t, _, _ in found],
-                             "n_chars": [len(t) for t, _, _ in found], "n_tokens": [n for _, n, _ in found], "n_repeated": [r for _, _, r in found]}
-                            ).astype({"page_id": "Int64"})
+            parts = np.uint64(pdf["shards"].iloc[0])
+            s.learn(np.concatenate([_unpacked(x) * parts + np.uint64(k) for k, x in zip(known["part"], known["packed"])]))
+        out = [(t, len(t), n, r, [i for i, _ in have[a:a + COPIES]], [u for _, u in have[a:a + COPIES]])
+               for (t, n, r), have in zip(s.texts(), names) for a in range(0, len(have), COPIES)]
+        return pd.DataFrame(out, columns=["text", "n_chars", "n_tokens", "n_repeated", "page_id", "url"])
 
     def tell(key, pdf):
         parts = int(pdf["shards"].iloc[0])
-        told = [*_parts(stream(pdf), parts)] if parts > 1 else []
+        told = [*_parts(stream(pdf)[0], parts)] if parts > 1 else []
         return pd.DataFrame({"host": key[0], "nth": key[1], "part": [k for k, _ in told], "packed": [x for _, x in told]})
 
     def share(pdf):
-        learnt = pdf[["host", "nth"]].assign(packed=[*_shared(pdf["packed"].tolist())])
+        learnt = pdf[["host", "nth", "part"]].assign(packed=[*_shared(pdf["packed"].tolist())])
         return learnt[learnt["packed"].notna()]
 
-    rows = p.mapInPandas(parse, "page_id long, url string, host string, kinds string, blocks binary").join(sizes, "host")
-    rows = rows.withColumn("nth", F.pmod(F.xxhash64("page_id", "url"), "shards")).groupBy("host", "nth")
-    out = "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long"
-    if sizes.where("shards > 1").isEmpty():
-        return rows.applyInPandas(lambda pdf: texts(pdf), out)
-    told = rows.applyInPandas(tell, "host string, nth long, part long, packed binary")
-    learnt = told.groupBy("host", "part").applyInPandas(share, "host string, nth long, packed binary")
-    return rows.cogroup(learnt.groupBy("host", "nth")).applyInPandas(lambda pdf, known: texts(pdf, known), out)
+    rows = rows.mapInPandas(parse, "host string, nth long, shards int, size long, data binary, held array<long>, page_id array<string>, url array<string>")
+    rows = rows.groupBy("host", "nth")
+    out = "text string, n_chars long, n_tokens long, n_repeated long, page_id array<string>, url array<string>"
+    if large.isEmpty():
+        found = rows.applyInPandas(lambda pdf: texts(pdf), out)
+    else:
+        told = rows.applyInPandas(tell, "host string, nth long, part long, packed binary")
+        learnt = told.groupBy("host", "part").applyInPandas(share, "host string, nth long, part long, packed binary")
+        found = rows.cogroup(learnt.groupBy("host", "nth")).applyInPandas(lambda pdf, known: texts(pdf, known), out)
+    found = found.select("text", "n_chars", "n_tokens", "n_repeated", F.explode(F.arrays_zip("page_id", "url")).alias("page"))
+    return found.select(F.col("page.page_id").cast("long").alias("page_id"), "page.url", "text", "n_chars", "n_tokens", "n_repeated")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,29 @@ def test_small_and_large_shards_give_the_same_texts(spark):
     assert all(large[100 + i][2] == prose(600, 40) for i in range(48))
 
 
+def test_streams_exchange_few_bytes():
+    h = np.unique(np.random.default_rng(4).integers(0, 1 << 48, 200_000).astype(np.uint64))
+    packed = html_text._packed(h)
+    assert np.array_equal(html_text._unpacked(packed), h) and len(packed) < 5 * len(h)
+    assert len(html_text._unpacked(html_text._packed(h[:0]))) == 0
+    own = np.setdiff1d(h[1::2], h[::2])
+    first, second = html_text._shared([html_text._packed(h[::2]), html_text._packed(np.sort(np.concatenate([own, h[:4:2]])))])
+    assert np.array_equal(html_text._unpacked(first), h[:4:2]) and first == second
+
+
+def test_copies_of_a_page_travel_once_and_come_back_each(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "COPIES", 7)
+    page, big = f"<p>{prose(700, 40)}", (1 << 53) + 1
+    rows = [(big + i if i else None, f"http://one.example/{i}" if i % 3 else "http://one.example/", page) for i in range(60)]
+    rows += [(i, f"http://one.example/o{i}", f"<p>{prose(800 + i, 40)}") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for shard in (8 << 20, 900):
+        got = html_text.extract(pages, shard=shard).collect()
+        want = [(i, u, h[3:]) for i, u, h in rows]
+        assert sorted(map(str, want)) == sorted(str((r.page_id, r.url, r.text)) for r in got)
+        assert {r.n_repeated for r in got} == {0}
+
+
 def test_repeats_against_all_substrings():
     rng = np.random.default_rng(2)
     for _ in range(30):
