@@ -28,7 +28,7 @@ SHARD = 50_000
 #: Bytes that a Python worker holds for words already seen, in each of two generations.
 HELD_BYTES = 40 << 20
 #: A mark between a letter and white space: the vocabulary's pre-tokenizer cuts there in any case.
-_MARK = re.compile(rb"(?<=[a-z])([.,;:!?])(?=\s|\Z)")
+_MARK = re.compile(rb"[.,;:!?](?<=[a-z].)(?!\S)")
 
 
 class WordIds:
@@ -58,7 +58,7 @@ class WordIds:
         split = []
         for t in texts:
             data = (t or "").encode("utf-8", "replace")
-            split.append((data if b"<|" in data else _MARK.sub(rb" \1", data.lower())).split())
+            split.append((data if b"<|" in data else _MARK.sub(rb" \g<0>", data.lower())).split())
         parts = [list(map(self.held.get, words)) for words in split]
         gaps = [i for i, p in enumerate(parts) if None in p]
         unseen = {w for i in gaps for w, x in zip(split[i], parts[i]) if x is None}
@@ -70,7 +70,7 @@ class WordIds:
         self.held.update(known)
         self.size += sum(map(len, known)) + sum(map(len, known.values())) + 180 * len(known)
         for i in gaps:
-            parts[i] = list(map(self.held.__getitem__, split[i]))
+            parts[i] = [known[w] if x is None else x for w, x in zip(split[i], parts[i])]
         if self.size > HELD_BYTES:
             self.older, self.held, self.size = self.held, {}, 0
         return [b"".join(p) for p in parts]

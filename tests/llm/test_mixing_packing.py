@@ -103,3 +103,25 @@ def test_special_tokens_spelt_out_get_the_ids_of_the_default_call(text):
     from tokenizers import Tokenizer
     want = Tokenizer.from_file(packing.default_path()).encode(text, add_special_tokens=False).ids
     assert packing.WordIds(packing.default_path()).encode([text])[0].tolist() == want and {49406, 49407} & set(want)
+
+
+def test_a_word_is_looked_up_once():
+    class Counting(dict):
+        looks = 0
+
+        def get(self, w):
+            Counting.looks += 1
+            return dict.get(self, w)
+
+        def __getitem__(self, w):
+            Counting.looks += 1
+            return dict.__getitem__(self, w)
+
+    words = packing.WordIds(packing.default_path())
+    words.held = Counting()
+    texts = ["One two, two. three!\n", "one\tfour;x 5. é. a.b c", None, "", "two", " . .", "\x00 two\x0b"]
+    for _ in range(2):
+        Counting.looks = 0
+        got = words.ids_of(texts)
+        assert [list(np.frombuffer(x, "<u4")) for x in got] == [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert Counting.looks == sum(len(packing._MARK.sub(rb" \g<0>", (t or "").lower().encode()).split()) for t in texts)
